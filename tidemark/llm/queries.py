@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .near_duplicates import op9_minhash
 from .packing import op2_packing
 from .token_counts import op5_token_counts
 from .token_files import op6_token_files
@@ -10,6 +11,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
+    "op9_minhash": op9_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
