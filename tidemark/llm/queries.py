@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .near_duplicates import op9_minhash
 from .packing import op2_packing
+from .repeats import op1_repeats
 from .token_counts import op5_token_counts
 from .token_files import op6_token_files
 
 QUERIES = {
+    "op1_repeats": op1_repeats,
     "op2_packing": op2_packing,
     "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
