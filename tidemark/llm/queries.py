@@ -7,13 +7,17 @@ from .packing import op2_packing
 from .repeats import op1_repeats
 from .token_counts import op5_token_counts
 from .token_files import op6_token_files
+from .topk import OP4_SQL, op4_top_k
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_packing": op2_packing,
+    "op4_top_k": op4_top_k,
     "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
+    "op8_toxicity": op8_toxicity,
     "op9_minhash": op9_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_top_k": OP4_SQL}
