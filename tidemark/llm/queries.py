@@ -5,6 +5,7 @@ from __future__ import annotations
 from .near_duplicates import op9_minhash
 from .packing import op2_packing
 from .repeats import op1_repeats
+from .secrets import op7_secrets
 from .token_counts import op5_token_counts
 from .token_files import op6_token_files
 from .topk import OP4_SQL, op4_top_k
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_top_k": op4_top_k,
     "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
+    "op7_secrets": op7_secrets,
     "op8_toxicity": op8_toxicity,
     "op9_minhash": op9_minhash,
 }
