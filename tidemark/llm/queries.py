@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .fingerprints import op3_fingerprints
+from .mixing import op10_mixing
 from .near_duplicates import op9_minhash
 from .packing import op2_packing
 from .repeats import op1_repeats
@@ -14,12 +16,14 @@ from .toxicity import op8_toxicity
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_packing": op2_packing,
+    "op3_fingerprints": op3_fingerprints,
     "op4_top_k": op4_top_k,
     "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
     "op7_secrets": op7_secrets,
     "op8_toxicity": op8_toxicity,
     "op9_minhash": op9_minhash,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_top_k": OP4_SQL}

@@ -139,8 +139,7 @@ def redacted(docs: DataFrame, *, text: str = "text", mask: str = "[secret]") ->
 
     Where n_chars is a column, it is counted again for changed texts.
     """
-    columns = docs.columns
-    whole = F.col(text)
+    row, whole = F.col("_row"), F.col("_text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
@@ -149,12 +148,13 @@ def redacted(docs: DataFrame, *, text: str = "text", mask: str = "[secret]") ->
         return F.struct(F.greatest(s["at"], x["until"]).alias("at"), F.when(fresh, F.concat(s["out"], piece, F.lit(mask))).otherwise(s["out"]).alias("out"))
 
     end = F.aggregate("secret_spans", start, step, lambda s: F.concat(s["out"], F.substring(whole, s["at"] + 1, F.length(whole))))
-    scanned = scan(docs, text).withColumn("_hit", F.size("secret_spans") > 0)
-    changed = {text: F.when(F.col("_hit"), end).otherwise(whole)}
-    out = scanned.withColumns(changed)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_hit"), F.length(text).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    # the row goes along as one column, so that no name can clash
+    scanned = scan(docs.select(F.struct("*").alias("_row"), F.col(text).cast("string").alias("_text")), "_text")
+    hit = F.size("secret_spans") > 0
+    changed = scanned.withColumn("_new", F.when(hit, end).otherwise(whole)).withColumn("_hit", hit)
+    return changed.select(*[
+        (F.col("_new") if c == text else F.when(F.col("_hit"), F.length("_new").cast(t)).otherwise(row[c]) if c == "n_chars" else row[c]).alias(c) for c, t in docs.dtypes
+    ])
 
 
 def op7_secrets(spark, sf_dir: str) -> DataFrame:

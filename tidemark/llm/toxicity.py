@@ -56,15 +56,16 @@ def _buckets(words: pa.Array) -> np.ndarray:
     return out
 
 
-def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, bucket) pairs of a batch."""
+def _terms(texts: pa.Array, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (document, bucket) pairs of a batch; only buckets whose place isn't negative, if place is given."""
     pairs, words = _words(texts)
     if not len(words):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     doc, word = pairs // len(words), pairs % len(words)
     buckets = _buckets(words)[word]
-    pairs = np.unique((np.repeat(doc, buckets.shape[1]) * (BUCKETS + 1) + buckets.ravel())[buckets.ravel() < BUCKETS])
-    return pairs // (BUCKETS + 1), pairs % (BUCKETS + 1)
+    wanted = buckets < BUCKETS if place is None else place[buckets] >= 0
+    pairs = np.unique(np.broadcast_to(doc[:, None], buckets.shape)[wanted] * (BUCKETS + 1) + buckets[wanted])
+    return (pairs // (BUCKETS + 1)).astype(np.int32), (pairs % (BUCKETS + 1)).astype(np.int32)
 
 
 def _gain(with_: np.ndarray, of: float, other: np.ndarray, of_other: float) -> np.ndarray:
@@ -84,18 +85,21 @@ def fit_machine(texts: pa.Array, labels: np.ndarray) -> dict[str, np.ndarray] |
     if not len(y) or y.min() == y.max():
         return None
     found = [_terms(texts.slice(i, 1000)) for i in range(0, len(texts), 1000)]
-    doc = np.concatenate([d + 1000 * i for i, (d, _) in enumerate(found)])
-    bucket = np.concatenate([b for _, b in found])
-    toxic = y[doc] > 0
-    a, b = np.bincount(bucket[toxic], minlength=BUCKETS).astype(float), np.bincount(bucket[~toxic], minlength=BUCKETS).astype(float)
-    gain = _gain(a, y.sum(), b, len(y) - y.sum())
+    counts = np.zeros((2, BUCKETS))
+    for i, (doc, bucket) in enumerate(found):
+        toxic = y[1000 * i + doc] > 0
+        counts[1] += np.bincount(bucket[toxic], minlength=BUCKETS)
+        counts[0] += np.bincount(bucket[~toxic], minlength=BUCKETS)
+    gain = _gain(counts[1], y.sum(), counts[0], len(y) - y.sum())
     kept = np.lexsort((np.arange(BUCKETS), -gain))[:KEPT]
     kept = np.sort(kept[gain[kept] >= LEAST_GAIN])
     place = np.full(BUCKETS, -1)
     place[kept] = np.arange(len(kept))
     x = np.zeros((len(y), len(kept)), np.float32)
-    inside = place[bucket] >= 0
-    x[doc[inside], place[bucket[inside]]] = 1
+    for i, (doc, bucket) in enumerate(found):
+        inside = place[bucket] >= 0
+        x[1000 * i + doc[inside], place[bucket[inside]]] = 1
+    del found
     rng = np.random.default_rng(3)
     p = [np.float32(np.log(y.mean() / (1 - y.mean()))), np.zeros(len(kept), np.float32), (rng.standard_normal((len(kept), FACTORS)) * 0.01).astype(np.float32)]
     m, v = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p]
@@ -141,16 +145,14 @@ class _Scorer:
     def __init__(self, model: bytes):
         m = np.load(io.BytesIO(model))
         self.bias = float(m["bias"][0])
-        self.place = np.full(BUCKETS + 1, len(m["kept"]))
+        self.place = np.full(BUCKETS + 1, -1)
         self.place[m["kept"]] = np.arange(len(m["kept"]))
         squares = (m["factors"] ** 2).sum(1)
-        self.table = np.vstack([np.column_stack([m["weights"], squares, m["factors"]]), np.zeros((1, 2 + m["factors"].shape[1]))]).astype(np.float64)
+        self.table = np.column_stack([m["weights"], squares, m["factors"]]).astype(np.float64)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        doc, bucket = _terms(texts)
+        doc, bucket = _terms(texts, self.place)
         place = self.place[bucket]
-        kept = place < len(self.table) - 1
-        doc, place = doc[kept], place[kept]
         sums = np.zeros((len(texts), self.table.shape[1]))
         for k in range(sums.shape[1]):
             sums[:, k] = np.bincount(doc, self.table[place, k], len(texts))
@@ -183,8 +185,10 @@ def held_out(column: str = "doc_id"):
 
 def without_toxic(docs: DataFrame, all_docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     """docs whose score is under the threshold, with their columns; the model is fitted to the labelled rows of all_docs that aren't held out."""
-    scored = toxicity_scores(docs, fit(all_docs, labels.filter(~held_out())))
-    return scored.filter(F.col("toxicity") < threshold).select(docs.columns)
+    # the row goes along as one column, so that no name can clash
+    packed = docs.select(F.struct("*").alias("_row"), "text")
+    scored = toxicity_scores(packed, fit(all_docs, labels.filter(~held_out())))
+    return scored.filter(F.col("toxicity") < threshold).select("_row.*")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
