@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "daily_bars"
+from tidemark.plans import stats, windows
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+FLAGSHIP = "stats_sectors"
+TOPICS = (windows, stats)
+
+QUERIES: dict = {name: query for topic in TOPICS for name, query in topic.QUERIES.items()}
+ORACLE_SQL: dict = {name: text for topic in TOPICS for name, text in topic.ORACLE_SQL.items()}
