@@ -8,7 +8,11 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 YEAR = 252  # trading days
-BY_DATE = Window.partitionBy("ticker").orderBy("date")
+
+
+def by_date():
+    """The rows of a ticker in order. Made when asked for: a window needs a session."""
+    return Window.partitionBy("ticker").orderBy("date")
 
 
 def col(c: Column | str) -> Column:
@@ -19,50 +23,50 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
 
 
-def change(c: Column | str, n: int = 1, w=BY_DATE) -> Column:
+def change(c: Column | str, n: int = 1, w=None) -> Column:
     """Relative change over n rows."""
-    return ratio(c, F.lag(c, n).over(w)) - 1
+    return ratio(c, F.lag(c, n).over(w or by_date())) - 1
 
 
-def log_return(c: Column | str, w=BY_DATE) -> Column:
+def log_return(c: Column | str, w=None) -> Column:
     """Null where a price is not positive."""
-    r = ratio(c, F.lag(c).over(w))
+    r = ratio(c, F.lag(c).over(w or by_date()))
     return F.when(r > 0, F.ln(r))
 
 
-def rolling(f: Callable[[Column], Column], c: Column | str, n: int, w=BY_DATE, least: int | None = None) -> Column:
+def rolling(f: Callable[[Column], Column], c: Column | str, n: int, w=None, least: int | None = None) -> Column:
     """f over the last n rows, null until `least` (all n) of them have values."""
-    frame = w.rowsBetween(-(n - 1), 0)
+    frame = (w or by_date()).rowsBetween(-(n - 1), 0)
     return F.when(F.count(c).over(frame) >= (n if least is None else least), f(col(c)).over(frame))
 
 
-def rolling2(f: Callable[[Column, Column], Column], a: Column, b: Column, n: int, w=BY_DATE) -> Column:
+def rolling2(f: Callable[[Column, Column], Column], a: Column, b: Column, n: int, w=None) -> Column:
     """A statistic of two columns over the last n rows, null until all of them have both."""
-    frame = w.rowsBetween(-(n - 1), 0)
+    frame = (w or by_date()).rowsBetween(-(n - 1), 0)
     return F.when(F.count(F.when(a.isNotNull() & b.isNotNull(), 1)).over(frame) >= n, f(a, b).over(frame))
 
 
-def so_far(w=BY_DATE):
-    return w.rowsBetween(Window.unboundedPreceding, 0)
+def so_far(w=None):
+    return (w or by_date()).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def growth(r: Column | str, w=BY_DATE) -> Column:
+def growth(r: Column | str, w=None) -> Column:
     """Running product of 1 + r, nulls as 0."""
     return F.product(1 + F.coalesce(col(r), F.lit(0.0))).over(so_far(w))
 
 
-def drawdown(c: Column | str, w=BY_DATE) -> Column:
+def drawdown(c: Column | str, w=None) -> Column:
     top = F.max(c).over(so_far(w))
     return ratio(col(c) - top, top)
 
 
-def zscore(c: Column | str, n: int, w=BY_DATE) -> Column:
+def zscore(c: Column | str, n: int, w=None) -> Column:
     return ratio(col(c) - rolling(F.avg, c, n, w), rolling(F.stddev_samp, c, n, w))
 
 
-def gains(c: Column | str, w=BY_DATE) -> tuple[Column, Column]:
+def gains(c: Column | str, w=None) -> tuple[Column, Column]:
     """Rise and fall since the row before, each at least 0; null in the first row."""
-    d = col(c) - F.lag(c).over(w)
+    d = col(c) - F.lag(c).over(w or by_date())
     return F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0)))
 
 
@@ -80,8 +84,8 @@ def rsi(gain: Column, loss: Column) -> Column:
 
 def run_starts(c: Column | str, w) -> Column:
     """Number of the run of equal values that a row is in, from 1."""
-    before = F.lag(c).over(w)
-    return F.sum(F.when(before.eqNullSafe(col(c)) & (F.row_number().over(w) > 1), 0).otherwise(1)).over(so_far(w))
+    before = F.lag(c).over(w or by_date())
+    return F.sum(F.when(before.eqNullSafe(col(c)) & (F.row_number().over(w or by_date()) > 1), 0).otherwise(1)).over(so_far(w))
 
 
 def rounded(c: Column | str, digits: int = 6) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import BY_DATE, YEAR, change, drawdown, ema_list, gains, growth, log_return, ratio, rolling, rolling2, rsi, zscore
+from tidemark.functions.windows import by_date, YEAR, change, drawdown, ema_list, gains, growth, log_return, ratio, rolling, rolling2, rsi, zscore
 
 LAGS, MOMENTA, AVERAGES, VOLATILITIES = (1, 2, 3, 5, 10, 20), (5, 10, 20, 60, 120), (10, 20, 50, 100, 200), (5, 10, 20, 30, 60)
 
@@ -32,14 +32,14 @@ def bar_shape(bars: DataFrame) -> DataFrame:
     span = F.col("high") - F.col("low")
     return bars.withColumns({
         "intraday_return": ratio("close", "open") - 1,
-        "overnight_gap": ratio("open", F.lag("close").over(BY_DATE)) - 1,
+        "overnight_gap": ratio("open", F.lag("close").over(by_date())) - 1,
         "high_low_range": ratio("high", "low") - 1,
         "close_position": F.when(span == 0, 0.0).otherwise((F.col("close") - F.col("low")) / span),
     })
 
 
 def lags(bars: DataFrame, column: str = "log_return", steps=LAGS) -> DataFrame:
-    return bars.withColumns({f"{column}_lag_{k}": F.lag(column, k).over(BY_DATE) for k in steps})
+    return bars.withColumns({f"{column}_lag_{k}": F.lag(column, k).over(by_date()) for k in steps})
 
 
 def momentum(bars: DataFrame, steps=MOMENTA) -> DataFrame:
@@ -75,7 +75,7 @@ def volumes(bars: DataFrame) -> DataFrame:
 
 
 def true_range() -> Column:
-    before = F.lag("close").over(BY_DATE)
+    before = F.lag("close").over(by_date())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
@@ -139,8 +139,8 @@ def volatility_terciles(rows: DataFrame, column: str = "vol_20") -> DataFrame:
 
 def targets(bars: DataFrame, horizon: int = 1, vol_horizon: int = 5) -> DataFrame:
     """What follows a row: return and direction over `horizon` rows, strong moves, volatility of the next rows, and risk events."""
-    ahead = ratio(F.lead("close", horizon).over(BY_DATE), "close") - 1
-    frame = BY_DATE.rowsBetween(1, vol_horizon)
+    ahead = ratio(F.lead("close", horizon).over(by_date()), "close") - 1
+    frame = by_date().rowsBetween(1, vol_horizon)
     out = bars.withColumns({
         "future_return": ahead,
         "future_vol": F.when(F.count("log_return").over(frame) == vol_horizon, F.stddev_samp("log_return").over(frame)) * YEAR**0.5,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import BY_DATE, YEAR, change, drawdown, growth, ratio
+from tidemark.functions.windows import by_date, YEAR, change, drawdown, growth, ratio
 
 # Normal quantiles and densities at 95 and 99 percent.
 Z = {0.95: 1.6448536269514722, 0.99: 2.3263478740408408}
@@ -119,9 +119,9 @@ def value_at_risk(bars: DataFrame, level: float = 0.95) -> DataFrame:
 
 def drawdown_episodes(bars: DataFrame, top: int = 5) -> DataFrame:
     """Per ticker the deepest falls from a peak: peak, trough and recovery date (null if still open), depth and length in rows."""
-    top_so_far = F.max("close").over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0))
-    rows = bars.withColumns({"peak": top_so_far, "i": F.row_number().over(BY_DATE)})
-    rows = rows.withColumn("episode", F.sum((F.col("close") == F.col("peak")).cast("int")).over(BY_DATE))
+    top_so_far = F.max("close").over(by_date().rowsBetween(Window.unboundedPreceding, 0))
+    rows = bars.withColumns({"peak": top_so_far, "i": F.row_number().over(by_date())})
+    rows = rows.withColumn("episode", F.sum((F.col("close") == F.col("peak")).cast("int")).over(by_date()))
     each = rows.groupBy("ticker", "episode").agg(
         F.min("date").alias("peak_date"), F.min_by("date", F.struct(F.col("close") / F.col("peak"), "date")).alias("trough_date"),
         F.min(F.col("close") / F.col("peak") - 1).alias("depth"), F.count(F.lit(1)).alias("length"),
@@ -135,12 +135,12 @@ def runs(rows: DataFrame, label: str) -> DataFrame:
     """Runs of one label per ticker: first and last date and length."""
     from tidemark.functions.windows import run_starts
 
-    return rows.withColumn("run", run_starts(label, BY_DATE)).groupBy("ticker", "run").agg(F.first(label).alias(label), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count(F.lit(1)).alias("length"))
+    return rows.withColumn("run", run_starts(label, by_date())).groupBy("ticker", "run").agg(F.first(label).alias(label), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count(F.lit(1)).alias("length"))
 
 
 def transitions(rows: DataFrame, label: str) -> DataFrame:
     """How often each label follows another, as counts and as shares of the first one's."""
-    pairs = rows.select("ticker", F.col(label).alias("before"), F.lead(label).over(BY_DATE).alias("after")).dropna().groupBy("ticker", "before", "after").agg(F.count(F.lit(1)).alias("n"))
+    pairs = rows.select("ticker", F.col(label).alias("before"), F.lead(label).over(by_date()).alias("after")).dropna().groupBy("ticker", "before", "after").agg(F.count(F.lit(1)).alias("n"))
     return pairs.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("ticker", "before")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import BY_DATE, change, rolling as roll, rounded
+from tidemark.functions.windows import by_date, change, rolling as roll, rounded
 from tidemark.operators import features as X
 from tidemark.operators import stats as S
 from tidemark.plans.sql import BENCH, LAGGED, OVER, WEEKLY, rolling
@@ -86,7 +86,7 @@ def regime_current(spark, d):
     """Last label per ticker, the length of its run, switches in the last 20 rows, and how stable that is."""
     from tidemark.functions.windows import run_starts
 
-    rows = _trend(spark, d).withColumn("run", run_starts("trend", BY_DATE))
+    rows = _trend(spark, d).withColumn("run", run_starts("trend", by_date()))
     rows = rows.withColumn("back", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date"))))
     out = rows.groupBy("ticker").agg(
         F.max_by("trend", "date").alias("trend"), F.max("date").alias("date"),
@@ -137,7 +137,7 @@ def histogram(spark, d):
 
 def hit_rate(spark, d):
     """Share of the last 60 rows whose direction the sign of the 5-row momentum of the row before foretold."""
-    rows = S.with_returns(weekly_bars(spark, d)).withColumn("p", change("close", 5)).withColumn("p", F.lag("p").over(BY_DATE))
+    rows = S.with_returns(weekly_bars(spark, d)).withColumn("p", change("close", 5)).withColumn("p", F.lag("p").over(by_date()))
     rows = rows.withColumn("hit", F.when(F.col("p").isNotNull(), (F.signum("p") == F.signum("r")).cast("double")))
     return _out(rows.select("ticker", "date", roll(F.avg, "hit", 60).alias("hit_rate")))
 
