@@ -17,7 +17,7 @@ import uuid
 import numpy as np
 from pyarrow import fs
 
-TUPLE = np.dtype([("key", "<i8"), ("at", "<i8"), ("lcp", "<i4")])
+TUPLE = np.dtype([("key", "<i4"), ("at", "<i4"), ("lcp", "<i4")])  # texts of one task are shorter than 2**31
 
 
 class Disk:
@@ -186,8 +186,8 @@ class _Since:
 def _falling(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which suffixes are smaller than the one to their right, and the first of each run of these: the local minima."""
     n = len(text)
-    step = np.sign(text[1:].astype(np.int64) - text[:-1])
-    at = np.where(step != 0, np.arange(n - 1), n - 1)
+    step = np.sign(text[1:].astype(np.int32) - text[:-1]).astype(np.int8)
+    at = np.where(step != 0, np.arange(n - 1, dtype=np.int32), np.int32(n - 1))
     at = np.minimum.accumulate(at[::-1])[::-1]
     rising = np.append(step, 1)[np.append(at, n - 1)] > 0
     minima = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1

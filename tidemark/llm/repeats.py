@@ -29,8 +29,8 @@ from .shared import documents, new_folder, written
 LENGTH = 400
 GRAM = 128
 MANY = 200  # classes of one anchor beyond which it is divided
-SHARD_ROWS = 16_000  # segments sorted in one task, about
-ROOM = 2 << 20  # tuples that a queue holds in memory
+SHARD_ROWS = 4_000  # segments sorted in one task, about
+ROOM = 1 << 20  # tuples that a queue holds in memory
 PIECE = 1 << 20  # starts handled at once within a document
 
 _BASE = 0x9E3779B97F4A7C15 | 1
