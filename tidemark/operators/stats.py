@@ -108,12 +108,12 @@ def value_at_risk(bars: DataFrame, level: float = 0.95) -> DataFrame:
     shrink = F.sqrt((F.col("n") - 1) / F.col("n"))
     base = base.withColumns({"sk": F.col("sk") * F.pow(shrink, 3), "ku": (F.col("ku") + 3) * F.pow(shrink, 4) - 3})
     tail = rows.join(base.select("ticker", "q"), "ticker").filter(r <= F.col("q")).groupBy("ticker").agg(F.avg("r").alias("tail"))
-    cf = -z + (z * z - 1) * F.col("sk") / 6 + (-(z**3) + 3 * z) * F.col("ku") / 24 - (-2 * z**3 + 5 * z) * F.pow(F.col("sk"), 2) / 36
+    cf = z + (z * z - 1) * F.col("sk") / 6 + (z**3 - 3 * z) * F.col("ku") / 24 - (2 * z**3 - 5 * z) * F.pow(F.col("sk"), 2) / 36
     zero = F.lit(0.0)
     return base.join(tail, "ticker").select(
         "ticker", F.greatest(zero, -F.col("q")).alias("historical_var"), F.greatest(zero, -F.col("tail")).alias("historical_cvar"),
         F.greatest(zero, z * F.col("sd") - F.col("mu")).alias("parametric_var"), F.greatest(zero, F.col("sd") * DENSITY[level] / (1 - level) - F.col("mu")).alias("parametric_cvar"),
-        (-(F.col("mu") + cf * F.col("sd"))).alias("cornish_fisher_var"), (z * F.col("sd") * 10**0.5 - 10 * F.col("mu")).alias("var_10"),
+        (cf * F.col("sd") - F.col("mu")).alias("cornish_fisher_var"), (z * F.col("sd") * 10**0.5 - 10 * F.col("mu")).alias("var_10"),
     )
 
 

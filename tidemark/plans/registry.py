@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market, models, stats, text, windows
+from tidemark.plans import market, models, research, stats, text, windows
 
 FLAGSHIP = "stats_sectors"
-TOPICS = (windows, stats, text, market, models)
+TOPICS = (windows, stats, text, market, models, research)
 
 QUERIES: dict = {name: query for topic in TOPICS for name, query in topic.QUERIES.items()}
 ORACLE_SQL: dict = {name: text for topic in TOPICS for name, text in topic.ORACLE_SQL.items()}

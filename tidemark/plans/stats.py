@@ -179,7 +179,7 @@ ORACLE_SQL = {
     "stats_value_at_risk": f"""WITH {_R}, m AS (SELECT ticker, quantile_cont(r, 0.05) AS q, avg(r) AS mu, stddev_samp(r) AS sd FROM t GROUP BY ticker),
         h AS (SELECT t.ticker, avg(r) FILTER (r <= q) AS tail, avg(pow(r - mu, 3)) / pow(any_value(sd), 3) AS s, avg(pow(r - mu, 4)) / pow(any_value(sd), 4) - 3 AS k FROM t JOIN m USING (ticker) WHERE r IS NOT NULL GROUP BY t.ticker)
         SELECT ticker, {sql(historical_var='greatest(0, -q)', historical_cvar='greatest(0, -tail)', parametric_var=f'greatest(0, {_Z} * sd - mu)', parametric_cvar=f'greatest(0, sd * {_D} / 0.05 - mu)',
-        cornish_fisher_var=f'-(mu + (-{_Z} + ({_Z} * {_Z} - 1) * s / 6 + (-pow({_Z}, 3) + 3 * {_Z}) * k / 24 - (-2 * pow({_Z}, 3) + 5 * {_Z}) * s * s / 36) * sd)', var_10=f'{_Z} * sd * sqrt(10) - 10 * mu')} FROM m JOIN h USING (ticker)""",
+        cornish_fisher_var=f'({_Z} + ({_Z} * {_Z} - 1) * s / 6 + (pow({_Z}, 3) - 3 * {_Z}) * k / 24 - (2 * pow({_Z}, 3) - 5 * {_Z}) * s * s / 36) * sd - mu', var_10=f'{_Z} * sd * sqrt(10) - 10 * mu')} FROM m JOIN h USING (ticker)""",
     "stats_drawdown_episodes": f"""WITH {WEEKLY}, p AS (SELECT *, max(close) {OVER} AS peak FROM bars), e AS (SELECT *, sum(CASE WHEN close = peak THEN 1 ELSE 0 END) {OVER} AS ep FROM p),
         g AS (SELECT ticker, ep, min(date) AS peak_date, arg_min(date, close / peak) AS trough_date, min(close / peak - 1) AS depth, count(*) AS length FROM e GROUP BY 1, 2),
         x AS (SELECT *, lead(peak_date) OVER (PARTITION BY ticker ORDER BY ep) AS recovery_date FROM g),
