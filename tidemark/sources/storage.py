@@ -20,7 +20,7 @@ def load_bars(spark: SparkSession, path: str, kind: str = "parquet") -> DataFram
 
 def load_texts(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """(source_file, text) of whole text files in a folder and those under it."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("text"))
 
 
