@@ -121,3 +121,31 @@ def in_mixed_order(docs: DataFrame, *, tasks: int | None = None, **how) -> DataF
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     return mixed(documents(spark, sf_dir))
+
+
+OP10_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS s, strlen(coalesce(text, '')) AS b FROM documents
+), r AS (
+  SELECT s, sqrt(greatest(sum(b), 1)) AS raw, count(*) OVER () AS n FROM d GROUP BY s
+), x AS (
+  SELECT s, n, raw / sum(raw) OVER () * (1000 - n) AS exact FROM r
+), z AS (
+  SELECT s, CAST(1 + floor(exact) + CASE WHEN row_number() OVER (ORDER BY round(exact - floor(exact), 9) DESC, s) <= 1000 - n - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS BIGINT) AS a FROM x
+), one AS (
+  SELECT list(a ORDER BY s) AS a, list(s ORDER BY s) AS names FROM z
+), step AS (
+  SELECT CAST(-1 AS BIGINT) AS t, list_transform(a, lambda v: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick FROM one
+  UNION ALL
+  SELECT t, list_transform(done, lambda v, i: v + CASE WHEN i = pick THEN 1 ELSE 0 END), pick FROM (
+    SELECT t + 1 AS t, done, CAST(list_min(list_filter(list_transform(done, lambda v, i:
+      CASE WHEN v < a[i] AND v * 1000 // a[i] <= t + 1 THEN {'deadline': CAST(ceil((v + 1) * 1000 / a[i]) AS BIGINT), 'i': i} END), lambda q: q IS NOT NULL)).i AS BIGINT) AS pick
+    FROM step, one WHERE t < 999)
+), slots AS (
+  SELECT names[pick] AS s, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth FROM step, one WHERE t >= 0
+), blocks AS (
+  SELECT d.*, a, coalesce(sum(b) OVER (PARTITION BY d.s ORDER BY doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // 65536 AS block FROM d JOIN z ON d.s = z.s
+)
+SELECT doc_id, source, b AS n_bytes, block, block // a * 1000 + slot AS slot, block * 1000 // a AS release, CAST(ceil((block + 1) * 1000 / a) AS BIGINT) AS deadline
+FROM blocks JOIN slots ON blocks.s = slots.s AND slots.nth = block % a
+"""

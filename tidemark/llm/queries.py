@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .fingerprints import op3_fingerprints
-from .mixing import op10_mixing
+from .mixing import OP10_SQL, op10_mixing
 from .near_duplicates import op9_minhash
 from .packing import op2_packing
 from .repeats import op1_repeats
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_top_k": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_top_k": OP4_SQL, "op10_mixing": OP10_SQL}
