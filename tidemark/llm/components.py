@@ -34,5 +34,6 @@ def components(links: DataFrame) -> DataFrame:
         edges = written(_small_star(_large_star(edges)), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")
         seen = now

@@ -13,6 +13,8 @@ from .shared import documents, written
 from .shingles import mixed, shingle_hashes, shingle_set, words_of
 
 ROWS, BANDS = 7, 48  # a pair at similarity 0.8 shares no band with probability 1.2e-5, one at 0.1 shares one with 5e-6
+BLOCK = 512  # members of a cluster that are compared at once with as many others
+SLACK = 0.11  # five standard deviations of a signature's agreement at similarity 0.8
 SEED = 20_240_501
 
 SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>, signature binary"
@@ -91,18 +93,65 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "pair-texts")
+    # both sides grow with the corpus: never broadcast
+    texts = written(docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi"), "pair-texts")
     one, two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _across(open_: DataFrame, found: DataFrame, chosen: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between components that meet in a bucket; open_: pairs (c, h) of such components.
+
+    Components that meet, directly or over others, form a cluster. Its members outside the largest component are compared
+    with all members of other components, block by block inside the tasks, so that only links leave them.
+    """
+    clusters = components(open_.select(F.col("c").alias("a"), F.col("h").alias("b"))).select(F.col("node").alias("c"), F.col("component").alias("cluster"))
+    of_nodes = chosen.select("doc_id").join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+    inside = written(of_nodes.join(clusters, "c"), "clusters")
+    largest = inside.groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.sum("n").alias("of_all"), (F.sum("n") - F.max("n")).alias("outside"))
+    texts = docs.select("doc_id", "text").join(inside.select("doc_id").hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = inside.join(largest, "cluster").join(texts, "doc_id").join(chosen.select("doc_id", "signature"), "doc_id")
+    own, each = F.xxhash64("doc_id"), lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    rows = written(rows.select("cluster", "doc_id", "c", "signature", "text", (F.col("c") == F.col("main")).alias("main"), each("outside").alias("rows"), each("of_all").alias("columns")), "cluster-rows")
+    one = rows.filter("not main").withColumn("i", F.pmod(own, F.col("rows")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
+    two = rows.withColumn("j", F.pmod(own, F.col("columns")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
+    least = percent / 100 - SLACK
+
+    def run(key, left, right):
+        found, sets = [], {}
+        if left.num_rows and right.num_rows:
+            signs = [np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(t.num_rows, -1) for t in (left, right)]
+            ids, parts, main = ([t.column(c).to_numpy() for t in (left, right)] for c in ("doc_id", "c", "main"))
+            body = [t.column("text").to_pylist() for t in (left, right)]
+
+            def set_of(side, k):
+                if ids[side][k] not in sets:
+                    sets[ids[side][k]] = shingle_set(words_of(body[side][k]), words)
+                return sets[ids[side][k]]
+
+            for k in range(left.num_rows):
+                same = (signs[1] == signs[0][k]).mean(axis=1)
+                near = ((same - 1 / 256) / (1 - 1 / 256) >= least) & (parts[1] != parts[0][k]) & (main[1] | (ids[1] < ids[0][k]))
+                for m in np.flatnonzero(near):
+                    one, two = set_of(0, k), set_of(1, m)
+                    if 100 * min(len(one), len(two)) >= percent * max(len(one), len(two)):
+                        common = len(one & two)
+                        if 100 * common >= percent * (len(one) + len(two) - common):
+                            found.append((ids[0][k], ids[1][m]))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    keys, kept = ("cluster", "i", "j"), ("cluster", "i", "j", "doc_id", "c", "signature", "text", "main")
+    return one.select(*kept).groupBy(*keys).cogroup(two.select(*kept).groupBy(*keys)).applyInArrow(run, "a long, b long")
+
+
 def near_duplicate_groups(docs: DataFrame, *, words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the least doc_id linked to it over any path), kept.
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets. Documents with equal
-    sets form a class; the least doc_id stands for it. In each band bucket every class is compared with the bucket's
-    least one; classes that this leaves outside that one's component are then compared with all others of the bucket.
-    So all pairs that share a bucket are decided, and a large group of copies costs one comparison for each.
+    sets form a class; the least doc_id stands for it. In each band bucket every class is compared with the bucket's hub,
+    the one that meets most others in its buckets; where this leaves components apart that meet in a bucket, the members
+    of the smaller ones are compared with those of the others. So all pairs that share a bucket are decided or in one
+    component, and a large group of copies costs one comparison for each.
     Null texts, empty texts and texts of white space have no shingles and are linked with nothing. Rows that repeat a
     doc_id share their group. A null doc_id is kept and in no component. An empty table gives no rows.
     """
@@ -110,23 +159,22 @@ def near_duplicate_groups(docs: DataFrame, *, words: int = 5, percent: int = 80,
     sketch = written(sketches(docs, words=words, rows=rows, bands=bands), "sketches")
     with_words = sketch.filter("set_key is not null and doc_id is not null")
     classes = with_words.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    chosen = written(with_words.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi").select("doc_id", "bands", "signature").dropDuplicates(["doc_id"]), "class-sketches")
+    chosen = written(with_words.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi").select("set_key", "doc_id", "bands", "signature").dropDuplicates(["set_key", "doc_id"]).drop("set_key"), "class-sketches")
     members = chosen.select(F.explode("bands").alias("bucket"), "doc_id")
-    hubs = written(members.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "hub"), "buckets")
-    inside = written(members.join(hubs, "bucket"), "members")
-    may_be = percent / 100 - 0.16
+    shared = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    inside = written(members.join(shared, "bucket"), "members")
+    degree = written(inside.groupBy("doc_id").agg(F.sum("n").alias("degree")), "degrees")
+    inside = written(inside.join(degree, "doc_id").select("bucket", "doc_id", "degree"), "members")
+    hubs = written(inside.groupBy("bucket").agg((-F.max(F.struct("degree", -F.col("doc_id")))["col2"]).alias("hub")), "hubs")
+    inside = written(inside.drop("degree").join(hubs, "bucket"), "members")
     first = written(inside.filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    links = written(_confirmed(_alike(first, chosen, may_be), docs, words, percent), "links")
+    links = written(_confirmed(_alike(first, chosen, percent / 100 - SLACK), docs, words, percent), "links")
     found = components(links)
     part_of = inside.join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
     part_of = part_of.join(found.select(F.col("node").alias("hub"), F.col("component").alias("h")), "hub", "left").withColumn("h", F.coalesce("h", "hub"))
-    part_of = written(part_of.select("bucket", "doc_id", "hub", "c", (F.col("c") != F.col("h")).alias("stray")), "members")
-    strays = part_of.filter("stray").select("bucket", F.col("doc_id").alias("a"), F.col("c").alias("ca"))
-    others = part_of.filter("doc_id <> hub").select("bucket", F.col("doc_id").alias("b"), F.col("c").alias("cb"), F.col("stray").alias("sb"))
-    second = strays.join(others, "bucket").filter("ca <> cb and (a > b or not sb)").select("a", "b").distinct()
-    second = written(_alike(second, chosen, may_be), "pairs")
-    if not second.isEmpty():
-        found = components(links.union(_confirmed(second, docs, words, percent)))
+    open_ = written(part_of.filter("c <> h").select("c", "h").distinct(), "open")
+    if not open_.isEmpty():
+        found = components(links.union(written(_across(open_, found, chosen, docs, words, percent), "links")))
     grouped = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     return sketch.select("doc_id", "n_shingles", "set_key").join(grouped, "set_key", "left").select(
         "doc_id",
