@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.mixing import in_mixed_order
+from tidemark.llm.mixing import first_slots, in_mixed_order
 from tidemark.llm.near_duplicates import without_near_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.secrets import redacted
@@ -29,13 +29,16 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; rows are put in the order in which sources interleave, which packing then reads."""
+    """Every document stays; rows are put in the order in which sources interleave."""
     return in_mixed_order(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their token ids and places in windows of 4096."""
-    return pack(docs, default_path())
+    """Pieces of documents with their token ids and places in windows of 4096, whose numbers follow the mixed order.
+
+    Parquet keeps no order between files, so slots are computed again from the rows as they are read.
+    """
+    return pack(docs, default_path(), slots=first_slots(docs))
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]

@@ -106,12 +106,18 @@ def mixed(docs: DataFrame, *, weights: dict[str, float] | None = None, period: i
     )
 
 
+def first_slots(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, slot): the first slot of each id; repeated rows of an id share it."""
+    return mixed(docs, **how).groupBy("doc_id").agg(F.min("slot").alias("slot"))
+
+
 def in_mixed_order(docs: DataFrame, *, tasks: int | None = None, **how) -> DataFrame:
     """docs with all rows and columns, in the order of their slots: ranges of slots go to partitions, sorted within.
 
-    Documents of one slot keep the order of their ids; repeated rows of an id share its first slot.
+    Documents of one slot keep the order of their ids; repeated rows of an id share its first slot. Files that are read
+    again need not keep the order: who goes by it then takes first_slots of the rows read.
     """
-    slots = mixed(docs, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.min("slot").alias("_slot"))
+    slots = first_slots(docs, **how).select(F.col("doc_id").alias("_id"), F.col("slot").alias("_slot"))
     packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_own"))
     both = packed.join(slots.hint("merge"), F.col("_own").eqNullSafe(F.col("_id")), "left")
     order = [F.asc_nulls_last("_slot"), F.asc_nulls_first("_own")]

@@ -16,6 +16,7 @@ from .tokenize import END_ID, default_path, encoder
 WINDOW = 4096
 TASK_BYTES = 16 << 20  # text per packing task
 BATCH_IDS = 8 << 20  # ids that a task packs at once; bounds its memory
+RUN_WINDOWS = 64  # windows' worth of ids packed at once where an order is to be kept; bounds how far a piece can move
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -90,12 +91,15 @@ class _Pieces:
 
     def packed(self, first: int) -> tuple[pa.RecordBatch, int]:
         number, offset, n = best_fit_decreasing(self.length, self.window)
+        # windows in the order of their first pieces
+        seen: dict[int, int] = {}
+        number = [seen.setdefault(x, len(seen)) for x in number]
         long = lambda x: pa.array(x, pa.int64())
         columns = [long(self.doc_id), long(self.start), long(self.length), long(self.doc_tokens), long([first + x for x in number]), long(offset), pa.array(self.ids, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]), first + n
 
 
-def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end_id: int = END_ID, task_bytes: int = TASK_BYTES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, slots: DataFrame | None = None, window: int = WINDOW, end_id: int = END_ID, task_bytes: int = TASK_BYTES, run_windows: int = RUN_WINDOWS) -> DataFrame:
     """Pieces of all documents with their place in windows of `window` ids: SCHEMA, ids as little-endian uint32.
 
     Each task encodes its share of the documents, cuts overlong ones into full windows and packs the pieces,
@@ -103,7 +107,13 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end_id: int =
     document) are held at once. A document keeps its end id, so null and empty texts give one piece of one id.
     Repeated rows are packed once each. Sequence ids are the task's number shifted by 32 bits plus a counter.
     An empty table gives no rows; columns other than doc_id and text are ignored.
+
+    slots (doc_id, slot; one row per id) gives documents an order, null slots last, that sequence ids then follow:
+    ranges of slots go to tasks, `run_windows` windows' worth of ids are packed at once in the order of slots, and the
+    windows of a run are numbered by their least slot. So a piece comes at most a run before or after its place.
     """
+    most = BATCH_IDS if slots is None else min(BATCH_IDS, run_windows * window)
+
     def run(batches):
         table = encoder(tokenizer)
         first = TaskContext.get().partitionId() << 32
@@ -112,7 +122,7 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end_id: int =
             flat, bounds = table.encode(batch.column(1), end_id)
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 pieces.add(doc_id, flat[bounds[i] : bounds[i + 1]])
-                if pieces.total >= BATCH_IDS:
+                if pieces.total >= most:
                     out, first = pieces.packed(first)
                     yield from (out.slice(i, 2048) for i in range(0, out.num_rows, 2048))
                     pieces = _Pieces(window)
@@ -121,7 +131,13 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end_id: int =
             yield from (out.slice(i, 2048) for i in range(0, out.num_rows, 2048))
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return narrow.coalesce(tasks_for_bytes(narrow, "text", task_bytes)).mapInArrow(run, SCHEMA)
+    tasks = tasks_for_bytes(narrow, "text", task_bytes)
+    if slots is None:
+        return narrow.coalesce(tasks).mapInArrow(run, SCHEMA)
+    placed = narrow.join(slots.select(F.col("doc_id").alias("_id"), "slot").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    order = [F.asc_nulls_last("slot"), F.asc_nulls_first("doc_id"), F.asc_nulls_first("_hash")]
+    dealt = placed.withColumn("_hash", F.xxhash64("text")).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    return dealt.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
