@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.mixing import in_mixed_order, mixed
+from tidemark.llm.mixing import SLOTS_EACH, in_mixed_order, mixed
 from tidemark.llm.topk import top_k
 from tidemark.llm.toxicity import fit, held_out, toxicity_scores, without_toxic
 
@@ -91,6 +91,20 @@ def test_mixing(spark, n, weights):
     assert got == (_mixed_by_loop(rows, 50, 200, weights) if n else [])
 
 
+def test_mixing_of_many_sources(spark):
+    # 1,199 sources of two documents, and one that has 30 % of the weight
+    rows = [(i, f"s{i % 1199}", "x") for i in range(2398)] + [(i, "hot", "x" * 50) for i in range(3000, 4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    weights = {"hot": 0.3, **{f"s{i}": 0.7 / 1199 for i in range(1199)}}
+    for how in ({"weights": weights}, {}, {"period": 1000}):
+        got = mixed(docs, block_bytes=50, **how).collect()
+        assert len(got) == len(rows) and all(0 <= r.release <= r.slot < r.deadline for r in got)
+        assert len({r.slot for r in got if r.source == "hot"}) == 1000 == len({r.block for r in got if r.source == "hot"})
+        if how == {"weights": weights}:
+            last = max(r.slot for r in got if r.source == "hot")
+            assert abs(1000 / (last + 1) - 0.3) < 0.3 / SLOTS_EACH + 0.002
+
+
 def test_mixed_order(spark):
     rows = [(i % 90, "ab"[i % 3 == 0], "t" * 50, i) for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, slot long")

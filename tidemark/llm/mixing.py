@@ -1,20 +1,26 @@
-"""Mixing sources to target weights by Pfair scheduling. DataFrame functions only.
+"""Mixing sources to target weights by Pfair scheduling. DataFrame functions; one period is scheduled on the driver.
 
 A source's documents, in the order of doc_id, are cut into blocks of about BLOCK_BYTES. Target weights are rounded to shares
-of PERIOD slots. Block j (from 0) of a source with share a may start at slot floor(j * PERIOD / a) and must be done by
-slot ceil((j + 1) * PERIOD / a). Each slot goes to the block of earliest deadline among those released, one per source; so
-after any number of slots each source is less than one block away from its weight. The schedule repeats after PERIOD
-slots, so one period of it is made, whatever the size of the corpus.
+of a period: PERIOD slots, or SLOTS_EACH for every source where that is more. Block j (from 0) of a source with share a may start at slot floor(j * period / a) and must be done by
+slot ceil((j + 1) * period / a). Each slot goes to the block of earliest deadline among those released, one per source; so
+after any number of slots each source is less than one block away from its weight. The schedule repeats after a
+period, so one period of it is made, whatever the size of the corpus.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import documents, written
 
-PERIOD = 1000  # slots; a weight is met to half a thousandth
+PERIOD = 1000  # slots, at least
+SLOTS_EACH = 50  # slots of a period for each source, at least: a weight is met to a fiftieth of itself and two slots
+BROADCAST_SLOTS = 1 << 20  # a longer period is joined by a shuffle
 BLOCK_BYTES = 64 << 10
 PARTS = 64  # of a source, in which running sums are taken side by side
 SMOOTHING = 0.5  # default target: share of bytes to this power
@@ -41,33 +47,37 @@ def shares(totals: DataFrame, weights: dict[str, float] | None, period: int, smo
     return rows.select("source", (1 + F.col("low") + (F.col("rank") <= F.col("left")).cast("long")).cast("int").alias("share"))
 
 
-def schedule(shares_: DataFrame, period: int) -> DataFrame:
-    """(source, nth, slot) of one period: which slot the nth block (from 0) of each source gets. `period` rows."""
-    state = F.struct(F.array_repeat(F.lit(0), F.size("sources")).alias("done"), F.array().cast("array<int>").alias("picks"))
-    share = lambda i: F.get(F.col("sources"), i)["share"]
-
-    def released(done: Column, i: Column) -> Column:
-        return F.floor(done * F.lit(period) / share(i))
-
-    def deadline(done: Column, i: Column) -> Column:
-        return F.ceil((done + 1) * F.lit(period) / share(i))
+def period_of(sources: int, period: int | None = None) -> int:
+    """Slots of a period: by the number of sources; one that is given is taken, as often as all sources need for a slot."""
+    if period is None:
+        return max(PERIOD, SLOTS_EACH * sources)
+    return period * max(1, -(-sources // period))
 
-    def pick(s: Column, t: Column) -> Column:
-        open_ = F.transform(s["done"], lambda d, i: F.when((d < share(i)) & (released(d, i) <= t), F.struct(deadline(d, i).alias("deadline"), i.alias("i"))))
-        return F.array_min(F.filter(open_, lambda x: x.isNotNull()))["i"]
-
-    def step(s: Column, t: Column) -> Column:
-        # over a one-element array, so that the pick is made once
-        taken = lambda p: F.struct(F.transform(s["done"], lambda d, i: d + (i == p).cast("int")).alias("done"), F.concat(s["picks"], F.array(p)).alias("picks"))
-        return F.get(F.transform(F.array(pick(s, t)), taken), F.lit(0))
-
-    one = shares_.agg(F.array_sort(F.collect_list(F.struct("source", "share"))).alias("sources")).filter(F.size("sources") > 0)
-    picks = one.select("sources", F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), state, step)["picks"].alias("picks"))
-    slots = picks.select("sources", F.posexplode("picks").alias("slot", "i")).select(F.get("sources", F.col("i"))["source"].alias("source"), "slot")
-    return slots.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1)
 
+def schedule(shares_: DataFrame, period: int) -> DataFrame:
+    """(source, nth, slot) of one period: which slot the nth block (from 0) of each source gets. `period` rows.
 
-def mixed(docs: DataFrame, *, weights: dict[str, float] | None = None, period: int = PERIOD, block_bytes: int = BLOCK_BYTES, parts: int = PARTS, smoothing: float = SMOOTHING) -> DataFrame:
+    There is one row per source, and the picks are made on the driver: a heap of blocks by release, one by deadline.
+    """
+    rows = shares_.orderBy("source").collect()
+    share = [r["share"] for r in rows]
+    nth = np.zeros(period if rows else 0, np.int32)
+    which = np.zeros(len(nth), np.int32)
+    later, open_, done = [(0, i) for i in range(len(rows))], [], [0] * len(rows)
+    for t in range(len(nth)):
+        while later and later[0][0] <= t:
+            _, i = heapq.heappop(later)
+            heapq.heappush(open_, (-(-(done[i] + 1) * period // share[i]), i))
+        _, i = heapq.heappop(open_)
+        nth[t], which[t] = done[i], i
+        done[i] += 1
+        if done[i] < share[i]:
+            heapq.heappush(later, (done[i] * period // share[i], i))
+    names = pa.array([r["source"] for r in rows], pa.string()).take(pa.array(which))
+    return shares_.sparkSession.createDataFrame(pa.table({"source": names, "nth": nth, "slot": np.arange(len(nth), dtype=np.int32)}))
+
+
+def mixed(docs: DataFrame, *, weights: dict[str, float] | None = None, period: int | None = None, block_bytes: int = BLOCK_BYTES, parts: int = PARTS, smoothing: float = SMOOTHING) -> DataFrame:
     """Per row of docs: doc_id, source, n_bytes, block (of its source, from 0), slot, release, deadline.
 
     Nothing is dropped or repeated: a source that has no more blocks leaves its slots empty. Documents of a source without
@@ -89,11 +99,13 @@ def mixed(docs: DataFrame, *, weights: dict[str, float] | None = None, period: i
     rows = rows.withColumn("own", F.coalesce(F.sum("n_bytes").over(inside), F.lit(0))).join(begins, ["source", "part"])
     rows = rows.withColumn("block", F.floor((F.col("own") + F.col("begin")) / block_bytes))
     named = None if weights is None else {f"+{k}": v for k, v in weights.items()}
-    each = written(shares(totals.groupBy("source").agg(F.sum("bytes").alias("bytes")), named, period, smoothing), "source-shares")
-    plan = written(schedule(each, period).join(each, "source").select("source", "share", "nth", F.col("slot").alias("at")), "schedule")
+    sums = totals.groupBy("source").agg(F.sum("bytes").alias("bytes"))
+    period = period_of((sums.filter(F.col("source").isin([k for k, v in named.items() if v > 0])) if named else sums).count(), period)
+    each = written(shares(sums, named, period, smoothing), "source-shares")
+    plan = written(schedule(each, period).withColumnRenamed("slot", "at"), "schedule")
     rows = rows.join(F.broadcast(each), "source", "left").withColumn("nth", (F.col("block") % F.col("share")).cast("int"))
     # `period` rows
-    placed = rows.join(F.broadcast(plan.drop("share")), ["source", "nth"], "left")
+    placed = rows.join(F.broadcast(plan) if period <= BROADCAST_SLOTS else plan, ["source", "nth"], "left")
     share, block = F.col("share"), F.col("block")
     return placed.select(
         "doc_id",
