@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.normal import cumulative
 from tidemark.operators import backtest, features, pricing, records, stats, text
+from tidemark.plans import research
 
 BARS = "ticker string, date date, open double, high double, low double, close double, volume double"
 
@@ -123,3 +124,15 @@ def test_sentiment_and_chunks(spark):
 def test_bm25_without_the_words(spark):
     rows = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
     assert text.bm25(rows, "zzz").count() == 0
+
+
+def test_pages_keep_long_texts_whole(spark):
+    page = spark.createDataFrame([("<p>" + "ab " * 200_000 + "end</p>",)], "html string")
+    assert page.select(F.length(text.plain_text(F.col("html")))).first()[0] == 600_003
+    assert page.select(F.length(text.plain_text(F.col("html"), 10))).first()[0] == 10
+
+
+def test_health_counts_every_event(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.user_id: r.n for r in research.health(spark, sf).collect()}
+    assert got == {r.user_id: r["count"] for r in spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").count().collect()}

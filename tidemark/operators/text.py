@@ -75,10 +75,11 @@ def factor_scores(df: DataFrame, by: str, text: str = "text") -> DataFrame:
     )
 
 
-def plain_text(html: Column, longest: int = 400_000) -> Column:
-    """Text of a page: scripts and styles out, tags to blanks, blanks together, cut at `longest` characters."""
+def plain_text(html: Column, longest: int | None = None) -> Column:
+    """Text of a page: scripts and styles out, tags to blanks, blanks together; cut at `longest` characters if that is given."""
     bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"<[^>]+>", " ")
-    return F.substring(F.trim(F.regexp_replace(bare, r"[ \t\r\n]+", " ")), 1, longest)
+    whole = F.trim(F.regexp_replace(bare, r"[ \t\r\n]+", " "))
+    return whole if longest is None else F.substring(whole, 1, longest)
 
 
 def tidy(text: Column) -> Column:

@@ -76,7 +76,7 @@ def labels(spark, d):
 
 
 def health(spark, d):
-    return R.health(table(spark, d, "events").filter("event_id % 7 <> 0"), "user_id", "event_type", ["purchase", "signup", "click"])
+    return R.health(table(spark, d, "events"), "user_id", "event_type", ["purchase", "signup", "click"])
 
 
 def evidence(spark, d):
