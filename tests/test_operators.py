@@ -136,3 +136,17 @@ def test_health_counts_every_event(spark):
     sf = "/root/testdata/sf0.001"
     got = {r.user_id: r.n for r in research.health(spark, sf).collect()}
     assert got == {r.user_id: r["count"] for r in spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").count().collect()}
+
+
+def test_macd_conditions(spark):
+    closes = [100 + 10 * math.sin(i / 4) + i / 5 for i in range(60)]
+    rows = bars(spark, closes).unionByName(bars(spark, closes[::-1], "Y"))
+    out = backtest.indicators(rows, [{"type": "macd_above_signal"}, {"type": "momentum_above", "period": 1}, {"type": "macd_below_signal"}])
+    assert out.columns == [*rows.columns, "c0", "c1", "c2"] and out.count() == 120
+    for ticker, own in (("X", closes), ("Y", closes[::-1])):
+        c = pd.Series(own)
+        macd = c.ewm(span=12, adjust=False).mean() - c.ewm(span=26, adjust=False).mean()
+        signal = macd.ewm(span=9, adjust=False).mean()
+        got = out.filter(F.col("ticker") == ticker)
+        assert column(got, "c0") == (macd > signal).tolist() and column(got, "c2") == (macd < signal).tolist()
+        assert any(column(got, "c0")) and any(column(got, "c2"))

@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import YEAR, by_date, change, drawdown, gains, growth, ratio, rolling, rsi, so_far
+from tidemark.operators.features import exponential
 
 
 def indicators(bars: DataFrame, conditions: list[dict]) -> DataFrame:
     """bars with a flag column for each condition, c0, c1, ...: false where its indicator is not there yet or its type is unknown."""
     up, down = gains("close")
     out = bars.withColumns({"_up": up, "_down": down})
+    if any(c["type"] in ("macd_above_signal", "macd_below_signal") for c in conditions):
+        lines = exponential(bars, (12, 26)).select(F.col("ticker").alias("_ticker"), F.col("date").alias("_date"), F.col("macd").alias("_macd"), F.col("macd_signal").alias("_signal"))
+        out = out.join(lines, F.col("ticker").eqNullSafe(F.col("_ticker")) & F.col("date").eqNullSafe(F.col("_date")), "left")
     sma = lambda n: rolling(F.avg, "close", n)
     close = F.col("close")
 
@@ -24,11 +28,12 @@ def indicators(bars: DataFrame, conditions: list[dict]) -> DataFrame:
             "rsi_below": lambda: rsi_of() < (30 if value is None else value), "rsi_above": lambda: rsi_of() > (70 if value is None else value),
             "price_above_sma": lambda: close > sma(n or 50), "price_below_sma": lambda: close < sma(n or 50),
             "sma_fast_above_slow": lambda: sma(fast) > sma(slow), "sma_fast_below_slow": lambda: sma(fast) < sma(slow),
+            "macd_above_signal": lambda: F.col("_macd") > F.col("_signal"), "macd_below_signal": lambda: F.col("_macd") < F.col("_signal"),
             "momentum_above": lambda: change("close", n or 20) > (value or 0), "momentum_below": lambda: change("close", n or 20) < (value or 0),
         }
         return kinds.get(c["type"], lambda: F.lit(False))()
 
-    return out.withColumns({f"c{i}": F.coalesce(flag(c), F.lit(False)) for i, c in enumerate(conditions)}).drop("_up", "_down")
+    return out.withColumns({f"c{i}": F.coalesce(flag(c), F.lit(False)) for i, c in enumerate(conditions)}).drop("_up", "_down", "_ticker", "_date", "_macd", "_signal")
 
 
 def joined(flags: list[Column], mode: str = "all") -> Column:
