@@ -50,3 +50,12 @@ def test_redacted(spark):
     assert got[1].text == "key [secret] and [secret] end" and got[1].n_chars == len(got[1].text) and got[1].spans == "keep"
     assert tuple(got[2]) == rows[1] and tuple(got[3]) == rows[2] and redacted(docs).columns == docs.columns
     assert redacted(docs.limit(0)).count() == 0
+
+
+def test_keys_of_mixed_case_letters_are_found(spark):
+    rng = random.Random(5)
+    key = lambda n: "".join(rng.sample("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", n))
+    keys = [key(24), key(40), f"{key(20)}_{key(20)}", f"{key(13)}-{key(13)}"]
+    words = ["somewhat_long_identifier_of_words", "Path/To/Quickly/Found/Big/Words", "JUMPING-FOXES-QUICKLY-WALTZ", "abcdefghijklmnopqrstuvwxyz"]
+    got = {r.text: r.spans for r in scan(spark.createDataFrame([(x,) for x in keys + words], "text string")).collect()}
+    assert all("base64_entropy" in got[k] for k in keys) and all(got[w] == "" for w in words)

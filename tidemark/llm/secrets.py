@@ -28,8 +28,8 @@ CLASSES = (
 )
 #: Every match but those of assign is a run of 20 of these at least; texts without one need no further look.
 GATE = "[A-Za-z0-9+/_-]{20}"
-#: Candidates that match one of these are no secrets: words, numbers, identifiers of words, paths, placeholders.
-ALLOWED = (r"^[A-Z]?[a-z]+$|^[A-Z]+$", r"^[0-9]+$", r"^[A-Za-z]+([_/-][A-Za-z]+)*[_/-]?$", r"(?i)example|placeholder|changeme|dummy|x{6}|0{12}")
+#: Candidates that match one of these are no secrets: words of one case or capitalised, numbers, identifiers of words, paths, placeholders.
+ALLOWED = (r"^[A-Z]?[a-z]+$|^[A-Z]+$", r"^[0-9]+$", r"^([A-Z]?[a-z]+|[A-Z]+)([_/-]([A-Z]?[a-z]+|[A-Z]+))*[_/-]?$", r"(?i)example|placeholder|changeme|dummy|x{6}|0{12}")
 
 
 def _long(pattern: str, least: int) -> str:
