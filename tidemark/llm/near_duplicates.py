@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import documents, written
+from .shared import documents, slices, written
 from .shingles import mixed, shingle_hashes, shingle_set, words_of
 
 ROWS, BANDS = 7, 48  # a pair at similarity 0.8 shares no band with probability 1.2e-5, one at 0.1 shares one with 5e-6
 BLOCK = 512  # members of a cluster that are compared at once with as many others
 SLACK = 0.11  # five standard deviations of a signature's agreement at similarity 0.8
 SEED = 20_240_501
+SLICE_BYTES = 4 << 20  # text sketched at once
 
 SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>, signature binary"
 
@@ -37,7 +38,7 @@ def sketches(docs: DataFrame, *, words: int, rows: int = ROWS, bands: int = BAND
         a = rng.integers(0, 1 << 31, rows * bands, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         b = rng.integers(0, 1 << 32, rows * bands, dtype=np.uint32)
         salt = rng.integers(0, 1 << 63, bands, dtype=np.uint64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE_BYTES)):
             sets = shingle_hashes(batch.column(1), words)
             keys, band_keys, signatures = [], [], []
             for s in sets:

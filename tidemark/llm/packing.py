@@ -10,12 +10,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, tasks_for_bytes
-from .tokenize import END_ID, default_path, encoder
+from .shared import documents, slices, tasks_for_bytes
+from .tokenize import END_ID, SLICE_BYTES, default_path, encoder
 
 WINDOW = 4096
 TASK_BYTES = 16 << 20  # text per packing task
-BATCH_IDS = 8 << 20  # ids that a task packs at once; bounds its memory
+BATCH_IDS = 4 << 20  # ids that a task packs at once; bounds its memory
+OUT_ROWS = 256  # pieces handed over at once
 RUN_WINDOWS = 64  # windows' worth of ids packed at once where an order is to be kept; bounds how far a piece can move
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -118,17 +119,17 @@ def pack(docs: DataFrame, tokenizer: str, *, slots: DataFrame | None = None, win
         table = encoder(tokenizer)
         first = TaskContext.get().partitionId() << 32
         pieces = _Pieces(window)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE_BYTES)):
             flat, bounds = table.encode(batch.column(1), end_id)
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 pieces.add(doc_id, flat[bounds[i] : bounds[i + 1]])
                 if pieces.total >= most:
                     out, first = pieces.packed(first)
-                    yield from (out.slice(i, 2048) for i in range(0, out.num_rows, 2048))
+                    yield from (out.slice(i, OUT_ROWS) for i in range(0, out.num_rows, OUT_ROWS))
                     pieces = _Pieces(window)
         if pieces.total:
             out, first = pieces.packed(first)
-            yield from (out.slice(i, 2048) for i in range(0, out.num_rows, 2048))
+            yield from (out.slice(i, OUT_ROWS) for i in range(0, out.num_rows, OUT_ROWS))
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     tasks = tasks_for_bytes(narrow, "text", task_bytes)

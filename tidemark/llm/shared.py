@@ -5,14 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), a new local folder becomes it."""
+    """The folder named in spark.checkpoint.dir; where it is unset, a new local folder becomes it in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(folder)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -43,3 +48,14 @@ def tasks_for_bytes(df: DataFrame, column: str, each: int) -> int:
     """How many tasks of about `each` bytes the text of df makes; one pass over that column."""
     total = df.agg(F.sum(F.octet_length(column).cast("long")).alias("b")).first().b or 0
     return max(1, -(-total // each))
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int):
+    """The batch in slices whose texts have `most` bytes, or that are one row: what a task holds does not follow Arrow's batch size."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(ends, most + (ends[begin - 1] if begin else 0), "right")))
+        # copied, as kernels on parts of an array may read its buffers from their start
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(begin, end - begin), c.slice(0, 0)]) for c in batch.columns], schema=batch.schema)
+        begin = end

@@ -19,7 +19,8 @@ import pyarrow.compute as pc
 import regex
 
 END_ID = 2
-TABLE_LIMIT = 600_000  # chunks kept per Python worker; what comes later is encoded once per batch
+TABLE_LIMIT = 200_000  # chunks kept per Python worker; what comes later is encoded once per slice
+SLICE_BYTES = 8 << 20  # text encoded at once
 LONGEST_KEPT = 48  # characters; longer chunks are not kept
 JOINED = 4096  # chunks encoded in one call
 WORD_END = "</w>"

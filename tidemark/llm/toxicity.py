@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, slices
 
 BUCKETS = 1 << 20
 FACTORS = 4
@@ -25,6 +25,7 @@ FIT_ROWS = 12_000  # labelled documents that a fit uses at most: those of least
 STEPS, RATE, DECAY = 300, 0.05, 2e-4
 STARTS = (4, 5, 6, 7, 8)  # bytes of the word starts
 WIDTH = 24  # bytes of a word that are hashed
+SLICE_BYTES = 2 << 20  # text whose terms are taken at once
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -79,27 +80,25 @@ def _gain(with_: np.ndarray, of: float, other: np.ndarray, of_other: float) -> n
     return out
 
 
-def fit_machine(texts: pa.Array, labels: np.ndarray) -> dict[str, np.ndarray] | None:
-    """Bias, kept buckets, weights and factors; None without rows of both labels."""
+def fit_machine(sizes: np.ndarray, buckets: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray] | None:
+    """Bias, kept buckets, weights and factors; None without rows of both labels. buckets: those of the rows' terms, one row
+    after the other, of which each has `sizes`."""
     y = labels.astype(np.float32)
     if not len(y) or y.min() == y.max():
         return None
-    found = [_terms(texts.slice(i, 1000)) for i in range(0, len(texts), 1000)]
-    counts = np.zeros((2, BUCKETS))
-    for i, (doc, bucket) in enumerate(found):
-        toxic = y[1000 * i + doc] > 0
-        counts[1] += np.bincount(bucket[toxic], minlength=BUCKETS)
-        counts[0] += np.bincount(bucket[~toxic], minlength=BUCKETS)
-    gain = _gain(counts[1], y.sum(), counts[0], len(y) - y.sum())
-    kept = np.lexsort((np.arange(BUCKETS), -gain))[:KEPT]
-    kept = np.sort(kept[gain[kept] >= LEAST_GAIN])
-    place = np.full(BUCKETS, -1)
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
+    toxic = y[doc] > 0
+    counts = np.stack([np.bincount(buckets[~toxic], minlength=BUCKETS), np.bincount(buckets[toxic], minlength=BUCKETS)])
+    there = np.flatnonzero(counts.any(axis=0))
+    gain = _gain(counts[1, there], y.sum(), counts[0, there], len(y) - y.sum())
+    best = np.lexsort((there, -gain))[:KEPT]
+    kept = np.sort(there[best[gain[best] >= LEAST_GAIN]])
+    place = np.full(BUCKETS, -1, np.int32)
     place[kept] = np.arange(len(kept))
     x = np.zeros((len(y), len(kept)), np.float32)
-    for i, (doc, bucket) in enumerate(found):
-        inside = place[bucket] >= 0
-        x[1000 * i + doc[inside], place[bucket[inside]]] = 1
-    del found
+    inside = place[buckets] >= 0
+    x[doc[inside], place[buckets[inside]]] = 1
+    del doc, toxic, counts, inside
     rng = np.random.default_rng(3)
     p = [np.float32(np.log(y.mean() / (1 - y.mean()))), np.zeros(len(kept), np.float32), (rng.standard_normal((len(kept), FACTORS)) * 0.01).astype(np.float32)]
     m, v = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p]
@@ -119,7 +118,7 @@ def fit_machine(texts: pa.Array, labels: np.ndarray) -> dict[str, np.ndarray] |
 def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS) -> bytes | None:
     """A machine fitted to at most `rows` labelled documents, those of least hash of doc_id, in one task.
 
-    labels: doc_id, toxic. Null labels don't count; of repeated ones the largest does, of repeated documents the first
+    labels: doc_id, toxic. Null labels don't count; of repeated ones the largest does, of repeated documents the least
     text. The model is a few kilobytes; None without documents of both labels.
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
@@ -127,17 +126,26 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS) -> bytes |
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
     chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
+    def terms(batches):
+        for batch in batches:
+            for part in slices(batch, 1, SLICE_BYTES):
+                doc, bucket = _terms(part.column(1))
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)), pa.int32()), pa.array(bucket, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists], names=["doc_id", "toxic", "terms"])
+
     def run(batches):
         batches = list(batches)
         if batches:
-            table = pa.Table.from_batches(batches).combine_chunks().sort_by("doc_id").combine_chunks()
-            machine = fit_machine(table.column("text").chunk(0), table.column("toxic").to_numpy())
+            table = pa.Table.from_batches(batches).sort_by("doc_id").combine_chunks()
+            lists = table.column("terms").chunk(0)
+            machine = fit_machine(np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), table.column("toxic").to_numpy())
             if machine is not None:
                 out = io.BytesIO()
                 np.savez(out, **machine)
                 yield pa.RecordBatch.from_pydict({"model": [out.getvalue()]})
 
-    found = chosen.coalesce(1).mapInArrow(run, "model binary").first()
+    # terms are taken side by side; their numbers, of at most `rows` documents, meet in one task
+    found = chosen.mapInArrow(terms, "doc_id long, toxic int, terms array<int>").repartition(1).mapInArrow(run, "model binary").first()
     return bytes(found.model) if found else None
 
 
@@ -166,14 +174,12 @@ def toxicity_scores(docs: DataFrame, model: bytes | None) -> DataFrame:
         return docs.withColumn("toxicity", F.lit(0.0))
     held: list[_Scorer] = []
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         if not held:
             held.append(_Scorer(model))
-        arrow = pa.Array.from_pandas(texts, type=pa.large_string())
-        return pd.Series(np.concatenate([held[0].scores(arrow.slice(i, 1000)) for i in range(0, max(1, len(arrow)), 1000)]))
+        parts = slices(pa.RecordBatch.from_arrays([texts], names=["text"]), 0, SLICE_BYTES)
+        return pa.array(np.concatenate([np.empty(0), *(held[0].scores(part.column(0)) for part in parts)]))
 
     return docs.withColumn("toxicity", score(F.col("text").cast("string")))
 
