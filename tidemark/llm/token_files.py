@@ -12,8 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, new_folder, written
-from .tokenize import END_ID, default_path, encoder
+from .shared import documents, new_folder, slices, written
+from .tokenize import END_ID, SLICE_BYTES, default_path, encoder
 
 SEQUENCE = 2048  # ids per row of a file
 BATCH_ROWS = 128  # rows per record batch
@@ -63,7 +63,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, end_id: i
             ids[: len(flat)] = flat
             sequences.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(ids), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length)], schema=schema))
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE_BYTES)):
             if sequences is None:
                 streams = [_open(f"{name}.ids.arrow", "w"), _open(f"{name}.docs.arrow", "w")]
                 sequences, documents_file = pa.ipc.new_file(streams[0], schema), pa.ipc.new_file(streams[1], index)
@@ -102,7 +102,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 yield from _digests(row["ids_file"], row["docs_file"], row["first"])
 
-    spread = placed.select("ids_file", "docs_file", "first").repartition(F.col("ids_file"))
+    # a number keeps adaptive execution from merging these few rows into one task
+    spread = placed.select("ids_file", "docs_file", "first").repartition(max(1, manifest.count()), "ids_file")
     return spread.mapInArrow(read, DIGEST)
 
 

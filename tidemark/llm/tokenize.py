@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 import regex
 
 END_ID = 2
-TABLE_LIMIT = 200_000  # chunks kept per Python worker; what comes later is encoded once per slice
-SLICE_BYTES = 8 << 20  # text encoded at once
+TABLE_LIMIT = 600_000  # chunks kept per Python worker; what comes later is encoded once per slice
+SLICE_BYTES = 16 << 20  # text encoded at once
 LONGEST_KEPT = 48  # characters; longer chunks are not kept
 JOINED = 4096  # chunks encoded in one call
 WORD_END = "</w>"
@@ -61,20 +61,21 @@ class Encoder:
         flat, cut = ids.tobytes(), [0, *(4 * np.concatenate(([0], ends))[after]).tolist()]
         return [flat[a:b] for a, b in zip(cut, cut[1:])]
 
-    def _of_chunks(self, chunks: list[str]) -> list[bytes]:
+    def _of_chunks(self, chunks: list[str], often: np.ndarray) -> list[bytes]:
+        """The ids of different chunks. They are kept while the table has room; its last third is for those that occur often here."""
         new = [c for c in chunks if c not in self.table]
         alone = {c: self.one(c) for c in new if len(c) > LONGEST_KEPT or "<|" in c}
         new = [c for c in new if c not in alone]
         learnt: dict[str, bytes] = {}
         for i in range(0, len(new), JOINED):
             learnt.update(zip(new[i : i + JOINED], self._together(new[i : i + JOINED])))
-        if len(self.table) + len(learnt) <= TABLE_LIMIT:
-            self.table.update(learnt)
-            learnt = alone
-        else:
-            learnt.update(alone)
         table = self.table
-        return [table[c] if c in table else learnt[c] for c in chunks]
+        if 3 * len(table) < 2 * TABLE_LIMIT:
+            table.update(learnt)
+        elif len(table) < TABLE_LIMIT:
+            table.update((c, learnt[c]) for c, kept in zip(chunks, often.tolist()) if kept and c in learnt)
+        learnt.update(alone)
+        return [learnt[c] if c in learnt else table[c] for c in chunks]
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch in a row, and where each text's begin (one bound more than texts). Null: empty."""
@@ -86,8 +87,8 @@ class Encoder:
             spaced = pc.replace_substring(pc.replace_substring(texts, "\n", " "), "\t", " ")
             split = pc.split_pattern(spaced, " ")
             coded = pc.dictionary_encode(split.flatten())
-            values = self._of_chunks(coded.dictionary.to_pylist())
             which = coded.indices.to_numpy()
+            values = self._of_chunks(coded.dictionary.to_pylist(), np.bincount(which, minlength=len(coded.dictionary)) > 1)
             size = np.fromiter(map(len, values), np.int64, len(values)) // 4
             pool, begin = np.frombuffer(b"".join(values), "<u4"), np.cumsum(size) - size
             sizes = size[which]
