@@ -70,13 +70,6 @@ def gains(c: Column | str, w=None) -> tuple[Column, Column]:
     return F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0)))
 
 
-def ema_list(values: Column, span: float) -> Column:
-    """Exponential means of an array, each from the one before: e + a * (x - e), a = 2 / (span + 1), the first as it is."""
-    a = 2.0 / (span + 1)
-    start = F.array().cast("array<double>")
-    return F.aggregate(values, start, lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(F.try_element_at(acc, F.lit(-1)) + a * (x - F.try_element_at(acc, F.lit(-1)))))))
-
-
 def rsi(gain: Column, loss: Column) -> Column:
     """Relative strength index of mean gain and loss; null where there was no loss."""
     return 100 - F.try_divide(F.lit(100.0), 1 + ratio(gain, loss))

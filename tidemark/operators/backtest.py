@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from tidemark.operators.features import exponential
 
 
 def indicators(bars: DataFrame, conditions: list[dict]) -> DataFrame:
-    """bars with a flag column for each condition, c0, c1, ...: false where its indicator is not there yet or its type is unknown."""
+    """bars with a flag column for each condition, c0, c1, ...: false where its indicator is not there yet; unknown types are refused."""
     up, down = gains("close")
     out = bars.withColumns({"_up": up, "_down": down})
     if any(c["type"] in ("macd_above_signal", "macd_below_signal") for c in conditions):
@@ -31,7 +32,9 @@ def indicators(bars: DataFrame, conditions: list[dict]) -> DataFrame:
             "macd_above_signal": lambda: F.col("_macd") > F.col("_signal"), "macd_below_signal": lambda: F.col("_macd") < F.col("_signal"),
             "momentum_above": lambda: change("close", n or 20) > (value or 0), "momentum_below": lambda: change("close", n or 20) < (value or 0),
         }
-        return kinds.get(c["type"], lambda: F.lit(False))()
+        if c["type"] not in kinds:
+            raise ValueError(f"unknown condition {c['type']!r}")
+        return kinds[c["type"]]()
 
     return out.withColumns({f"c{i}": F.coalesce(flag(c), F.lit(False)) for i, c in enumerate(conditions)}).drop("_up", "_down", "_ticker", "_date", "_macd", "_signal")
 
@@ -112,3 +115,103 @@ def trades(rows: DataFrame) -> DataFrame:
 
 def monthly(rows: DataFrame) -> DataFrame:
     return rows.groupBy("ticker", F.to_date(F.date_trunc("month", "date")).alias("month")).agg((F.product(1 + F.col("strategy_return")) - 1).alias("month_return"))
+
+
+def measure(m: dict) -> Column:
+    """An indicator of the rule engine: PRICE, CONST, SMA, RSI, MOMENTUM (percent) or BB (a Bollinger band: UPPER, MID or LOWER)."""
+    n, kind, close = m.get("period", 20), m["kind"], F.col("close")
+    if kind == "PRICE":
+        return close
+    if kind == "CONST":
+        return F.lit(float(m["value"]))
+    if kind == "MOMENTUM":
+        return change("close", n) * 100
+    if kind == "RSI":
+        up, down = (rolling(F.sum, c, n) for c in ("_up", "_down"))
+        return F.when(up + down == 0, 50.0).otherwise(100 - 100 / (1 + up / F.greatest(down, F.lit(1e-9))))
+    if kind in ("SMA", "BB"):
+        middle = rolling(F.avg, "close", n)
+        sign = {"UPPER": 1, "LOWER": -1}.get(m.get("band"), 0) if kind == "BB" else 0
+        return middle + sign * 2 * rolling(F.stddev_pop, "close", n)
+    raise ValueError(f"unknown indicator {kind!r}")
+
+
+def rules(bars: DataFrame, conditions: list[dict]) -> DataFrame:
+    """bars with a flag for each condition (left, op, right), c0, c1, ...: false where a side is missing. op: > < >= <= ==, and CROSS_UP and
+    CROSS_DN, which hold in the row where left comes to lie above or below right."""
+    up, down = gains("close")
+    sides = {f"_{side}{i}": c[side] for i, c in enumerate(conditions) for side in ("left", "right")}
+    out = bars.withColumns({"_up": up, "_down": down})
+    out = out.withColumns({name: measure(m) for name, m in sides.items()})
+
+    def flag(i: int, op: str) -> Column:
+        a, b = F.col(f"_left{i}"), F.col(f"_right{i}")
+        pa, pb = F.lag(a).over(by_date()), F.lag(b).over(by_date())
+        kinds = {">": a > b, "<": a < b, ">=": a >= b, "<=": a <= b, "==": F.abs(a - b) < 1e-9, "CROSS_UP": (pa <= pb) & (a > b), "CROSS_DN": (pa >= pb) & (a < b)}
+        return F.coalesce(kinds[op], F.lit(False))
+
+    return out.withColumns({f"c{i}": flag(i, c["op"]) for i, c in enumerate(conditions)}).drop("_up", "_down", *sides)
+
+
+def held_rows(rows: DataFrame, take: float | None = None, stop: float | None = None) -> DataFrame:
+    """(ticker, date, held, entry_close, exited): held in a row if entered in an earlier one, at a close where `enter` holds while flat; left at
+    a close where `leave` holds or that gained `take` or lost `stop` since. Depends on the path: each ticker is walked once."""
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, out, at = pdf.sort_values("date"), [], None
+        for i, (close, enter, leave) in enumerate(zip(pdf["close"], pdf["enter"], pdf["leave"])):
+            if at is None:
+                out.append((0, None, False))
+                at = close if enter and i else None
+                continue
+            gain = close / at - 1
+            gone = bool(leave or (take is not None and gain >= take) or (stop is not None and gain <= -stop))
+            out.append((1, at, gone))
+            at = None if gone else at
+        held, entry, gone = zip(*out)
+        return pd.DataFrame({"ticker": pdf["ticker"].to_numpy(), "date": pdf["date"].to_numpy(), "held": held, "entry_close": pd.array(entry, dtype="Float64"), "exited": gone})
+
+    return rows.select("ticker", "date", "close", "enter", "leave").groupBy("ticker").applyInPandas(walk, "ticker string, date date, held int, entry_close double, exited boolean")
+
+
+def sized(rows: DataFrame, sizing: dict) -> DataFrame:
+    """rows (held) with scale, strategy_return and equity. sizing: FIXED (percent), VOL_TARGET (the wanted volatility over that of the last 20
+    returns, 2 at most; 1 in the first 20 rows) or KELLY (fraction)."""
+    r = change("close")
+    i = F.row_number().over(by_date())
+    kind = sizing["kind"]
+    rows = rows.withColumns({"_r": F.coalesce(r, F.lit(0.0)), "_i": i})
+    realized = F.sqrt(F.avg(F.pow("_r", 2)).over(by_date().rowsBetween(-19, 0))) * YEAR**0.5
+    scale = {"FIXED": lambda: F.lit(sizing["percent"] / 100), "KELLY": lambda: F.lit(float(sizing["fraction"])), "VOL_TARGET": lambda: F.when(F.col("_i") > 21, F.least(F.lit(2.0), sizing["target"] / F.greatest(F.lit(0.05), realized))).otherwise(1.0)}[kind]()
+    rows = rows.withColumn("scale", scale).withColumn("strategy_return", F.col("held") * F.col("_r") * F.col("scale"))
+    return rows.withColumn("equity", growth("strategy_return")).drop("_r", "_i")
+
+
+def engine(bars: DataFrame, entry: list[dict], leave: list[dict], sizing: dict, take: float | None = None, stop: float | None = None) -> DataFrame:
+    """bars with held, scale, strategy_return and equity of a strategy: in where all entry rules hold, out where any exit rule does or a bound is met."""
+    flags = rules(bars, entry + leave)
+    n = len(entry)
+    flags = flags.withColumns({"enter": joined([F.col(f"c{i}") for i in range(n)]) if n else F.lit(True), "leave": joined([F.col(f"c{n + i}") for i in range(len(leave))], "any")})
+    held = held_rows(flags, take, stop)
+    return sized(bars.join(held, ["ticker", "date"]), sizing)
+
+
+def engine_statistics(rows: DataFrame) -> DataFrame:
+    """Per ticker, of engine(): growth, Sharpe and Sortino over the rows with a return, drawdown, and the trades' win rate, profit factor and number.
+    A trade that is open in the last row counts with its gain there."""
+    r, n = F.col("strategy_return"), F.count(F.lit(1))
+    active = F.when(r != 0, r)
+    last = F.max("date").over(Window.partitionBy("ticker"))
+    closes = (F.col("held") == 1) & (F.col("exited") | (F.col("date") == last))
+    rows = rows.withColumns({"_dd": drawdown("equity"), "_closes": closes}).withColumn("_gain", F.when(F.col("_closes"), (F.col("close") / F.col("entry_close") - 1) * 100))
+    gain = F.col("_gain")
+    out = rows.groupBy("ticker").agg(
+        F.max_by("equity", "date").alias("_e"), n.alias("_n"), F.coalesce(F.avg(active), F.lit(0.0)).alias("_m"), F.coalesce(F.stddev_samp(active), F.lit(0.0)).alias("_s"),
+        F.coalesce(F.sqrt(F.avg(F.when(r < 0, r * r))), F.lit(0.0)).alias("_d"), F.least(F.min("_dd"), F.lit(0.0)).alias("max_drawdown"), F.coalesce(F.avg((gain > 0).cast("double")), F.lit(0.0)).alias("win_rate"),
+        F.coalesce(F.sum(F.when(gain > 0, gain)), F.lit(0.0)).alias("_w"), F.coalesce(-F.sum(F.when(gain <= 0, gain)), F.lit(0.0)).alias("_l"), F.count(gain).alias("trades"), (F.sum("held") / n).alias("exposure"),
+    )
+    some = lambda a, b: F.when(F.col(b) > 0, F.col(a) * YEAR / (F.col(b) * YEAR**0.5)).otherwise(0.0)
+    return out.withColumns({
+        "cagr": F.pow("_e", 1 / F.greatest(F.lit(0.1), F.col("_n") / YEAR)) - 1, "sharpe": some("_m", "_s"), "sortino": some("_m", "_d"),
+        "profit_factor": F.when(F.col("_l") > 0, F.col("_w") / F.col("_l")).when(F.col("_w") > 0, 99.0).otherwise(0.0),
+    }).drop("_e", "_n", "_m", "_s", "_d", "_w", "_l")

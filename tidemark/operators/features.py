@@ -5,10 +5,11 @@ Every function adds columns over one window per ticker, so that a chain of them
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import by_date, YEAR, change, drawdown, ema_list, gains, growth, log_return, ratio, rolling, rolling2, rsi, zscore
+from tidemark.functions.windows import by_date, YEAR, change, drawdown, gains, growth, log_return, ratio, rolling, rolling2, rsi, zscore
 
 LAGS, MOMENTA, AVERAGES, VOLATILITIES = (1, 2, 3, 5, 10, 20), (5, 10, 20, 60, 120), (10, 20, 50, 100, 200), (5, 10, 20, 30, 60)
 
@@ -96,16 +97,22 @@ def technicals(bars: DataFrame) -> DataFrame:
 def exponential(bars: DataFrame, spans=(9, 12, 20, 26, 50)) -> DataFrame:
     """Exponential means of the close, and MACD (12 less 26) with its signal of 9 and their difference.
 
-    Each ticker's closes are folded in date order as one array; a ticker has one row a period, so it is bounded by time.
+    Each mean depends on the one before, so a ticker is one pass over its rows in order, in Arrow batches.
     """
-    rows = bars.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "close"))).alias("rows"))
-    closes = F.transform("rows", lambda r: r["close"])
-    rows = rows.withColumns({f"ema_{n}": ema_list(closes, n) for n in spans})
-    rows = rows.withColumn("macd", F.zip_with("ema_12", "ema_26", lambda a, b: a - b))
-    rows = rows.withColumn("macd_signal", ema_list(F.col("macd"), 9))
-    names = [*(f"ema_{n}" for n in spans), "macd", "macd_signal"]
-    each = rows.select("ticker", F.explode(F.arrays_zip("rows", *names)).alias("r"))
-    return each.select("ticker", "r.rows.date", "r.rows.close", *(f"r.{n}" for n in names), (F.col("r.macd") - F.col("r.macd_signal")).alias("macd_histogram"))
+    names = [*(f"ema_{n}" for n in spans), "macd", "macd_signal", "macd_histogram"]
+
+    def means(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        mean = lambda x, n: x.ewm(span=n, adjust=False).mean()
+        for n in spans:
+            pdf[f"ema_{n}"] = mean(pdf["close"], n)
+        pdf["macd"] = mean(pdf["close"], 12) - mean(pdf["close"], 26)
+        pdf["macd_signal"] = mean(pdf["macd"], 9)
+        pdf["macd_histogram"] = pdf["macd"] - pdf["macd_signal"]
+        return pdf
+
+    schema = "ticker string, date date, close double, " + ", ".join(f"{n} double" for n in names)
+    return bars.select(F.col("ticker").cast("string"), "date", F.col("close").cast("double")).groupBy("ticker").applyInPandas(means, schema)
 
 
 def year_range(bars: DataFrame, n: int = 252) -> DataFrame:

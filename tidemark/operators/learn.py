@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import ratio
 
+BINS = 1024  # parts of the range of probabilities in which ranks are counted side by side
+
 
 def models(seed: int = 42) -> dict:
     return {
@@ -22,6 +25,46 @@ def models(seed: int = 42) -> dict:
     }
 
 
+def regressors(seed: int = 42) -> dict:
+    return {
+        "linear_regression": LinearRegression(featuresCol="x", labelCol="y", solver="normal"),
+        "random_forest": RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=30, maxDepth=5, seed=seed),
+        "gradient_boosting": GBTRegressor(featuresCol="x", labelCol="y", maxIter=15, maxDepth=3, seed=seed),
+    }
+
+
+def fitted(rows: DataFrame, features: list[str], model) -> PipelineModel:
+    """A pipeline that assembles the features and fits a model to y."""
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), model]).fit(rows.dropna(subset=[*features, "y"]))
+
+
+def importance(model: PipelineModel, features: list[str], spark) -> DataFrame:
+    """(rank, feature, importance) of a fitted pipeline: importances of trees, coefficients of linear models, largest in size first."""
+    last = model.stages[-1]
+    values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else last.coefficients.toArray() if hasattr(last, "coefficients") else np.zeros(len(features))
+    rows = sorted(zip(features, map(float, values)), key=lambda x: (-abs(x[1]), x[0]))
+    return spark.createDataFrame([(i + 1, f, v) for i, (f, v) in enumerate(rows)], "rank int, feature string, importance double")
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def regression_suite(rows: DataFrame, features: list[str], test_size: float = 0.2) -> DataFrame:
+    """Every regressor fitted to the first rows and scored on the last, by root mean square error. rows: ticker, date, features, y."""
+    rows = chronological(rows.dropna(subset=[*features, "y"]), test_size)
+    out = None
+    for name, model in regressors().items():
+        p = fitted(rows.filter("train"), features, model).transform(rows.filter("not train"))
+        one = regression_scores(p.select("y", F.col("prediction").alias("p")), "y", "p").withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rmse")))  # one row per model
+
+
 def chronological(rows: DataFrame, test_size: float = 0.2) -> DataFrame:
     """rows with train: true for the first rows of each ticker."""
     by = Window.partitionBy("ticker")
@@ -29,14 +72,23 @@ def chronological(rows: DataFrame, test_size: float = 0.2) -> DataFrame:
 
 
 def scores(rows: DataFrame, by: list[str], label: str = "y", p: str = "p") -> DataFrame:
-    """Accuracy, precision, recall, F1, Brier score, area under the curve (by ranks, ties shared) and share of the larger class."""
-    y, hit = F.col(label), (F.col(p) >= 0.5).cast("int")
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumn("_r", F.rank().over(w.orderBy(p)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, p)) - 1) / 2)
-    pos = F.sum(y)
+    """Accuracy, precision, recall, F1, Brier score, area under the curve (by ranks, ties shared) and share of the larger class.
+
+    Rows are counted by probability first. Ranks are running counts within BINS parts of the range of p, and from part to
+    part over one row for each: a group of any size is ranked by many tasks.
+    """
+    n, pos, prob = F.col("_n"), F.col("_pos"), F.col(p)
+    ties = rows.groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("long")).alias("_pos"))
+    ties = ties.withColumn("_bin", F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), prob)) * BINS))
+    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = ties.groupBy(*by, "_bin").agg(F.sum("_n").alias("_all")).withColumn("_before", F.coalesce(F.sum("_all").over(before), F.lit(0))).drop("_all")
+    inside = Window.partitionBy(*by, "_bin").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ties.withColumn("_own", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(bins, [*by, "_bin"])
+    rank = F.col("_before") + F.col("_own") + (n + 1) / 2
+    hit, total, positives = prob >= 0.5, F.sum("_n"), F.sum("_pos")
     out = ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg((hit == y).cast("double")).alias("accuracy"), F.try_divide(F.sum(hit * y), F.sum(hit)).alias("precision"), F.try_divide(F.sum(hit * y), pos).alias("recall"),
-        F.avg(F.pow(F.col(p) - y, 2)).alias("brier"), F.try_divide(F.sum(F.when(y == 1, F.col("_r"))) - pos * (pos + 1) / 2, pos * (F.count(F.lit(1)) - pos)).alias("auc"), F.greatest(F.avg(y), 1 - F.avg(y)).alias("baseline"),
+        total.alias("n"), (F.sum(F.when(hit, pos).otherwise(n - pos)) / total).alias("accuracy"), F.try_divide(F.sum(F.when(hit, pos)), F.sum(F.when(hit, n))).alias("precision"), F.try_divide(F.coalesce(F.sum(F.when(hit, pos)), F.lit(0)), positives).alias("recall"),
+        (F.sum(pos * F.pow(prob - 1, 2) + (n - pos) * F.pow(prob, 2)) / total).alias("brier"), F.try_divide(F.sum(pos * rank) - positives * (positives + 1) / 2, positives * (total - positives)).alias("auc"), (F.greatest(positives, total - positives) / total).alias("baseline"),
     )
     return out.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0))))
 
@@ -55,7 +107,7 @@ def regression_scores(rows: DataFrame, y: str, p: str) -> DataFrame:
 
 def suite(rows: DataFrame, features: list[str], test_size: float = 0.2) -> DataFrame:
     """Every model fitted to the first rows and scored on the last, best first: by area, then Brier score, then F1. rows: ticker, date, features, y."""
-    rows = chronological(rows.dropna(subset=[*features, "y"]), test_size).cache()
+    rows = chronological(rows.dropna(subset=[*features, "y"]), test_size)
     out = None
     for name, model in models().items():
         fitted = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), model]).fit(rows.filter("train"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.normal import cumulative, density
 
+TREE_ROWS = 1000  # trees that are priced together
+
 
 def _d1(s, k, t, r, v, q) -> Column:
     return (F.ln(s / k) + (r - q + v * v / 2) * t) / (v * F.sqrt(t))
@@ -50,26 +52,30 @@ def tree_prices(quotes: DataFrame, steps: int = 200, american: bool = False) ->
     """quotes (s, k, t, r, v, q, call) with `tree`: the price on a binomial lattice of `steps` steps, at least 2."""
     steps = max(2, steps)
 
+    j = np.arange(steps + 1)
+
     @F.pandas_udf("double")
     def tree(s, k, t, r, v, q, call):
         import pandas as pd
 
         out = []
-        j = np.arange(steps + 1)
-        for s0, k0, t0, r0, v0, q0, c in zip(s, k, t, r, v, q, call):
+        for a in range(0, len(s), TREE_ROWS):
+            # rows by nodes: all trees of a slice go back one step at a time together
+            s0, k0, t0, r0, v0, q0 = (x.to_numpy(float)[a : a + TREE_ROWS, None] for x in (s, k, t, r, v, q))
+            side = np.where(call.to_numpy(bool)[a : a + TREE_ROWS, None], 1.0, -1.0)
             dt = t0 / steps
             up = np.exp(v0 * np.sqrt(dt))
-            p = min(1.0, max(0.0, (np.exp((r0 - q0) * dt) - 1 / up) / (up - 1 / up)))
-            pay = lambda x: np.maximum(x - k0, 0) if c else np.maximum(k0 - x, 0)
+            p = np.clip((np.exp((r0 - q0) * dt) - 1 / up) / (up - 1 / up), 0, 1)
+            fade = np.exp(-r0 * dt)
             spot = s0 * up ** (2.0 * j - steps)
-            value = pay(spot)
+            value = np.maximum(side * (spot - k0), 0)
             for _ in range(steps):
-                spot = spot[1:] / up
-                value = np.exp(-r0 * dt) * (p * value[1:] + (1 - p) * value[:-1])
+                spot = spot[:, 1:] / up
+                value = fade * (p * value[:, 1:] + (1 - p) * value[:, :-1])
                 if american:
-                    value = np.maximum(value, pay(spot))
-            out.append(float(value[0]))
-        return pd.Series(out)
+                    value = np.maximum(value, side * (spot - k0))
+            out.append(value[:, 0])
+        return pd.Series(np.concatenate(out) if out else np.empty(0))
 
     return quotes.withColumn("tree", tree("s", "k", "t", "r", "v", "q", "call"))
 

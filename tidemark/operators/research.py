@@ -109,11 +109,15 @@ def segments(df: DataFrame, by: str, text: str = "text") -> DataFrame:
 
 
 def ewma(bars: DataFrame, decay: float = 0.94) -> DataFrame:
-    """Yearly volatility from squared returns with fading weights, the first one as it is."""
-    rows = bars.withColumn("r", change("close")).filter(F.col("r").isNotNull()).groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "r"))).alias("rows"))
-    step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x["r"] * x["r"]).otherwise(decay * F.try_element_at(acc, F.lit(-1)) + (1 - decay) * x["r"] * x["r"])))
-    rows = rows.withColumn("v", F.aggregate("rows", F.array().cast("array<double>"), step))
-    return rows.select("ticker", F.explode(F.arrays_zip("rows", "v")).alias("x")).select("ticker", "x.rows.date", (F.sqrt("x.v") * 252**0.5).alias("ewma_vol"))
+    """Yearly volatility from squared returns with fading weights, the first one as it is. Each ticker is one pass over its rows in order."""
+
+    def fade(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        v = (pdf["r"] ** 2).ewm(alpha=1 - decay, adjust=False).mean()
+        return pd.DataFrame({"ticker": pdf["ticker"], "date": pdf["date"], "ewma_vol": (v * 252) ** 0.5})
+
+    rows = bars.withColumn("r", change("close")).filter(F.col("r").isNotNull()).select("ticker", "date", "r")
+    return rows.groupBy("ticker").applyInPandas(fade, "ticker string, date date, ewma_vol double")
 
 
 def quote(bars: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def news_impact(df: DataFrame, symbol: str, text: str = "text", related: str | N
     df = sentiment(df, text)
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9']+"), F.lit(0)))
     df = df.withColumn("_w", words)
-    kinds = F.array(*[F.struct(F.size(F.array_intersect("_w", _one_of(terms.split()))).alias("hits"), F.lit(-i).alias("order"), F.lit(name).alias("name"), F.lit(weight).alias("weight")) for i, (name, weight, terms) in enumerate(L.EVENTS)])
+    kinds = F.array(*[F.struct(F.size(F.array_intersect("_w", _one_of(terms))).alias("hits"), F.lit(-i).alias("order"), F.lit(name).alias("name"), F.lit(weight).alias("weight")) for i, (name, weight, terms) in enumerate(L.EVENTS)])
     best = F.array_max(F.filter(kinds, lambda k: k["hits"] > 0))
     base = symbol.split(".")[0].upper()
     tags = F.transform(F.col(related), F.upper) if related else F.array().cast("array<string>")
@@ -71,7 +71,7 @@ def factor_scores(df: DataFrame, by: str, text: str = "text") -> DataFrame:
     return rows.groupBy(by).agg(
         limit(F.sum(0.2 * up - 0.2 * down), -1).alias("sentiment"), limit(F.sum(0.2 * down), 0).alias("risk"), limit(F.sum(0.2 * up - 0.1 * down), -1).alias("growth"),
         *[limit(F.sum(0.3 * (count(v) > 0).cast("double")), 0).alias(k) for k, v in L.FACTORS.items()],
-        limit(F.sum(cash), -1).alias("cash_flow_quality"), limit(F.sum(0.2 * (low.contains("regulat") | low.contains("compliance")).cast("double")), 0).alias("regulatory_risk"), F.count(F.lit(1)).alias("n"),
+        limit(F.sum(0.2 * up - 0.2 * down), -1).alias("management_tone"), limit(F.sum(cash), -1).alias("cash_flow_quality"), limit(F.sum(0.2 * (low.contains("regulat") | low.contains("compliance")).cast("double")), 0).alias("regulatory_risk"), F.count(F.lit(1)).alias("n"),
     )
 
 
@@ -157,15 +157,18 @@ def hybrid(semantic: DataFrame, keyword: DataFrame, k: int = 5, weights=(0.7, 0.
 
 
 def document_metadata(name: Column) -> dict[str, Column]:
-    """Year, quarter and kind of a document by its file name."""
+    """Company, ticker, year, quarter and kind of a document by its file name."""
     n = F.lower(name)
+    hint = ticker = F.lit("Unknown")
+    for word, symbol in reversed(L.TICKER_HINTS):
+        hint, ticker = F.when(n.contains(word), word.capitalize()).otherwise(hint), F.when(n.contains(word), symbol).otherwise(ticker)
     has = lambda *w: [n.contains(x) for x in w]
     annual, report, quarterly, result, earnings, transcript = has("annual", "report", "quarterly", "result", "earnings", "transcript")
     kind = F.when(annual & report, "annual_report").when(quarterly | result | (earnings & ~transcript), "quarterly_result")
     for a, b, label in (("presentation", "deck", "investor_presentation"), ("transcript", "call", "earnings_transcript"), ("news", "article", "news_article"), ("broker", "initiation", "brokerage_report"), ("sector", "industry", "sector_report")):
         kind = kind.when(n.contains(a) | n.contains(b), label)
     found = lambda p: F.coalesce(F.nullif(F.upper(F.regexp_extract(n, p, 1)), F.lit("")), F.lit("Unknown"))
-    return {"fiscal_year": found(r"(20[0-9]{2})"), "quarter": found("(q[1-4])"), "document_type": kind.otherwise("unknown")}
+    return {"company": hint, "ticker": ticker, "fiscal_year": found(r"(20[0-9]{2})"), "quarter": found("(q[1-4])"), "document_type": kind.otherwise("unknown")}
 
 
 def first_of(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -60,7 +60,7 @@ def option_tree(spark, d):
 
 
 def option_surface(spark, d):
-    return P.nearest_surface(_quotes(spark, d).select("t", F.ln(F.col("k") / F.col("s")).alias("m"), F.col("v").alias("iv")))
+    return _out(P.nearest_surface(_quotes(spark, d).select("t", F.ln(F.col("k") / F.col("s")).alias("m"), F.col("v").alias("iv"))))
 
 
 def option_term_structure(spark, d):

@@ -10,7 +10,7 @@ from tidemark.operators import learn as L
 from tidemark.operators import optimize as O
 from tidemark.operators import simulate as M
 from tidemark.operators import stats as S
-from tidemark.plans.sql import LAGGED, OVER, WEEKLY, rolling
+from tidemark.plans.sql import LAGGED, OVER, WEEKLY, out, rolling
 from tidemark.plans.sql import rounded as sql
 from tidemark.sources.bars import table, weekly_bars
 
@@ -55,6 +55,20 @@ def thresholds(spark, d):
     return out.select("threshold", "signals", rounded("precision").alias("precision"), rounded("recall").alias("recall"))
 
 
+def _next_return(spark, d):
+    return _rows(spark, d).drop("y").withColumn("y", F.col("future_return"))
+
+
+def linear(spark, d):
+    """Coefficients of the next return on two features, by the normal equations."""
+    rows = _next_return(spark, d)
+    return out(L.importance(L.fitted(rows, ["simple_return", "momentum_5"], L.regressors()["linear_regression"]), ["simple_return", "momentum_5"], spark), 5)
+
+
+def regression_suite(spark, d):
+    return L.regression_suite(_next_return(spark, d), FEATURES)
+
+
 def regression(spark, d):
     """The next return foretold by the last one."""
     rows = X.targets(X.returns(weekly_bars(spark, d))).select("future_return", "simple_return").dropna()
@@ -77,7 +91,7 @@ def hidden_markov(spark, d):
 def weights(spark, d):
     bars = weekly_bars(spark, d)
     means = S.with_returns(bars).groupBy("ticker").agg((F.avg("r") * 252).alias("mu"))
-    return O.compared(spark, means, S.covariances(bars))
+    return out(O.compared(spark, means, S.covariances(bars)))
 
 
 def _paths(spark):
@@ -85,21 +99,21 @@ def _paths(spark):
 
 
 def simulation(spark, d):
-    return M.summary(_paths(spark), 100.0)
+    return out(M.summary(_paths(spark), 100.0))
 
 
 def simulation_bands(spark, d):
-    return M.bands(_paths(spark))
+    return out(M.bands(_paths(spark)))
 
 
 def simulation_densities(spark, d):
-    return M.densities(_paths(spark))
+    return out(M.densities(_paths(spark)))
 
 
 _Y = "d AS (SELECT quality AS y, n_chars / (n_chars + 1500.0) AS p FROM documents JOIN labels USING (doc_id))"
 
 QUERIES = {
-    "model_split": chronological, "model_suite": suite, "model_walk_forward": walk_forward, "model_scores": scores, "model_thresholds": thresholds, "model_regression": regression,
+    "model_split": chronological, "model_suite": suite, "model_walk_forward": walk_forward, "model_scores": scores, "model_thresholds": thresholds, "model_regression": regression, "model_importance": linear, "model_regression_suite": regression_suite,
     "regime_kmeans": kmeans, "regime_mixture": mixture, "regime_hidden_markov": hidden_markov, "portfolio_weights": weights,
     "simulate_summary": simulation, "simulate_bands": simulation_bands, "simulate_densities": simulation_densities,
 }
@@ -113,6 +127,9 @@ ORACLE_SQL = {
         SELECT 'all' AS g, n, {sql(accuracy='a', precision='pr', recall='re', f1='2 * pr * re / nullif(pr + re, 0)', brier='b', auc='auc', baseline='base')} FROM g""",
     "model_thresholds": f"""WITH {_Y} SELECT round(0.5 + 0.05 * k, 2)::DOUBLE AS threshold, CAST(sum(CAST(p >= round(0.5 + 0.05 * k, 2) AS INTEGER)) AS BIGINT) AS signals, round(sum(CASE WHEN p >= round(0.5 + 0.05 * k, 2) THEN y ELSE 0 END) / nullif(sum(CAST(p >= round(0.5 + 0.05 * k, 2) AS INTEGER)), 0), 6)::DOUBLE AS precision,
         round(sum(CASE WHEN p >= round(0.5 + 0.05 * k, 2) THEN y ELSE 0 END) / sum(y), 6)::DOUBLE AS recall FROM d, range(9) t(k) GROUP BY k""",
+    "model_importance": f"""WITH {LAGGED}, f AS (SELECT lead(close) {OVER} / close - 1 AS y, simple_return AS a, close / lag(close, 5) {OVER} - 1 AS b FROM r), e AS (SELECT * FROM f WHERE y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL),
+        m AS (SELECT covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(b, b) AS bb, covar_pop(a, y) AS ay, covar_pop(b, y) AS cy FROM e), k AS (SELECT unnest(['simple_return', 'momentum_5']) AS feature, unnest([(ay * bb - cy * ab) / (aa * bb - ab * ab), (cy * aa - ay * ab) / (aa * bb - ab * ab)]) AS v FROM m)
+        SELECT CAST(row_number() OVER (ORDER BY abs(v) DESC) AS INTEGER) AS rank, feature, round(v, 5) AS importance FROM k""",
     "model_regression": f"""WITH {LAGGED}, f AS (SELECT lead(close) {OVER} / close - 1 AS y, simple_return AS p FROM r), e AS (SELECT * FROM f WHERE y IS NOT NULL AND p IS NOT NULL)
         SELECT {sql(mae='avg(abs(y - p))', rmse='sqrt(avg(pow(y - p, 2)))', r2='1 - sum(pow(y - p, 2)) / (var_pop(y) * count(y))', direction='avg(CAST(sign(y) = sign(p) AS DOUBLE))')} FROM e""",
 }

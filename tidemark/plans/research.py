@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import change, rounded
+from tidemark.operators import filings as D
 from tidemark.operators import learn as L
 from tidemark.operators import records as K
 from tidemark.operators import research as R
@@ -14,6 +15,7 @@ from tidemark.plans import market
 from tidemark.plans.sql import OVER, WEEKLY
 from tidemark.plans.sql import rounded as sql
 from tidemark.sources.bars import table, weekly_bars
+from tidemark.sources.news import NEWS, headlines
 
 QUERY = "market risk growth"
 
@@ -79,13 +81,19 @@ def health(spark, d):
     return R.health(table(spark, d, "events"), "user_id", "event_type", ["purchase", "signup", "click"])
 
 
+def health_days(spark, d):
+    """As health, of a user's days."""
+    e = table(spark, d, "events").withColumn("user_day", F.concat_ws(" ", "user_id", F.to_date("ts")))
+    return R.health(e, "user_day", "event_type", ["purchase", "signup", "click"])
+
+
 def evidence(spark, d):
     s = market.licences(spark, d).join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("dataset"), "s_nationkey"), "dataset")
     return R.evidence(s, "s_nationkey")
 
 
 def segments(spark, d):
-    return _out(R.segments(table(spark, d, "documents").select("source", "text"), "source"))
+    return _out(R.segments(headlines(spark, d).select("customer", "text"), "customer"))
 
 
 def ewma(spark, d):
@@ -101,11 +109,10 @@ def snapshots(spark, d):
 
 
 def rerank(spark, d):
-    """The best ten texts for a query after a bonus of 0.1 for each of its words that occurs anywhere in them."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    hits = sum((F.lower("text").contains(w).cast("int") for w in QUERY.split()), F.lit(0))
-    out = T.bm25(docs, QUERY).join(docs, "doc_id").select("doc_id", (F.col("bm25") + 0.1 * hits).alias("score"))
-    return _out(out.orderBy(F.desc(F.round("score", 9)), "doc_id").limit(10))
+    """The best 200 headlines for a query after the bonus for its words and for finance words."""
+    news = headlines(spark, d).select("news_id", "text")
+    scored = T.bm25(news, QUERY, key="news_id").join(news, "news_id").withColumnRenamed("bm25", "score")
+    return _out(D.reranked(scored, QUERY, 200, "news_id").select("news_id", F.col("rerank_score").alias("score")))
 
 
 def brackets(spark, d):
@@ -120,13 +127,21 @@ _SCORE = """d AS (SELECT doc_id, source, quality AS y, n_chars / (n_chars + 1500
   s AS (SELECT *, CASE WHEN quality = 'Weak' THEN 'No Edge / Neutral' WHEN p >= 0.57 THEN 'Bullish' WHEN p <= 0.43 THEN 'Bearish' ELSE 'Neutral' END AS signal, CASE WHEN p >= 0.65 OR p <= 0.35 THEN 'High' WHEN p >= 0.57 OR p <= 0.43 THEN 'Moderate' ELSE 'Low' END AS confidence FROM q)"""
 _ANNUAL = lambda name, kinds: f"""{name} AS (SELECT entity, year, arg_max(value, (filed, seq)) AS value FROM (SELECT *, min(list_position({kinds}, concept)) OVER (PARTITION BY entity) AS first FROM f WHERE list_contains({kinds}, concept)) WHERE list_position({kinds}, concept) = first GROUP BY 1, 2)"""
 
-_LABEL = "trim(regexp_replace(regexp_replace(lower(n), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
-for _end in R.COMPANY_ENDINGS:
-    _LABEL = f"trim(regexp_replace({_LABEL}, '{_end}$', ''))"
+
+
+def label_sql(name: str) -> str:
+    """plain_label in SQL."""
+    made = f"trim(regexp_replace(regexp_replace(lower({name}), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+    for end in R.COMPANY_ENDINGS:
+        made = f"trim(regexp_replace({made}, '{end}$', ''))"
+    return made
+
+
+_LABEL = label_sql("n")
 
 QUERIES = {
     "signal_classes": signals, "fundamentals_annual": fundamentals, "prices_by_type": prices, "observations_json": observations, "observations_series": series, "book_summary": book, "book_stress": stress,
-    "graph_labels": labels, "records_health": health, "records_evidence": evidence, "text_segments": segments, "risk_ewma": ewma, "quote_page": quote, "records_snapshots": snapshots, "search_rerank": rerank, "strategy_brackets": brackets,
+    "graph_labels": labels, "records_health": health, "records_health_days": health_days, "records_evidence": evidence, "text_segments": segments, "risk_ewma": ewma, "quote_page": quote, "records_snapshots": snapshots, "search_rerank": rerank, "strategy_brackets": brackets,
 }
 
 ORACLE_SQL = {
@@ -140,18 +155,20 @@ ORACLE_SQL = {
     "book_stress": f"WITH b AS (SELECT c_mktsegment, sum(c_acctbal) AS net FROM customer GROUP BY 1) SELECT c_mktsegment, scenario, round(net * 1.2::DOUBLE * shock, 6) AS loss FROM b, (VALUES {', '.join(f'({n!r}, {s}::DOUBLE)' for n, s in R.STRESS)}) t(scenario, shock)",
     "graph_labels": f"""WITH n AS (SELECT p_partkey, p_name || ', Co. Ltd' AS n FROM part) SELECT p_partkey, {_LABEL} AS label,
         coalesce(nullif(regexp_replace(regexp_replace(lower(n), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'node') AS slug FROM n""",
-    "records_health": """WITH e AS (SELECT user_id, event_type, list_position(['purchase', 'signup', 'click'], event_type) AS o FROM events WHERE event_id % 7 <> 0)
+    "records_health": """WITH e AS (SELECT user_id, event_type, list_position(['purchase', 'signup', 'click'], event_type) AS o FROM events)
         SELECT user_id, arg_min(event_type, o) FILTER (o > 0) AS status, count(*) AS n FROM e GROUP BY user_id""",
+    "records_health_days": """WITH e AS (SELECT user_id || ' ' || CAST(ts AS DATE) AS user_day, event_type, list_position(['purchase', 'signup', 'click'], event_type) AS o FROM events)
+        SELECT user_day, arg_min(event_type, o) FILTER (o > 0) AS status, count(*) AS n FROM e GROUP BY user_day""",
     "records_evidence": f"WITH l AS ({market.ORACLE_SQL['records_licences']}), s AS (SELECT s_nationkey, status FROM l JOIN supplier ON s_suppkey = dataset) SELECT s_nationkey, count(*) FILTER (status = 'ACTIVE') AS shown, count(*) AS n, CASE WHEN count(*) FILTER (status = 'ACTIVE') = 0 THEN 'UNAVAILABLE' WHEN count(*) FILTER (status = 'ACTIVE') < count(*) THEN 'PARTIAL' ELSE 'AVAILABLE' END AS availability FROM s GROUP BY 1",
-    "text_segments": " UNION ALL ".join(f"SELECT source, '{k}' AS segment, count(*) AS n, round(least(1, greatest(0, 0.5 + 0.05 * sum(g) - 0.05 * sum(r))), 6)::DOUBLE AS sentiment, round(least(1, 0.5 + 0.1 * sum(g)), 6)::DOUBLE AS growth, round(least(1, 0.5 + 0.1 * sum(r)), 6)::DOUBLE AS risk FROM (SELECT source, lower(coalesce(text, '')) AS t, CAST(regexp_matches(t, '{'|'.join(R.GROWING)}') AS INTEGER) AS g, CAST(regexp_matches(t, '{'|'.join(R.AT_RISK)}') AS INTEGER) AS r FROM documents) WHERE regexp_matches(t, '{'|'.join(v)}') GROUP BY source" for k, v in R.SEGMENTS.items()),
+    "text_segments": f"WITH {NEWS} " + " UNION ALL ".join(f"SELECT customer, '{k}' AS segment, count(*) AS n, round(least(1, greatest(0, 0.5 + 0.05 * sum(g) - 0.05 * sum(r))), 6)::DOUBLE AS sentiment, round(least(1, 0.5 + 0.1 * sum(g)), 6)::DOUBLE AS growth, round(least(1, 0.5 + 0.1 * sum(r)), 6)::DOUBLE AS risk FROM (SELECT customer, lower(coalesce(text, '')) AS t, CAST(regexp_matches(t, '{'|'.join(R.GROWING)}') AS INTEGER) AS g, CAST(regexp_matches(t, '{'|'.join(R.AT_RISK)}') AS INTEGER) AS r FROM news) WHERE regexp_matches(t, '{'|'.join(v)}') GROUP BY customer" for k, v in R.SEGMENTS.items()),
     "risk_ewma": f"""WITH RECURSIVE {WEEKLY}, r AS (SELECT ticker, date, close / lag(close) {OVER} - 1 AS r FROM bars), o AS (SELECT *, row_number() {OVER} AS i FROM r WHERE r IS NOT NULL),
         e AS (SELECT ticker, date, i, r * r AS v FROM o WHERE i = 1 UNION ALL SELECT o.ticker, o.date, o.i, 0.94::DOUBLE * v + (1 - 0.94::DOUBLE) * r * r FROM e JOIN o ON o.ticker = e.ticker AND o.i = e.i + 1) SELECT ticker, date, round(sqrt(v) * sqrt(252), 6) AS ewma_vol FROM e""",
     "quote_page": f"""WITH {WEEKLY}, w AS (SELECT *, min(low) OVER n AS lo, max(high) OVER n AS hi, last_value(close) OVER a AS spot, max(year(date)) OVER (PARTITION BY ticker) AS y FROM bars
         WINDOW n AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 51 PRECEDING AND CURRENT ROW), a AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
         SELECT ticker, {sql(close='max(spot)', range_position='arg_max((close - lo) / (hi - lo), date)', year_to_date='max(spot) / arg_min(close, date) FILTER (year(date) = y) - 1', percentile='avg(CAST(close < spot AS DOUBLE))')} FROM w GROUP BY ticker""",
     "records_snapshots": "SELECT c_custkey, sha256(CAST(to_json({'c_custkey': c_custkey, 'c_mktsegment': c_mktsegment}) AS VARCHAR)) AS snapshot_id FROM customer",
-    "search_rerank": f"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
-        f AS (SELECT doc_id, t, len(w) AS len, x.term, len(list_filter(w, lambda y: y = x.term)) AS tf FROM d, (VALUES {", ".join(f"('{t}')" for t in _TERMS)}) x(term)), g AS (SELECT * FROM f WHERE tf > 0), i AS (SELECT term, count(*) AS df FROM g GROUP BY term),
-        b AS (SELECT doc_id, any_value(t) AS t, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))) AS s FROM g JOIN i USING (term), c GROUP BY doc_id),
-        z AS (SELECT doc_id, s + 0.1 * ({" + ".join(f"CAST(contains(t, '{t}') AS INTEGER)" for t in QUERY.split())}) AS score FROM b) SELECT doc_id, round(score, 6) AS score FROM z ORDER BY round(z.score, 9) DESC, doc_id LIMIT 10""",
+    "search_rerank": f"""WITH {NEWS}, d AS (SELECT news_id, lower(text) AS t, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM news), c AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+        f AS (SELECT news_id, t, len(w) AS len, x.term, len(list_filter(w, lambda y: y = x.term)) AS tf FROM d, (VALUES {", ".join(f"('{t}')" for t in _TERMS)}) x(term)), g AS (SELECT * FROM f WHERE tf > 0), i AS (SELECT term, count(*) AS df FROM g GROUP BY term),
+        b AS (SELECT news_id, any_value(t) AS t, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))) AS s FROM g JOIN i USING (term), c GROUP BY news_id),
+        z AS (SELECT news_id, s + 0.1 * ({" + ".join(f"CAST(contains(t, '{t}') AS INTEGER)" for t in _TERMS)}) + 0.05 * ({" + ".join(f"CAST(contains(t, '{t}') AS INTEGER)" for t in D.FINANCE_WORDS)}) AS score FROM b) SELECT news_id, round(score, 6) AS score FROM z ORDER BY round(z.score, 9) DESC, news_id LIMIT 200""",
 }

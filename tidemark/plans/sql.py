@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 WEEKLY = """bars AS (
-  SELECT l_returnflag AS ticker, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, median(l_extendedprice) AS open,
+  SELECT l_returnflag AS ticker, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, arg_min(l_extendedprice, (l_shipdate, l_orderkey, l_linenumber, l_extendedprice)) AS open,
          max(l_extendedprice) AS high, min(l_extendedprice) AS low, avg(l_extendedprice) AS close, sum(l_quantity) AS volume
   FROM lineitem GROUP BY 1, 2
 )"""
@@ -22,3 +25,8 @@ def rolling(f: str, column: str, n: int, least: int | None = None) -> str:
 
 def rounded(**columns: str) -> str:
     return ", ".join(f"round({v}, 6) AS {k}" for k, v in columns.items())
+
+
+def out(df: DataFrame, digits: int = 6) -> DataFrame:
+    """A query's result: doubles rounded, all else as it is."""
+    return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if k == "double" else F.col(f"`{c}`") for c, k in df.dtypes])

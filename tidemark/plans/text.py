@@ -8,25 +8,28 @@ from tidemark.functions import lexicon as L
 from tidemark.functions.windows import rounded
 from tidemark.operators import text as T
 from tidemark.sources.bars import table
+from tidemark.sources.news import NEWS, headlines
 
 QUERY = "the of market risk growth"
+COMPANIES = ("Reliance", "apple", "NVDA", "unnamed", "hdfc")
+FILES = ("Annual-Report.pdf", "quarterly.pdf", "investor deck.pdf", "earnings_transcript.txt", "call.txt", "news.html", "initiation.pdf", "sector.pdf", "misc.doc")
 
 
 def sentiment(spark, d):
-    return T.sentiment(table(spark, d, "documents").select("doc_id", "text")).drop("text").withColumn("score", rounded("score"))
+    return T.sentiment(headlines(spark, d).select("news_id", "text")).drop("text").withColumn("score", rounded("score"))
 
 
 def overall(spark, d):
-    return T.overall_sentiment(T.sentiment(table(spark, d, "documents").select("source", "text")), "source").withColumn("score", rounded("score"))
+    return T.overall_sentiment(T.sentiment(headlines(spark, d).select("customer", "text")), "customer").withColumn("score", rounded("score"))
 
 
 def impact(spark, d):
-    out = T.news_impact(table(spark, d, "conversations").select("conv_id", "turn", "text"), "THE")
-    return out.select("conv_id", "turn", "event", "materiality", "relevance", rounded("confidence").alias("confidence"), "causality", "direction")
+    out = T.news_impact(headlines(spark, d), "ACME", related="related")
+    return out.select("news_id", "event", "materiality", "relevance", rounded("confidence").alias("confidence"), "causality", "direction")
 
 
 def factors(spark, d):
-    out = T.factor_scores(table(spark, d, "documents").select("source", "text"), "source")
+    out = T.factor_scores(headlines(spark, d).select("customer", "text"), "customer")
     return out.select(*[rounded(c).alias(c) if k == "double" else F.col(c) for c, k in out.dtypes])
 
 
@@ -55,7 +58,12 @@ def hybrid(spark, d):
 
 
 def metadata(spark, d):
-    return table(spark, d, "pages").select("page_id", *[c.alias(k) for k, c in T.document_metadata(F.col("url")).items()])
+    """File names made of parts."""
+    k = F.col("p_partkey")
+    pick = lambda words, n: F.get(F.array(*map(F.lit, words)), (n % len(words)).cast("int"))
+    name = F.concat_ws("_", pick(COMPANIES, k), pick(("FY2023", "20241231", "old"), k), pick(("Q1", "q3", "all"), k * 5 + 1), pick(FILES, k * 3 + F.col("p_size")))
+    rows = table(spark, d, "part").withColumn("file", name)
+    return rows.select("p_partkey", *[c.alias(k) for k, c in T.document_metadata(F.col("file")).items()])
 
 
 def candidates(spark, d):
@@ -69,7 +77,7 @@ _list = lambda words: ", ".join(f"'{w}'" for w in words)
 _S = f"""w AS (SELECT *, regexp_extract_all(lower(coalesce(text, '')), '[a-z'']+') AS w FROM {{t}}),
   h AS (SELECT *, CAST(len(list_filter(w, lambda x: x IN ({_list(L.POSITIVE)}))) AS INTEGER) AS pos, CAST(len(list_filter(w, lambda x: x IN ({_list(L.NEGATIVE)}))) AS INTEGER) AS neg FROM w),
   s AS (SELECT *, coalesce((pos - neg) / nullif(CAST(pos + neg AS DOUBLE), 0), 0) AS exact, round_even(exact, 3) AS score, CASE WHEN exact > 0.15 THEN 'positive' WHEN exact < -0.15 THEN 'negative' ELSE 'neutral' END AS label FROM h)"""
-_KINDS = ", ".join(f"{{'hits': len(list_intersect(v, [{_list(t.split())}])), 'o': {-i}, 'name': '{n}', 'weight': {w}}}" for i, (n, w, t) in enumerate(L.EVENTS))
+_KINDS = ", ".join(f"{{'hits': len(list_intersect(v, [{_list(t)}])), 'o': {-i}, 'name': '{n}', 'weight': {w}}}" for i, (n, w, t) in enumerate(L.EVENTS))
 _has = lambda words: "(" + " + ".join(f"CAST(contains(t, '{w}') AS INTEGER)" for w in words) + ")"
 _TERMS = sorted(set(QUERY.split()))
 _BM = f"""d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
@@ -85,34 +93,37 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "text_sentiment": f"WITH {_S.format(t='documents')} SELECT doc_id, pos, neg, round(score, 6) AS score, label FROM s",
-    "text_overall_sentiment": f"""WITH {_S.format(t='documents')}, g AS (SELECT source, avg(score) AS m, count(*) FILTER (label = 'positive') AS positive, count(*) FILTER (label = 'neutral') AS neutral,
-        count(*) FILTER (label = 'negative') AS negative, count(*) AS n FROM s GROUP BY source) SELECT source, round(m, 6) AS score, positive, neutral, negative, n, CASE WHEN m > 0.1 THEN 'Bullish' WHEN m < -0.1 THEN 'Bearish' ELSE 'Neutral' END AS label FROM g""",
-    "text_news_impact": f"""WITH {_S.format(t='conversations')}, v AS (SELECT *, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+')) AS v FROM s),
+    "text_sentiment": f"WITH {NEWS}, {_S.format(t='news')} SELECT news_id, pos, neg, round(score, 6) AS score, label FROM s",
+    "text_overall_sentiment": f"""WITH {NEWS}, {_S.format(t='news')}, g AS (SELECT customer, avg(score) AS m, count(*) FILTER (label = 'positive') AS positive, count(*) FILTER (label = 'neutral') AS neutral,
+        count(*) FILTER (label = 'negative') AS negative, count(*) AS n FROM s GROUP BY customer) SELECT customer, round(m, 6) AS score, positive, neutral, negative, n, CASE WHEN m > 0.1 THEN 'Bullish' WHEN m < -0.1 THEN 'Bearish' ELSE 'Neutral' END AS label FROM g""",
+    "text_news_impact": f"""WITH {NEWS}, {_S.format(t='news')}, v AS (SELECT *, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+')) AS v, list_transform(related, lambda x: upper(x)) AS tags FROM s),
         e AS (SELECT *, list_max(list_filter([{_KINDS}], lambda x: x.hits > 0)) AS best, len(list_intersect(v, [{_list(L.HIGH_IMPACT)}])) AS hi FROM v),
         m AS (SELECT *, coalesce(best.name, '{L.OTHER_EVENT[0]}') AS event, CAST(least(99, coalesce(best.weight, {L.OTHER_EVENT[1]}) + least(12, hi * 5)) AS INTEGER) AS materiality,
-              regexp_matches(upper(text), '(^|[^A-Z0-9])THE($|[^A-Z0-9])') AS named FROM e)
-        SELECT conv_id, turn, event, materiality, CASE WHEN named THEN 'DIRECT MENTION' ELSE 'ASSOCIATION UNVERIFIED' END AS relevance,
-        round(least(0.98, CASE WHEN named THEN 0.76 ELSE 0.24 END * (0.72 + least(materiality, 90) / 300.0)), 6) AS confidence,
-        CASE WHEN named THEN 'RELEVANT CATALYST' ELSE 'CO-MENTIONED · NOT CAUSAL' END AS causality,
+              CASE WHEN list_contains(tags, 'ACME') THEN 'PROVIDER-TAGGED' WHEN regexp_matches(upper(text), '(^|[^A-Z0-9])ACME($|[^A-Z0-9])') THEN 'DIRECT MENTION' WHEN len(tags) > 0 THEN 'CO-MENTIONED' ELSE 'ASSOCIATION UNVERIFIED' END AS relevance FROM e)
+        SELECT news_id, event, materiality, relevance,
+        round(least(0.98, CASE relevance WHEN 'PROVIDER-TAGGED' THEN 0.96 WHEN 'DIRECT MENTION' THEN 0.76 WHEN 'CO-MENTIONED' THEN 0.48 ELSE 0.24 END * (0.72 + least(materiality, 90) / 300.0)), 6)::DOUBLE AS confidence,
+        CASE WHEN relevance = 'PROVIDER-TAGGED' AND materiality >= 60 AND abs(score) >= 0.15 THEN 'LIKELY DRIVER' WHEN relevance IN ('PROVIDER-TAGGED', 'DIRECT MENTION') THEN 'RELEVANT CATALYST' ELSE 'CO-MENTIONED · NOT CAUSAL' END AS causality,
         CASE WHEN score > 0.12 THEN 'POSITIVE SENSITIVITY' WHEN score < -0.12 THEN 'NEGATIVE SENSITIVITY' ELSE 'TWO-SIDED' END AS direction FROM m""",
-    "text_factor_scores": f"""WITH l AS (SELECT source, lower(coalesce(text, '')) AS t FROM documents), k AS (SELECT *, {_has(L.GOOD_NEWS)} AS p, {_has(L.BAD_NEWS)} AS n FROM l WHERE t <> ''),
+    "text_factor_scores": f"""WITH {NEWS}, l AS (SELECT customer, lower(coalesce(text, '')) AS t FROM news), k AS (SELECT *, {_has(L.GOOD_NEWS)} AS p, {_has(L.BAD_NEWS)} AS n FROM l WHERE t <> ''),
         s AS (SELECT *, CAST(p > n AS INTEGER) AS up, CAST(n > p AS INTEGER) AS down FROM k)
-        SELECT source, round(least(greatest(sum(0.2 * up - 0.2 * down), -1.0), 1.0), 6)::DOUBLE AS sentiment, round(least(greatest(sum(0.2 * down), 0.0), 1.0), 6)::DOUBLE AS risk, round(least(greatest(sum(0.2 * up - 0.1 * down), -1.0), 1.0), 6)::DOUBLE AS growth,
+        SELECT customer, round(least(greatest(sum(0.2 * up - 0.2 * down), -1.0), 1.0), 6)::DOUBLE AS sentiment, round(least(greatest(sum(0.2 * up - 0.2 * down), -1.0), 1.0), 6)::DOUBLE AS management_tone, round(least(greatest(sum(0.2 * down), 0.0), 1.0), 6)::DOUBLE AS risk, round(least(greatest(sum(0.2 * up - 0.1 * down), -1.0), 1.0), 6)::DOUBLE AS growth,
         {", ".join(f"round(least(greatest(sum(0.3 * CAST({_has(v)} > 0 AS INTEGER)), 0.0), 1.0), 6)::DOUBLE AS {k}" for k, v in L.FACTORS.items())},
         round(least(greatest(sum(CASE WHEN contains(t, 'cash flow') AND contains(t, 'strong') THEN 0.3 WHEN contains(t, 'cash flow') AND contains(t, 'weak') THEN -0.3 ELSE 0 END), -1.0), 1.0), 6)::DOUBLE AS cash_flow_quality,
-        round(least(greatest(sum(0.2 * CAST(contains(t, 'regulat') OR contains(t, 'compliance') AS INTEGER)), 0.0), 1.0), 6)::DOUBLE AS regulatory_risk, count(*) AS n FROM s GROUP BY source""",
-    "text_pages": r"""WITH t AS (SELECT page_id, left(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')), 400000) AS t FROM pages)
+        round(least(greatest(sum(0.2 * CAST(contains(t, 'regulat') OR contains(t, 'compliance') AS INTEGER)), 0.0), 1.0), 6)::DOUBLE AS regulatory_risk, count(*) AS n FROM s GROUP BY customer""",
+    "text_pages": r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS t FROM pages)
         SELECT page_id, CAST(length(t) AS INTEGER) AS n, md5(t) AS digest FROM t""",
     "search_bm25": f"WITH {_BM} SELECT doc_id, round(bm25, 6) AS bm25 FROM b",
     "search_cosine": f"WITH {_COS} SELECT vec_id, round(cosine, 6) AS cosine FROM k WHERE vec_id <> 0 ORDER BY round(cosine, 6) DESC, vec_id LIMIT 10",
     "search_hybrid": f"""WITH {_BM}, {_COS}, r AS (SELECT coalesce(vec_id, doc_id) AS key, coalesce(cosine, 0) AS s, coalesce(bm25, 0) AS w FROM k FULL JOIN b ON vec_id = doc_id),
         e AS (SELECT min(s) AS s0, max(s) - min(s) AS ds, min(w) AS w0, max(w) - min(w) AS dw FROM r), x AS (SELECT key, 0.7 * (s - s0) / CASE WHEN ds > 0 THEN ds ELSE 1 END + 0.3 * (w - w0) / CASE WHEN dw > 0 THEN dw ELSE 1 END AS score FROM r, e)
         SELECT key, round(score, 6) AS score FROM x ORDER BY round(x.score, 9) DESC, key LIMIT 20""",
-    "text_metadata": """WITH n AS (SELECT page_id, lower(url) AS n FROM pages) SELECT page_id, coalesce(nullif(regexp_extract(n, '(20[0-9]{2})', 1), ''), 'Unknown') AS fiscal_year, coalesce(nullif(upper(regexp_extract(n, '(q[1-4])', 1)), ''), 'Unknown') AS quarter,
+    "text_metadata": f"""WITH f AS (SELECT p_partkey, lower(list_extract([{_list(COMPANIES)}], 1 + p_partkey % 5) || '_' || list_extract(['FY2023', '20241231', 'old'], 1 + p_partkey % 3) || '_' || list_extract(['Q1', 'q3', 'all'], 1 + (p_partkey * 5 + 1) % 3) || '_' || list_extract([{_list(FILES)}], 1 + (p_partkey * 3 + p_size) % 9)) AS n FROM part)
+        SELECT p_partkey, CASE WHEN n LIKE 'reliance%' THEN 'RELIANCE.NS' WHEN n LIKE 'apple%' THEN 'AAPL' WHEN n LIKE 'nvda%' THEN 'NVDA' WHEN n LIKE 'hdfc%' THEN 'HDFCBANK.NS' ELSE 'Unknown' END AS ticker,
+        CASE WHEN n LIKE 'reliance%' THEN 'Reliance' WHEN n LIKE 'apple%' THEN 'Apple' WHEN n LIKE 'nvda%' THEN 'Nvda' WHEN n LIKE 'hdfc%' THEN 'Hdfc' ELSE 'Unknown' END AS company,
+        coalesce(nullif(regexp_extract(n, '(20[0-9]{{2}})', 1), ''), 'Unknown') AS fiscal_year, coalesce(nullif(upper(regexp_extract(n, '(q[1-4])', 1)), ''), 'Unknown') AS quarter,
         CASE WHEN n LIKE '%annual%' AND n LIKE '%report%' THEN 'annual_report' WHEN n LIKE '%quarterly%' OR n LIKE '%result%' OR (n LIKE '%earnings%' AND n NOT LIKE '%transcript%') THEN 'quarterly_result'
         WHEN n LIKE '%presentation%' OR n LIKE '%deck%' THEN 'investor_presentation' WHEN n LIKE '%transcript%' OR n LIKE '%call%' THEN 'earnings_transcript' WHEN n LIKE '%news%' OR n LIKE '%article%' THEN 'news_article'
-        WHEN n LIKE '%broker%' OR n LIKE '%initiation%' THEN 'brokerage_report' WHEN n LIKE '%sector%' OR n LIKE '%industry%' THEN 'sector_report' ELSE 'unknown' END AS document_type FROM n""",
+        WHEN n LIKE '%broker%' OR n LIKE '%initiation%' THEN 'brokerage_report' WHEN n LIKE '%sector%' OR n LIKE '%industry%' THEN 'sector_report' ELSE 'unknown' END AS document_type FROM f""",
     "text_candidates": f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM pages)
         SELECT page_id, url, regexp_matches({_PATH}, '\\.(pdf|html|htm|txt|docx|csv)(\\?.*)?$') OR NOT regexp_matches({_PATH}, '\\.[a-z0-9]{{2,5}}(\\?.*)?$') AS allowed,
         sha256(regexp_extract(lower(url), '\\.([a-z0-9]{{2,5}})(?:\\?.*)?$', 1)) AS kind FROM f WHERE rn = 1""",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -20,3 +22,9 @@ def session(master: str = "local[8]", *, shuffle_partitions: int = 8, memory: st
     spark = SparkSession.builder.master(master).appName("tidemark").config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to executors that do not have it, as a zip file; call it once on a cluster."""
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark"), "zip", ROOT, "tidemark")
+    spark.sparkContext.addPyFile(archive)

@@ -17,10 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One bar per return flag and ship week, of line prices: the long history for windows."""
+    """One bar per return flag and ship week, of line prices: the long history for windows. It opens at the price of the first line."""
     rows = table(spark, sf_dir, "lineitem")
     return rows.groupBy(F.col("l_returnflag").alias("ticker"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("date")).agg(
-        F.median("l_extendedprice").alias("open"), F.max("l_extendedprice").alias("high"), F.min("l_extendedprice").alias("low"),
+        F.min_by("l_extendedprice", F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice")).alias("open"), F.max("l_extendedprice").alias("high"), F.min("l_extendedprice").alias("low"),
         F.avg("l_extendedprice").alias("close"), F.sum("l_quantity").alias("volume"),
     )
 
