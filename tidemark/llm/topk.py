@@ -2,7 +2,8 @@
 
 Vectors are dealt into blocks of bounded size, and so are queries. Each pair of blocks is one group: it sorts a list for
 each dimension, walks all lists of a query at once from their best end and scores what it meets, until the sum of the
-values it stands at cannot beat the k-th score. The k best of each block meet in a window per query.
+values it stands at cannot beat the k-th score, or all vectors of the block have been met. The k best of each block meet in
+a window per query.
 """
 
 from __future__ import annotations
@@ -28,41 +29,45 @@ class Lists:
         self.ids, self.vectors = ids[by_id], np.ascontiguousarray(vectors[by_id])
         self.falling = np.argsort(-self.vectors, axis=0, kind="stable").T.copy()
         self.values = np.take_along_axis(self.vectors, self.falling.T, axis=0).T.copy()
-        largest = int(np.abs(vectors).max(initial=0))
-        self.exact = vectors.shape[1] * largest * largest < 1 << 52
+        self.largest = int(np.abs(vectors).max(initial=0))
+        self.exact = vectors.shape[1] * self.largest * self.largest < 1 << 52
         self.floats = self.vectors.astype(np.float64) if self.exact else self.vectors
 
     def _scores(self, places: np.ndarray, query: np.ndarray) -> np.ndarray:
-        if self.exact and np.abs(query).max(initial=0) * np.abs(self.vectors).max(initial=0) * len(query) < 1 << 52:
+        largest = int(np.abs(query).max(initial=0)) * self.largest * len(query)
+        if self.exact and largest < 1 << 52:
             return (self.floats[places] @ query.astype(np.float64)).astype(np.int64)
+        if largest >= 1 << 63:
+            raise OverflowError("inner products of components times 256 do not fit into 64 bits")
         return self.vectors[places] @ query
 
-    def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the k best for a query, ties to the smaller id, its own id left out."""
-        n, dims = self.vectors.shape
+    def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Places and scores of the k best for a query, ties to the smaller id, its own id left out; and whether the bound ended
+        the walk. Otherwise it ends when the lists have shown every vector."""
+        n = len(self.ids)
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         seen = np.zeros(n, bool)
+        if not len(up) and not len(down):
+            up = np.arange(min(1, self.vectors.shape[1]))  # all products are 0: any list shows all vectors
         places, scores = np.empty(0, np.int64), np.empty(0, np.int64)
-        depth, start = FIRST_DEPTH, 0
+        depth, start = min(FIRST_DEPTH, n), 0
         while True:
-            depth = min(depth, n)
-            if depth * max(1, len(up) + len(down)) >= n:
-                met = np.flatnonzero(~seen)  # the rest of the lists holds each of them
-                depth = n
-            else:
-                met = np.unique(np.concatenate([self.falling[up, start:depth].ravel(), self.falling[down, n - depth : n - start].ravel()]))
-                met = met[~seen[met]]
-            seen[met] = True
-            own = met[self.ids[met] != query_id]
+            fresh = np.zeros(n, bool)
+            fresh[self.falling[up, start:depth]] = True
+            fresh[self.falling[down, n - depth : n - start]] = True
+            fresh &= ~seen
+            seen |= fresh
+            own = np.flatnonzero(fresh)
+            own = own[self.ids[own] != query_id]
             places, scores = np.concatenate([places, own]), np.concatenate([scores, self._scores(own, query)])
             order = np.lexsort((self.ids[places], -scores))[:k]
             places, scores = places[order], scores[order]
-            if depth == n:
-                return places, scores
-            bound = int(self.values[up, depth - 1] @ query[up]) + int(self.values[down, n - depth] @ query[down])
+            if seen.all():
+                return places, scores, False
+            bound = sum(int(v) * int(q) for v, q in zip(self.values[up, depth - 1], query[up])) + sum(int(v) * int(q) for v, q in zip(self.values[down, n - depth], query[down]))
             if len(scores) == k and scores[-1] > bound:
-                return places, scores
-            start, depth = depth, 2 * depth
+                return places, scores, True
+            start, depth = depth, min(n, 2 * depth)
 
 
 def scaled(vectors: DataFrame) -> DataFrame:
@@ -82,7 +87,7 @@ def _best_of_blocks(key, vectors: pa.Table, queries: pa.Table, k: int) -> pa.Tab
     if vectors.num_rows and queries.num_rows:
         lists = Lists(vectors.column("vec_id").to_numpy(), as_matrix(vectors))
         for query_id, query in zip(queries.column("vec_id").to_pylist(), as_matrix(queries)):
-            places, scores = lists.best(query_id, query, k)
+            places, scores, _ = lists.best(query_id, query, k)
             out.append((np.full(len(places), query_id), lists.ids[places], scores))
     columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 3
     return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, columns))), schema=pa.schema([(c, pa.int64()) for c in ("query_id", "vec_id", "score")]))
@@ -93,7 +98,7 @@ def top_k(vectors: DataFrame, *, k: int = K, every: int = EVERY, block: int = BL
     integer inner product of floor(256 * x), all if fewer, ties to the smaller vec_id.
 
     Vectors meet only vectors of their own length. Repeated rows of one vec_id count once (the least vector).
-    Values of 256 * x up to about 2**28 keep the products within 64 bits. An empty table gives no rows.
+    Components so large that a product may pass 64 bits fail the job: no score is wrong. An empty table gives no rows.
     """
     rows = scaled(vectors).groupBy("vec_id").agg(F.min("e").alias("e")).withColumn("dims", F.size("e"))
     queries = rows.filter(F.col("vec_id") % every == 0)
