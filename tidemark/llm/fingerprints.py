@@ -1,20 +1,23 @@
 """Document fingerprints: a threshold-scaled sketch of word shingles. DataFrame functions only.
 
-A sketch holds every shingle hash under a fixed fraction of the hash range, and the least hash in any case, so that short
-texts have one too. Sketches of parts merge by union, and hashes under the fraction are the same sample in every
-document, so shares of very unequal documents can be estimated.
+A sketch holds every shingle hash under a fixed fraction of the hash range. The hashes under the fraction are the same sample in
+every document: sketches of parts merge by union, and shares of very unequal documents can be estimated. A text without a hash
+under the fraction keeps its least one instead, so that it has a fingerprint; that one is told by lying beyond the fraction, and
+neither containment nor a merge with other hashes counts it.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, tasks_for_bytes
 
 WORDS = 5
 SCALE = 8  # one of so many hashes is kept
-RANGES = 512  # ranges of doc_id in which neighbours are looked up, at most; bounds what is broadcast
+RANGE_BYTES = 4 << 20  # text of a range of doc_id, in which neighbours are looked up
+LEAST_RANGES, MOST_RANGES = 512, 1 << 14  # bounds what is broadcast; beyond them a range grows and is sorted on disk
 BLANK = "[\\x20\\x09-\\x0D]+"
 
 
@@ -30,10 +33,23 @@ def sketch(text: Column, *, words: int = WORDS, scale: int = SCALE) -> Column:
         runs = F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (words - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, words)]))
         return F.when(F.size(h) >= words, runs).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<long>"))
 
-    # xxhash64 is signed: the lowest part of its range
-    limit = -(1 << 63) + (1 << 64) // scale
-    kept = lambda s: F.array_union(F.filter(s, lambda x: x < limit), F.filter(F.array(F.array_min(s)), lambda x: x.isNotNull()))
-    return F.coalesce(F.array_sort(once(once(hashes, shingles), kept)), F.array().cast("array<long>"))
+    return F.coalesce(once(once(hashes, shingles), lambda s: _kept(s, scale)), F.array().cast("array<long>"))
+
+
+def _limit(scale: int) -> int:
+    """xxhash64 is signed: the end of the lowest part of its range."""
+    return -(1 << 63) + (1 << 64) // scale
+
+
+def _under(hashes: Column, scale: int) -> Column:
+    return F.filter(hashes, lambda x: x < _limit(scale))
+
+
+def _kept(hashes: Column, scale: int) -> Column:
+    """Of all hashes of a text, or of the sketches of its parts, those of its sketch: different ones, sorted."""
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    least = F.filter(F.array(F.array_min(hashes)), lambda x: x.isNotNull())
+    return F.array_sort(once(F.array_distinct(_under(hashes, scale)), lambda u: F.when(F.size(u) > 0, u).otherwise(least)))
 
 
 def as_text(hashes: Column) -> Column:
@@ -46,37 +62,56 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(common / (both - common))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimate of the share of a's shingles that b has too, 0 to 1; 1 where a has none."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def containment(a: Column, b: Column, *, scale: int = SCALE) -> Column:
+    """Estimate of the share of a's shingles that b has too, 0 to 1; 1 where a has none; null where a has none under the fraction."""
+    own = _under(a, scale)
+    return F.when(F.size(a) == 0, 1.0).when(F.size(own) > 0, F.size(F.array_intersect(own, b)) / F.size(own))
+
+
+def merged(a: Column, b: Column, *, scale: int = SCALE) -> Column:
+    """The sketch of all shingles of two sketches: the same as that of the texts' shingles together."""
+    return _kept(F.concat(a, b), scale)
+
+
+def _place(cuts: list[int]) -> Column:
+    """How many cuts, which are sorted, doc_id does not exceed: by halving, so that a row is compared with few of them."""
+    steps = len(cuts).bit_length()
+    half = lambda s: F.shiftright(s["low"] + s["high"], 1)
+    cut = F.array(*map(F.lit, cuts))
 
+    def step(s: Column, _: Column) -> Column:
+        mid = half(s)
+        open_, above = s["low"] < s["high"], F.get(cut, mid) < F.col("doc_id")
+        return F.struct(F.when(open_ & above, mid + 1).otherwise(s["low"]).alias("low"), F.when(open_ & ~above, mid).otherwise(s["high"]).alias("high"))
 
-def merged(a: Column, b: Column) -> Column:
-    return F.array_sort(F.array_union(a, b))
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+    return F.lit(len(cuts)) - F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["low"]
 
 
-def _with_ends(docs: DataFrame, ranges: int) -> DataFrame:
+def _with_ends(docs: DataFrame, ranges: int | None) -> DataFrame:
     """docs (doc_id, text) with the number of their range of doc_id, counted from the largest ids down; the first row of
     each range is there once more (copy), for the end of the range before it, and the very first for the end of the last."""
     spark = docs.sparkSession
+    if ranges is None:
+        ranges = min(MOST_RANGES, max(LEAST_RANGES, tasks_for_bytes(docs, "text", RANGE_BYTES)))
     cuts = docs.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 20 * ranges).alias("c")).first().c or []
     cuts = sorted({c for c in cuts if c is not None})
-    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("doc_id") <= c)) if cuts else F.lit(0)
+    place = _place(cuts) if cuts else F.lit(0)
     dealt = docs.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(place).cast("int"))
     # at most `ranges` rows
     firsts = dealt.groupBy("range").agg(F.max("doc_id").alias("first_id")).orderBy("range").collect()
-    pairs = [F.struct(F.lit(r.first_id).cast("long").alias("first_id"), F.lit(firsts[i - 1].range).alias("home")) for i, r in enumerate(firsts)]
-    homes = spark.range(1).select(F.inline(F.array(*pairs) if pairs else F.array().cast("array<struct<first_id:long,home:int>>")))
-    copies = docs.join(F.broadcast(homes), F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("doc_id", "home").agg(F.min("text").alias("text"))
+    homes = pa.table({"first_id": pa.array([r.first_id for r in firsts], pa.int64()), "home": pa.array([firsts[i - 1].range for i in range(len(firsts))], pa.int32())})
+    copies = docs.join(F.broadcast(spark.createDataFrame(homes)), F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("doc_id", "home").agg(F.min("text").alias("text"))
     copies = copies.select("doc_id", "text", F.col("home").alias("range"), F.lit(True).alias("copy"))
     return dealt.withColumn("copy", F.lit(False)).unionByName(copies)
 
 
-def fingerprints(docs: DataFrame, *, words: int = WORDS, scale: int = SCALE, ranges: int = RANGES) -> DataFrame:
+def fingerprints(docs: DataFrame, *, words: int = WORDS, scale: int = SCALE, ranges: int | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, share_edited.
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all) of the next
-    document's. share_edited estimates the share of the text's shingles that the edited one keeps. Null texts count as
+    document's. share_edited estimates the share of the text's shingles that the edited one keeps, and is null
+    where none of its hashes is under the fraction. Null texts count as
     empty, repeated rows follow each other, and an only row follows itself. An empty table gives no rows.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -95,7 +130,7 @@ def fingerprints(docs: DataFrame, *, words: int = WORDS, scale: int = SCALE, ran
         as_text(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edited")).alias("near_edited"),
         likeness(F.col("own"), F.col("next")).alias("near_next"),
-        containment(F.col("own"), F.col("edited")).alias("share_edited"),
+        containment(F.col("own"), F.col("edited"), scale=scale).alias("share_edited"),
     )
 
 
