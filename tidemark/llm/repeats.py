@@ -31,6 +31,7 @@ GRAM = 128
 MANY = 200  # classes of one anchor beyond which it is divided
 SHARD_ROWS = 4_000  # segments sorted in one task, about
 ROOM = 1 << 20  # tuples that a queue holds in memory
+IN_MEMORY = 2 << 20  # names that are sorted at once; more of them are sorted by induction again
 PIECE = 1 << 20  # starts handled at once within a document
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -164,7 +165,7 @@ def _halved(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, SEGMENTS)
 
 
-def _sorted_repeats(segments: DataFrame, length: int, folder: str, room: int, shard_rows: int) -> DataFrame:
+def _sorted_repeats(segments: DataFrame, length: int, folder: str, room: int, shard_rows: int, in_memory: int) -> DataFrame:
     """Ranges of repeated starts, from the suffixes of each task's segments."""
 
     def run(batches):
@@ -189,7 +190,7 @@ def _sorted_repeats(segments: DataFrame, length: int, folder: str, room: int, sh
         disk = Disk(f"{folder}/{uuid.uuid4().hex}")
         try:
             before = len(text)
-            for places, common in from_largest(text, length, disk=disk, room=room):
+            for places, common in from_largest(text, length, disk=disk, room=room, in_memory=in_memory):
                 hit = np.flatnonzero(common >= length)
                 again[places[hit]] = True
                 again[np.concatenate(([before], places))[hit]] = True
@@ -211,7 +212,7 @@ def _sorted_repeats(segments: DataFrame, length: int, folder: str, room: int, sh
     return rows.repartition(shards, "key").select("doc_id", "crc", "low", "bytes").mapInArrow(run, "doc_id long, crc int, low int, high int")
 
 
-def repeated_starts(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, many: int = MANY, room: int = ROOM, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def repeated_starts(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, many: int = MANY, room: int = ROOM, shard_rows: int = SHARD_ROWS, in_memory: int = IN_MEMORY) -> DataFrame:
     """Ranges (doc_id, crc, low, high) of byte positions where a repeated string of `length` bytes starts. docs: doc_id, text, crc."""
     spark = docs.sparkSession
     spans, firsts = _classes(written(anchors(docs, length, gram), "anchors"), [])
@@ -225,10 +226,10 @@ def repeated_starts(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
         small = small.unionByName(firsts.filter(F.col("n_classes") <= many).select(small.columns))
         large = firsts.filter(F.col("n_classes") > many).select(small.columns)
     small = written(small, "to-sort")
-    return spans.unionByName(_sorted_repeats(small, length, new_folder(spark, "suffix-queues"), room, shard_rows))
+    return spans.unionByName(_sorted_repeats(small, length, new_folder(spark, "suffix-queues"), room, shard_rows, in_memory))
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, many: int = MANY, room: int = ROOM, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, many: int = MANY, room: int = ROOM, shard_rows: int = SHARD_ROWS, in_memory: int = IN_MEMORY) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (array of begin, end) and kept (the bytes left).
 
     A byte goes if it lies in a string of `length` bytes that also starts anywhere else, in the same document too. Null
@@ -236,7 +237,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, m
     repeated doc_ids are allowed; columns other than doc_id and text are ignored. An empty table gives no rows.
     """
     docs = _narrow(docs)
-    spans = written(repeated_starts(docs, length=length, gram=gram, many=many, room=room, shard_rows=shard_rows), "repeats")
+    spans = written(repeated_starts(docs, length=length, gram=gram, many=many, room=room, shard_rows=shard_rows, in_memory=in_memory), "repeats")
     per_doc = spans.groupBy(F.col("doc_id").alias("d"), F.col("crc").alias("c")).agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
 
     def run(batches):
@@ -261,4 +262,6 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, m
 
 
 def op1_repeats(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    rows = remove_repeats(documents(spark, sf_dir))
+    # what is left as text; a character that was cut in two is replaced
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
