@@ -92,3 +92,30 @@ def test_brackets(spark):
     closes = [100.0, 105.0, 111.0, 100.0, 91.0, 95.0]
     rows = spark.createDataFrame([("X", day + datetime.timedelta(i), c, True, False) for i, c in enumerate(closes)], "ticker string, date date, close double, enter boolean, leave boolean")
     assert [(r.reason, round(r.trade_return, 2)) for r in research.bracketed(rows, 0.1, 0.08).orderBy("entry").collect()] == [("take", 0.11), ("stop", -0.09)]
+
+
+def test_cached_results_last_for_a_while(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(len(made))
+
+    once = storage.cached(spark, str(tmp_path), "k", 3600, make)
+    assert storage.cached(spark, str(tmp_path), "k", 3600, make).count() == once.count() == 1
+    assert storage.cached(spark, str(tmp_path), "other", 3600, make).count() == 2
+    assert storage.cached(spark, str(tmp_path), "k", 0, make).count() == 3
+
+
+def test_factor_records(spark, tmp_path):
+    rows = spark.createDataFrame([(datetime.date(2024, 1, 2), "A", *[i / 10 for i in range(9)])], storage.FACTORS)
+    storage.save_factors(rows, f"{tmp_path}/f")
+    assert [tuple(r) for r in storage.load_factors(spark, f"{tmp_path}/f").collect()] == [tuple(r) for r in rows.collect()]
+
+
+def test_providers_by_name(spark):
+    from tidemark.sources.providers import provider
+
+    assert provider(" Weekly ") is bars.weekly_bars
+    with pytest.raises(ValueError, match="segments"):
+        provider("nobody")
