@@ -13,11 +13,13 @@ from .shared import documents, slices, written
 from .shingles import mixed, shingle_hashes, shingle_set, words_of
 
 ROWS, BANDS = 7, 48  # a pair at similarity 0.8 shares no band with probability 1.2e-5, one at 0.1 shares one with 5e-6
+HOT = 1024  # share of the rows beyond which a class of equal sets is joined by a broadcast
 BLOCK = 512  # members of a cluster that are compared at once with as many others
 SLACK = 0.11  # five standard deviations of a signature's agreement at similarity 0.8
 SEED = 20_240_501
 SLICE_BYTES = 4 << 20  # text sketched at once
 
+MEMBER_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_())
 SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>, signature binary"
 
 
@@ -100,49 +102,74 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _near(left: pa.Table, right: pa.Table, least: float):
+    """Per row of left, the rows of right whose signatures agree well enough, that lie in another component, and whose pair is
+    not met the other way round too."""
+    signs = [np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(t.num_rows, -1) for t in (left, right)]
+    ids, parts, sizes = ([t.column(c).to_numpy() for t in (left, right)] for c in ("doc_id", "c", "n_shingles"))
+    main = right.column("main").to_numpy(zero_copy_only=False)
+    for k in range(left.num_rows):
+        same = (signs[1] == signs[0][k]).mean(axis=1)
+        near = ((same - 1 / 256) / (1 - 1 / 256) >= least) & (parts[1] != parts[0][k]) & (main | (ids[1] < ids[0][k]))
+        # no pair of sets of these sizes is similar enough otherwise
+        near &= np.minimum(sizes[1], sizes[0][k]) >= (least + SLACK) * np.maximum(sizes[1], sizes[0][k]) - 1e-6
+        yield k, np.flatnonzero(near)
+
+
 def _across(open_: DataFrame, found: DataFrame, chosen: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between components that meet in a bucket; open_: pairs (c, h) of such components.
 
-    Components that meet, directly or over others, form a cluster. Its members outside the largest component are compared
-    with all members of other components, block by block inside the tasks, so that only links leave them.
+    Components that meet, directly or over others, form a cluster. The signatures of its members outside the largest
+    component are compared with those of all members of other components, block by block inside the tasks; of each pair of
+    blocks only the members that are near one of the other block leave the task. Their texts are then sent to that pair of blocks,
+    where the near pairs are confirmed, so that only links leave it.
     """
     clusters = components(open_.select(F.col("c").alias("a"), F.col("h").alias("b"))).select(F.col("node").alias("c"), F.col("component").alias("cluster"))
     of_nodes = chosen.select("doc_id").join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
     inside = written(of_nodes.join(clusters, "c"), "clusters")
     largest = inside.groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.sum("n").alias("of_all"), (F.sum("n") - F.max("n")).alias("outside"))
-    texts = docs.select("doc_id", "text").join(inside.select("doc_id").hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    rows = inside.join(largest, "cluster").join(texts, "doc_id").join(chosen.select("doc_id", "signature"), "doc_id")
+    rows = inside.join(largest, "cluster").join(chosen.select("doc_id", "signature", "n_shingles"), "doc_id")
     own, each = F.xxhash64("doc_id"), lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    rows = written(rows.select("cluster", "doc_id", "c", "signature", "text", (F.col("c") == F.col("main")).alias("main"), each("outside").alias("rows"), each("of_all").alias("columns")), "cluster-rows")
+    rows = written(rows.select("cluster", "doc_id", "c", "signature", "n_shingles", (F.col("c") == F.col("main")).alias("main"), each("outside").alias("rows"), each("of_all").alias("columns")), "cluster-rows")
     one = rows.filter("not main").withColumn("i", F.pmod(own, F.col("rows")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
     two = rows.withColumn("j", F.pmod(own, F.col("columns")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
     least = percent / 100 - SLACK
+    keys, kept = ("cluster", "i", "j"), ("cluster", "i", "j", "doc_id", "c", "signature", "n_shingles", "main")
+    member = "cluster long, i int, j int, left boolean, doc_id long, c long, signature binary, n_shingles long, main boolean"
 
-    def run(key, left, right):
-        found, sets = [], {}
+    def near_members(left: pa.Table, right: pa.Table) -> pa.Table:
+        met = [np.zeros(t.num_rows, bool) for t in (left, right)]
         if left.num_rows and right.num_rows:
-            signs = [np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(t.num_rows, -1) for t in (left, right)]
-            ids, parts, main = ([t.column(c).to_numpy() for t in (left, right)] for c in ("doc_id", "c", "main"))
-            body = [t.column("text").to_pylist() for t in (left, right)]
+            for k, near in _near(left, right, least):
+                met[0][k] |= bool(len(near))
+                met[1][near] = True
+        parts = [t.filter(pa.array(m)).select(list(kept)).add_column(3, "left", pa.array([side] * int(m.sum()), pa.bool_())) for t, m, side in ((left, met[0], True), (right, met[1], False))]
+        return pa.concat_tables([p.cast(pa.schema([*zip(p.column_names, MEMBER_TYPES)])) for p in parts])
+
+    def confirm(left: pa.Table, right: pa.Table) -> pa.Table:
+        links, sets = [], {}
+        if left.num_rows and right.num_rows:
+            body, ids = [t.column("text").to_pylist() for t in (left, right)], [t.column("doc_id").to_pylist() for t in (left, right)]
 
-            def set_of(side, k):
+            def set_of(side: int, k: int) -> set:
                 if ids[side][k] not in sets:
                     sets[ids[side][k]] = shingle_set(words_of(body[side][k]), words)
                 return sets[ids[side][k]]
 
-            for k in range(left.num_rows):
-                same = (signs[1] == signs[0][k]).mean(axis=1)
-                near = ((same - 1 / 256) / (1 - 1 / 256) >= least) & (parts[1] != parts[0][k]) & (main[1] | (ids[1] < ids[0][k]))
-                for m in np.flatnonzero(near):
-                    one, two = set_of(0, k), set_of(1, m)
-                    if 100 * min(len(one), len(two)) >= percent * max(len(one), len(two)):
-                        common = len(one & two)
-                        if 100 * common >= percent * (len(one) + len(two) - common):
-                            found.append((ids[0][k], ids[1][m]))
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+            for k, near in _near(left, right, least):
+                for m in near.tolist():
+                    x, y = set_of(0, k), set_of(1, m)
+                    common = len(x & y)
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        links.append((ids[0][k], ids[1][m]))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    keys, kept = ("cluster", "i", "j"), ("cluster", "i", "j", "doc_id", "c", "signature", "text", "main")
-    return one.select(*kept).groupBy(*keys).cogroup(two.select(*kept).groupBy(*keys)).applyInArrow(run, "a long, b long")
+    members = written(one.select(*kept).groupBy(*keys).cogroup(two.select(*kept).groupBy(*keys)).applyInArrow(near_members, member), "near-members")
+    # both sides grow with the corpus: never broadcast
+    texts = docs.select("doc_id", "text").join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    full = written(members.join(texts.hint("merge"), "doc_id"), "near-texts")
+    side = lambda is_left: full.filter(F.col("left") == is_left).drop("left")
+    return side(True).groupBy(*keys).cogroup(side(False).groupBy(*keys)).applyInArrow(confirm, "a long, b long")
 
 
 def near_duplicate_groups(docs: DataFrame, *, words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -159,8 +186,8 @@ def near_duplicate_groups(docs: DataFrame, *, words: int = 5, percent: int = 80,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = written(sketches(docs, words=words, rows=rows, bands=bands), "sketches")
     with_words = sketch.filter("set_key is not null and doc_id is not null")
-    classes = with_words.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    chosen = written(with_words.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi").select("set_key", "doc_id", "bands", "signature").dropDuplicates(["set_key", "doc_id"]).drop("set_key"), "class-sketches")
+    classes = written(with_words.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    chosen = written(with_words.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi").select("set_key", "doc_id", "bands", "signature", "n_shingles").dropDuplicates(["set_key", "doc_id"]).drop("set_key"), "class-sketches")
     members = chosen.select(F.explode("bands").alias("bucket"), "doc_id")
     shared = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     inside = written(members.join(shared, "bucket"), "members")
@@ -176,8 +203,15 @@ def near_duplicate_groups(docs: DataFrame, *, words: int = 5, percent: int = 80,
     open_ = written(part_of.filter("c <> h").select("c", "h").distinct(), "open")
     if not open_.isEmpty():
         found = components(links.union(written(_across(open_, found, chosen, docs, words, percent), "links")))
-    grouped = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    return sketch.select("doc_id", "n_shingles", "set_key").join(grouped, "set_key", "left").select(
+    component = F.coalesce("component", "rep").alias("component")
+    grouped = written(classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", "copies", component), "groups")
+    every = sketch.select("doc_id", "n_shingles", "set_key")
+    # classes with more than a share 1 / HOT of the rows are fewer than HOT: these few rows are broadcast, so no task gets a large class
+    hot = F.broadcast(grouped.filter(F.col("copies") > max(1, with_words.count() // HOT)).select("set_key", "component"))
+    plain = every.join(hot.select("set_key"), "set_key", "left_anti")
+    none = plain.filter("set_key is null").withColumn("component", F.lit(None).cast("long"))
+    parts = every.join(hot, "set_key").unionByName(plain.filter("set_key is not null").join(grouped.select("set_key", "component"), "set_key", "left")).unionByName(none)
+    return parts.select(
         "doc_id",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
