@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from tidemark.llm.packing import best_fit_decreasing, digest, pack
 from tidemark.llm.shared import new_folder
 from tidemark.llm.token_counts import length_histogram, quantile, token_lengths
-from tidemark.llm.token_files import read_token_files, write_token_files
+from tidemark.llm.token_files import Sequences, read_token_files, write_token_files
 from tidemark.llm.tokenize import END_ID, Encoder, default_path
 
 TEXTS = [None, "", " ", "Hello, world! it's the cat's 3rd day", "a\tb\n\nc  d\r\ne f", "İstanbul ΣΑΣ ǅ é é ́x", "日本語のテキスト 🙂🙂 👩‍👩", "<|endoftext|> x<|startoftext|>y", "don't 'll 're''s", "word " * 5000, "x" * 9000, "same same", "same same"]
@@ -85,6 +85,27 @@ def test_token_files(spark, docs, plain):
     assert read_token_files(empty).count() == 0
 
 
+def test_sequences_by_number(spark, docs, plain):
+    manifest = write_token_files(docs, new_folder(spark, "test-files"), default_path(), length=64)
+    sequences = Sequences(manifest, 64)
+    whole = [i for t in TEXTS for i in [*plain(t), END_ID]]
+    assert len(sequences) >= len(whole) // 64
+    parts = [sequences[k] for k in reversed(range(len(sequences)))][::-1]
+    assert [i for ids, mask in parts for i, m in zip(ids.tolist(), mask.to_pylist()) if m] == whole
+    assert all(len(ids) == len(mask) == 64 and not ids.flags.owndata for ids, mask in parts)
+    with pytest.raises(IndexError):
+        sequences[len(sequences)]
+
+
+def test_repeated_ids(spark, plain):
+    rows = [(5, "one"), (5, "two words"), (None, "three"), (5, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = digest(pack(docs, default_path(), window=64)).collect()
+    assert sorted((r.doc_id or -1, r.ids_crc32) for r in got) == sorted((d or -1, _crc([*plain(t), END_ID])) for d, t in rows)
+    back = read_token_files(write_token_files(docs, new_folder(spark, "test-files"), default_path())).collect()
+    assert sorted((r.doc_id or -1, r.ids_crc32) for r in back) == sorted((d or -1, _crc([*plain(t), END_ID])) for d, t in rows)
+
+
 def test_histogram(spark, docs, plain):
     lengths = [len(plain(t)) + 1 for t in TEXTS]
     h = length_histogram(token_lengths(docs, default_path(), end_ids=1))

@@ -118,7 +118,9 @@ def _joined(spans: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_assign, n_access, n_hex, base_sha256, spans (a string) and secret_spans (array<struct<at, kind, until>>, sorted).
 
-    Null and empty texts have no spans; the hash is then that of an empty string. Rows stay as they are, repeated ones too.
+    Null and empty texts have no spans; the hash is then that of an empty string. Rows stay as they are, repeated ones too; an empty
+    table gives no rows. Texts are read as a whole, however long. Columns of docs with the names above are replaced; redacted()
+    keeps rows apart from them.
     """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lower = F.lower(whole)

@@ -130,6 +130,32 @@ def _digests(ids_file: str, docs_file: str, first: int):
             yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(starts, pa.int64()), docs.column(1), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
+class Sequences:
+    """Random access to the equal-length sequences of all files of a manifest, in order: ids and mask of sequence k as views of the
+    file, which is mapped into memory where it is local. Files are opened when first asked for."""
+
+    def __init__(self, manifest: DataFrame, length: int = SEQUENCE):
+        # one row per file
+        rows = manifest.orderBy("part").select("ids_file", "n_tokens").collect()
+        self.files, self.length, self.open_ = [r.ids_file for r in rows], length, {}
+        self.ends = np.cumsum([-(-r.n_tokens // length) for r in rows], dtype=np.int64)
+
+    def __len__(self) -> int:
+        return int(self.ends[-1]) if len(self.ends) else 0
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, pa.Array]:
+        if not 0 <= k < len(self):
+            raise IndexError(k)
+        at = int(np.searchsorted(self.ends, k, "right"))
+        if at not in self.open_:
+            self.open_[at] = pa.ipc.open_file(_open(self.files[at], "r"))
+        row = k - (int(self.ends[at - 1]) if at else 0)
+        batch = self.open_[at].get_batch(row // BATCH_ROWS)
+        begin = row % BATCH_ROWS * self.length
+        ids, mask = (batch.column(i).values for i in (0, 1))
+        return ids.to_numpy()[begin : begin + self.length], mask.slice(begin, self.length)
+
+
 def op6_token_files(spark, sf_dir: str) -> DataFrame:
     manifest = write_token_files(documents(spark, sf_dir), new_folder(spark, "token-files"), default_path())
     return read_token_files(manifest)

@@ -169,7 +169,8 @@ class _Scorer:
 
 
 def toxicity_scores(docs: DataFrame, model: bytes | None) -> DataFrame:
-    """docs with a column `toxicity` from 0 to 1: null and empty texts get the score of a text without terms; 0 without a model."""
+    """docs with a column `toxicity` from 0 to 1, instead of one of that name if there is one: null and empty texts get the score
+    of a text without terms; 0 without a model. Rows stay as they are, repeated ones too; long texts are read as a whole."""
     if model is None:
         return docs.withColumn("toxicity", F.lit(0.0))
     held: list[_Scorer] = []
