@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: toxic ones out, one of each near-duplicate group, secrets masked, sources mixed, packed."""
+"""A training corpus from raw documents: toxic ones out, one of each near-duplicate group, secrets masked, sources mixed, packed.
+
+Every stage takes and (but for the last) returns the columns of documents, any others too, whatever their names. Null and empty
+texts pass all stages: they score as texts without terms, are near duplicates of nothing, hold no secrets, take no bytes of a
+source, and are packed as their end id. Rows with a null doc_id are kept. Rows that repeat a doc_id share its group: all of
+them stay or go. A null source is one of its own. Long texts are read as a whole. No documents give no rows.
+"""
 
 from __future__ import annotations
 
