@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, tasks_for_bytes
+from .shared import cuts_below, documents, tasks_for_bytes
 
 WORDS = 5
 SCALE = 8  # one of so many hashes is kept
@@ -73,21 +73,6 @@ def merged(a: Column, b: Column, *, scale: int = SCALE) -> Column:
     return _kept(F.concat(a, b), scale)
 
 
-def _place(cuts: list[int]) -> Column:
-    """How many cuts, which are sorted, doc_id does not exceed: by halving, so that a row is compared with few of them."""
-    steps = len(cuts).bit_length()
-    half = lambda s: F.shiftright(s["low"] + s["high"], 1)
-    cut = F.array(*map(F.lit, cuts))
-
-    def step(s: Column, _: Column) -> Column:
-        mid = half(s)
-        open_, above = s["low"] < s["high"], F.get(cut, mid) < F.col("doc_id")
-        return F.struct(F.when(open_ & above, mid + 1).otherwise(s["low"]).alias("low"), F.when(open_ & ~above, mid).otherwise(s["high"]).alias("high"))
-
-    start = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
-    return F.lit(len(cuts)) - F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["low"]
-
-
 def _with_ends(docs: DataFrame, ranges: int | None) -> DataFrame:
     """docs (doc_id, text) with the number of their range of doc_id, counted from the largest ids down; the first row of
     each range is there once more (copy), for the end of the range before it, and the very first for the end of the last."""
@@ -96,7 +81,7 @@ def _with_ends(docs: DataFrame, ranges: int | None) -> DataFrame:
         ranges = min(MOST_RANGES, max(LEAST_RANGES, tasks_for_bytes(docs, "text", RANGE_BYTES)))
     cuts = docs.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 20 * ranges).alias("c")).first().c or []
     cuts = sorted({c for c in cuts if c is not None})
-    place = _place(cuts) if cuts else F.lit(0)
+    place = F.lit(len(cuts)) - cuts_below(cuts, "doc_id")
     dealt = docs.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(place).cast("int"))
     # at most `ranges` rows
     firsts = dealt.groupBy("range").agg(F.max("doc_id").alias("first_id")).orderBy("range").collect()

@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, written
+from .shared import cuts_below, documents, written
 
 PERIOD = 1000  # slots, at least
 SLOTS_EACH = 50  # slots of a period for each source, at least: a weight is met to a fiftieth of itself and two slots
 BROADCAST_SLOTS = 1 << 20  # a longer period is joined by a shuffle
 BLOCK_BYTES = 64 << 10
-PARTS = 64  # of a source, in which running sums are taken side by side
+PART_ROWS = 1_000_000  # rows of a part of the ids; running sums are taken side by side in the parts of a source
+LEAST_PARTS, MOST_PARTS = 64, 1 << 14
 SMOOTHING = 0.5  # default target: share of bytes to this power
 
 
@@ -77,21 +78,23 @@ def schedule(shares_: DataFrame, period: int) -> DataFrame:
     return shares_.sparkSession.createDataFrame(pa.table({"source": names, "nth": nth, "slot": np.arange(len(nth), dtype=np.int32)}))
 
 
-def mixed(docs: DataFrame, *, weights: dict[str, float] | None = None, period: int | None = None, block_bytes: int = BLOCK_BYTES, parts: int = PARTS, smoothing: float = SMOOTHING) -> DataFrame:
+def mixed(docs: DataFrame, *, weights: dict[str, float] | None = None, period: int | None = None, block_bytes: int = BLOCK_BYTES, parts: int | None = None, smoothing: float = SMOOTHING) -> DataFrame:
     """Per row of docs: doc_id, source, n_bytes, block (of its source, from 0), slot, release, deadline.
 
     Nothing is dropped or repeated: a source that has no more blocks leaves its slots empty. Documents of a source without
     a target follow after all others: slot, release and deadline are null. A block holds the documents that begin in its
     BLOCK_BYTES of the source's bytes, so a longer document takes several blocks' worth and leaves those after it out.
     Null texts have 0 bytes; a null source is one of its own; null ids come first, ties keep any order.
-    An empty table gives no rows. A source may hold any share of the rows: its running sum is taken in `parts` ranges.
+    An empty table gives no rows. A source may hold any share of the rows: its running sum is taken in `parts`
+    ranges of ids, as many as the rows ask for (64 to 16,384).
     """
     source = F.concat(F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.lit("+")), F.coalesce(F.col("source").cast("string"), F.lit("")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
+    if parts is None:
+        parts = min(MOST_PARTS, max(LEAST_PARTS, docs.count() // PART_ROWS))
     cuts = rows.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 20 * parts).alias("c")).first().c or []
     cuts = sorted({c for c in cuts if c is not None})
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("doc_id") > c)) if cuts else F.lit(0)
-    rows = rows.withColumn("part", F.coalesce(F.when(F.col("doc_id").isNotNull(), part), F.lit(-1)).cast("int"))
+    rows = rows.withColumn("part", F.coalesce(F.when(F.col("doc_id").isNotNull(), cuts_below(cuts, "doc_id")), F.lit(-1)).cast("int"))
     totals = written(rows.groupBy("source", "part").agg(F.sum("n_bytes").alias("bytes")), "source-bytes")
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     begins = totals.select("source", "part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("begin"))

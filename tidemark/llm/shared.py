@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,21 @@ def tasks_for_bytes(df: DataFrame, column: str, each: int) -> int:
     return max(1, -(-total // each))
 
 
+def cuts_below(cuts: list[int], column: str) -> Column:
+    """How many of the cuts, which are sorted, are less than a column: by halving, so that a row is compared with few of them."""
+    if not cuts:
+        return F.lit(0)
+    cut = F.array(*map(F.lit, cuts))
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["low"] + s["high"], 1)
+        open_, above = s["low"] < s["high"], F.get(cut, mid) < F.col(column)
+        return F.struct(F.when(open_ & above, mid + 1).otherwise(s["low"]).alias("low"), F.when(open_ & ~above, mid).otherwise(s["high"]).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), start, step)["low"]
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int):
     """The batch in slices whose texts have `most` bytes, or that are one row: what a task holds does not follow Arrow's batch size."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
