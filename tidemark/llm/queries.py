@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fill_in_middle import OP11_SQL, op11_fill_in_middle
 from .fingerprints import op3_fingerprints
 from .mixing import OP10_SQL, op10_mixing
 from .near_duplicates import op9_minhash
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_minhash": op9_minhash,
     "op10_mixing": op10_mixing,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_top_k": OP4_SQL, "op10_mixing": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_top_k": OP4_SQL, "op10_mixing": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
