@@ -13,6 +13,7 @@ from .token_counts import op5_token_counts
 from .token_files import op6_token_files
 from .topk import OP4_SQL, op4_top_k
 from .toxicity import op8_toxicity
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_repeats": op1_repeats,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_minhash": op9_minhash,
     "op10_mixing": op10_mixing,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_top_k": OP4_SQL, "op10_mixing": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
