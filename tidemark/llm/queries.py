@@ -7,6 +7,7 @@ from .fingerprints import op3_fingerprints
 from .mixing import OP10_SQL, op10_mixing
 from .near_duplicates import op9_minhash
 from .packing import op2_packing
+from .quality import op13_quality
 from .repeats import op1_repeats
 from .secrets import op7_secrets
 from .token_counts import op5_token_counts
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_whitening": op12_whitening,
+    "op13_quality": op13_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_top_k": OP4_SQL, "op10_mixing": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
