@@ -6,6 +6,8 @@ import sys
 from collections import Counter, defaultdict
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tidemark.llm.mixing import BLOCK_BYTES
 from tidemark.llm.near_duplicates import near_duplicate_groups
@@ -64,6 +66,20 @@ def test_windows_follow_the_mixed_order(spark, tmp_path):
     assert whole > 2 * RUN_WINDOWS and worst < block + max(r.doc_tokens for r in got)
 
 
+def test_names_that_clash(spark):
+    """Columns named as those that stages work with, and some with dots and spaces, come through every stage."""
+    names = ["a.b", "a b", "text.x", "_row", "_id", "_own", "_slot", "slot", "toxicity", "component_id", "kept", "n_shingles", "a", "b"]
+    names += ["bucket", "signature", "set_key", "spans", "start", "length", "sequence_id", "offset", "block", "share", "ids"]
+    docs = documents(spark, SF).limit(60)
+    docs = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = written(stage(spark, docs, SF), name)
+        assert out.columns == docs.columns and out.count() > 0
+        assert {tuple(r)[-len(names) :] for r in out.collect()} == {tuple(range(len(names)))}
+        docs = out
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
+
+
 def test_empty(spark):
     docs = documents(spark, SF).limit(0)
     for name, stage in corpus_pipeline.STAGES:
@@ -78,5 +94,5 @@ def test_nothing_else_imports_the_subpackage():
 
 
 def test_entry_without_a_session():
-    code = "import re, __spark_entry__ as e; assert len([n for n in e.queries() if re.match('op[0-9]+_', n)]) == 10 and 'pipeline' in e.queries()"
+    code = "import re, __spark_entry__ as e; assert len([n for n in e.queries() if re.match('op[0-9]+_', n)]) == 13 and 'pipeline' in e.queries()"
     assert subprocess.run([sys.executable, "-c", code], cwd=ROOT).returncode == 0

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import documents, slices, written
+from .shared import documents, free_worker, slices, written
 from .shingles import mixed, shingle_hashes, shingle_set, words_of
 
 ROWS, BANDS = 7, 48  # a pair at similarity 0.8 shares no band with probability 1.2e-5, one at 0.1 shares one with 5e-6
@@ -36,6 +36,7 @@ def sketches(docs: DataFrame, *, words: int, rows: int = ROWS, bands: int = BAND
     """Per document: size of its shingle set, a 128-bit key of that set, a key for each band, and the low byte of each minimum."""
 
     def run(batches):
+        free_worker()
         rng = np.random.default_rng(SEED)
         a = rng.integers(0, 1 << 31, rows * bands, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         b = rng.integers(0, 1 << 32, rows * bands, dtype=np.uint32)
@@ -83,6 +84,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     """Pairs whose full shingle sets, taken from their whole texts, are similar enough."""
 
     def run(batches):
+        free_worker()
         held: dict[int, set] = {}
         for batch in batches:
             keep = []
@@ -220,9 +222,11 @@ def near_duplicate_groups(docs: DataFrame, *, words: int = 5, percent: int = 80,
 
 
 def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each group: the one with the least doc_id. All columns stay."""
+    """docs with one document of each group: the one with the least doc_id. All columns stay, whatever their names."""
     gone = near_duplicate_groups(docs, **how).filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # the row goes along as one column, so that no name can clash or be taken for a path
+    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"))
+    return packed.join(gone, "doc_id", "left_anti").select("_row.*")
 
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:

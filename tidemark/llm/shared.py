@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -12,6 +13,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_KEPT: list[dict] = []
+
+
+def kept_by_worker(cache: dict) -> dict:
+    """A dictionary that stays in a Python worker from task to task, until a task of another kind frees it."""
+    _KEPT.append(cache)
+    return cache
+
+
+def free_worker() -> None:
+    """Empties what this worker keeps. Stages that use none of it call this first: workers live as long as their executor."""
+    if any(_KEPT):
+        for cache in _KEPT:
+            cache.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where it is unset, a new local folder becomes it in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from .shared import kept_by_worker
+
 END_ID = 2
 TABLE_LIMIT = 600_000  # chunks kept per Python worker; what comes later is encoded once per slice
 SLICE_BYTES = 16 << 20  # text encoded at once
@@ -27,7 +29,7 @@ WORD_END = "</w>"
 # Fixed value: how word_bpe_49k splits normalized text into words.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-_ENCODERS: dict[tuple, "Encoder"] = {}
+_ENCODERS: dict[tuple, "Encoder"] = kept_by_worker({})
 
 
 def _words(chunk: str) -> int:

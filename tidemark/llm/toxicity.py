@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, slices
+from .shared import documents, free_worker, slices
 
 BUCKETS = 1 << 20
 FACTORS = 4
@@ -127,6 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS) -> bytes |
     chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
     def terms(batches):
+        free_worker()
         for batch in batches:
             for part in slices(batch, 1, SLICE_BYTES):
                 doc, bucket = _terms(part.column(1))
@@ -178,6 +179,7 @@ def toxicity_scores(docs: DataFrame, model: bytes | None) -> DataFrame:
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         if not held:
+            free_worker()
             held.append(_Scorer(model))
         parts = slices(pa.RecordBatch.from_arrays([texts], names=["text"]), 0, SLICE_BYTES)
         return pa.array(np.concatenate([np.empty(0), *(held[0].scores(part.column(0)) for part in parts)]))
