@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
@@ -10,9 +12,22 @@ from pyspark.sql import functions as F
 YEAR = 252  # trading days
 
 
+_KEYS: ContextVar[tuple[str, ...]] = ContextVar("keys", default=("ticker",))
+
+
+@contextlib.contextmanager
+def parted_by(*keys: str):
+    """Within it, by_date() is by these columns instead of the ticker: for rows that are dealt into blocks of a ticker."""
+    token = _KEYS.set(keys)
+    try:
+        yield
+    finally:
+        _KEYS.reset(token)
+
+
 def by_date():
     """The rows of a ticker in order. Made when asked for: a window needs a session."""
-    return Window.partitionBy("ticker").orderBy("date")
+    return Window.partitionBy(*_KEYS.get()).orderBy("date")
 
 
 def col(c: Column | str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.windows import YEAR, by_date, change, drawdown, gains, growth, ratio, rolling, rsi, so_far
 from tidemark.operators.features import exponential
+from tidemark.operators.histories import DAYS, SIZE, framed, numbered, running
 
 
 def indicators(bars: DataFrame, conditions: list[dict]) -> DataFrame:
@@ -43,18 +44,25 @@ def joined(flags: list[Column], mode: str = "all") -> Column:
     return reduce((lambda a, b: a & b) if mode == "all" else (lambda a, b: a | b), flags) if flags else F.lit(False)
 
 
-def positions(rows: DataFrame, enter: Column, leave: Column) -> DataFrame:
+def positions(rows: DataFrame, enter: Column, leave: Column, *, size: int = SIZE, days: int = DAYS) -> DataFrame:
     """position, 1 or 0: entered one row after `enter` holds while flat, left one row after `leave` holds while in.
 
-    A row with one of both sets the state; a row with both turns it over. So the state is the last one set, turned as
-    often as there were turns since: two windows, no loop.
+    A row with one of both sets the state; a row with both turns it over. Such transitions compose: what a block of rows
+    makes of a state is the state it sets last, if any, turned as often as there were turns since. With T turns so far, a
+    row that sets a state s says s - T; so the last such number, plus T, is the state, and running values of blocks give both.
     """
-    w = by_date()
-    rows = rows.withColumns({"_e": F.coalesce(F.lag(enter).over(w), F.lit(False)), "_x": F.coalesce(F.lag(leave).over(w), F.lit(False))})
-    sets, turns = F.col("_e") != F.col("_x"), (F.col("_e") & F.col("_x")).cast("int")
-    rows = rows.withColumns({"_set": F.coalesce(F.last(F.when(sets, F.col("_e").cast("int")), ignorenulls=True).over(so_far()), F.lit(0)), "_grp": F.sum(sets.cast("int")).over(so_far()), "_turn": turns})
-    since = Window.partitionBy("ticker", "_grp").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("position", ((F.col("_set") + F.sum("_turn").over(since)) % 2).cast("int")).drop("_e", "_x", "_set", "_grp", "_turn")
+
+    def before(rows: DataFrame) -> DataFrame:
+        w = by_date()
+        flags = {"_e": enter, "_x": leave}
+        return rows.withColumns({name: F.coalesce(F.lag(flag).over(w), F.lit(False)) for name, flag in flags.items()})
+
+    rows = framed(numbered(rows, size=size, days=days), before, back=1, size=size)
+    rows = running(rows, {"_turns": ("sum", (F.col("_e") & F.col("_x")).cast("int"))})
+    sets = F.when(F.col("_e") != F.col("_x"), F.col("_e").cast("int") - F.col("_turns"))
+    rows = running(rows, {"_set": ("last", sets)})
+    state = F.pmod(F.coalesce("_set", F.lit(0)) + F.col("_turns"), F.lit(2)).cast("int")
+    return rows.withColumn("position", state).drop("_e", "_x", "_set", "_turns", "_pos", "_block", "_key")
 
 
 def earned(rows: DataFrame, delay: int = 1, cost: float = 0.0) -> DataFrame:
@@ -154,11 +162,12 @@ def rules(bars: DataFrame, conditions: list[dict]) -> DataFrame:
 
 
 def held_rows(rows: DataFrame, take: float | None = None, stop: float | None = None) -> DataFrame:
-    """(ticker, date, held, entry_close, exited): held in a row if entered in an earlier one, at a close where `enter` holds while flat; left at
-    a close where `leave` holds or that gained `take` or lost `stop` since. Depends on the path: each ticker is walked once."""
+    """(ticker, row, held, entry_close, exited): held in a row if entered in an earlier one, at a close where `enter` holds while flat;
+    left at a close where `leave` holds or that gained `take` or lost `stop` since. rows: with their number by ticker, `row`.
+    Depends on the path: each ticker is walked once."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out, at = pdf.sort_values("date"), [], None
+        pdf, out, at = pdf.sort_values("row"), [], None
         for i, (close, enter, leave) in enumerate(zip(pdf["close"], pdf["enter"], pdf["leave"])):
             if at is None:
                 out.append((0, None, False))
@@ -169,9 +178,11 @@ def held_rows(rows: DataFrame, take: float | None = None, stop: float | None = N
             out.append((1, at, gone))
             at = None if gone else at
         held, entry, gone = zip(*out)
-        return pd.DataFrame({"ticker": pdf["ticker"].to_numpy(), "date": pdf["date"].to_numpy(), "held": held, "entry_close": pd.array(entry, dtype="Float64"), "exited": gone})
+        entry = pd.array(entry, dtype="Float64")
+        return pd.DataFrame({"ticker": pdf["ticker"].to_numpy(), "row": pdf["row"].to_numpy(), "held": held, "entry_close": entry, "exited": gone})
 
-    return rows.select("ticker", "date", "close", "enter", "leave").groupBy("ticker").applyInPandas(walk, "ticker string, date date, held int, entry_close double, exited boolean")
+    walked = rows.select("ticker", "row", "close", "enter", "leave").groupBy("ticker")
+    return walked.applyInPandas(walk, "ticker string, row int, held int, entry_close double, exited boolean")
 
 
 def sized(rows: DataFrame, sizing: dict) -> DataFrame:
@@ -192,8 +203,10 @@ def engine(bars: DataFrame, entry: list[dict], leave: list[dict], sizing: dict,
     flags = rules(bars, entry + leave)
     n = len(entry)
     flags = flags.withColumns({"enter": joined([F.col(f"c{i}") for i in range(n)]) if n else F.lit(True), "leave": joined([F.col(f"c{n + i}") for i in range(len(leave))], "any")})
+    # numbered, as dates may repeat
+    flags = flags.withColumn("row", F.row_number().over(by_date()))
     held = held_rows(flags, take, stop)
-    return sized(bars.join(held, ["ticker", "date"]), sizing)
+    return sized(flags.select(*bars.columns, "row").join(held, ["ticker", "row"]).drop("row"), sizing)
 
 
 def engine_statistics(rows: DataFrame) -> DataFrame:

@@ -1,15 +1,19 @@
 """Return, volatility, volume and technical features of bars, and targets that look ahead.
 
-Every function adds columns over one window per ticker, so that a chain of them sorts each ticker once.
+Every function adds columns over one window per ticker, so that a chain of them sorts each ticker once. in_blocks runs any
+of them over blocks of a ticker's rows instead; what needs all rows before (enriched, exponential) works in blocks by itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import by_date, YEAR, change, drawdown, gains, growth, log_return, ratio, rolling, rolling2, rsi, zscore
+from tidemark.functions.windows import by_date, YEAR, change, gains, log_return, ratio, rolling, rolling2, rsi, zscore
+from tidemark.operators.histories import DAYS, SIZE, exponential_means, framed, numbered, running
 
 LAGS, MOMENTA, AVERAGES, VOLATILITIES = (1, 2, 3, 5, 10, 20), (5, 10, 20, 60, 120), (10, 20, 50, 100, 200), (5, 10, 20, 30, 60)
 
@@ -18,14 +22,24 @@ def returns(bars: DataFrame) -> DataFrame:
     return bars.withColumns({"simple_return": change("close"), "log_return": log_return("close")})
 
 
-def enriched(bars: DataFrame, window: int = 20) -> DataFrame:
-    """Returns, cumulative return, rolling volatility of a year and drawdown."""
-    rows = returns(bars)
-    return rows.withColumns({
-        "cumulative_return": growth("simple_return") - 1,
-        "rolling_volatility": rolling(F.stddev_samp, "simple_return", window) * YEAR**0.5,
-        "drawdown": drawdown("close"),
-    })
+def in_blocks(
+    bars: DataFrame, f: Callable[[DataFrame], DataFrame], *, back: int, ahead: int = 0, size: int = SIZE, days: int = DAYS
+) -> DataFrame:
+    """f(bars), for features f that look at most `back` rows back and `ahead` rows ahead, over blocks of `size` rows."""
+    rows = framed(numbered(bars, size=size, days=days), f, back=back, ahead=ahead, size=size)
+    return rows.drop("_pos", "_block", "_key")
+
+
+def enriched(bars: DataFrame, window: int = 20, *, size: int = SIZE, days: int = DAYS) -> DataFrame:
+    """Returns, cumulative return, rolling volatility of a year and drawdown, over blocks of `size` rows."""
+
+    def frames(rows: DataFrame) -> DataFrame:
+        return returns(rows).withColumn("rolling_volatility", rolling(F.stddev_samp, "simple_return", window) * YEAR**0.5)
+
+    rows = framed(numbered(bars, size=size, days=days), frames, back=window, size=size)
+    rows = running(rows, {"_growth": ("product", 1 + F.coalesce("simple_return", F.lit(0.0))), "_top": ("max", F.col("close"))})
+    rows = rows.withColumns({"cumulative_return": F.col("_growth") - 1, "drawdown": ratio(F.col("close") - F.col("_top"), "_top")})
+    return rows.drop("_growth", "_top", "_pos", "_block", "_key")
 
 
 def bar_shape(bars: DataFrame) -> DataFrame:
@@ -94,25 +108,24 @@ def technicals(bars: DataFrame) -> DataFrame:
     return out.withColumn("percent_b", F.when(band == 0, 0.0).otherwise((F.col("close") - F.col("bollinger_lower")) / band)).drop("_up", "_down", "_range")
 
 
-def exponential(bars: DataFrame, spans=(9, 12, 20, 26, 50)) -> DataFrame:
+def exponential(bars: DataFrame, spans=(9, 12, 20, 26, 50), *, size: int = SIZE, days: int = DAYS) -> DataFrame:
     """Exponential means of the close, and MACD (12 less 26) with its signal of 9 and their difference.
 
-    Each mean depends on the one before, so a ticker is one pass over its rows in order, in Arrow batches.
+    Each mean depends on the one before: blocks of `size` rows are affine maps of the means that they are entered with.
+    A row without a close keeps the means before it.
     """
     names = [*(f"ema_{n}" for n in spans), "macd", "macd_signal", "macd_histogram"]
+    means: dict = {f"ema_{n}": ("close", 2 / (n + 1)) for n in dict.fromkeys((*spans, 12, 26))}
+    means["macd_signal"] = (("ema_12", "ema_26"), 2 / 10)
 
-    def means(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        mean = lambda x, n: x.ewm(span=n, adjust=False).mean()
-        for n in spans:
-            pdf[f"ema_{n}"] = mean(pdf["close"], n)
-        pdf["macd"] = mean(pdf["close"], 12) - mean(pdf["close"], 26)
-        pdf["macd_signal"] = mean(pdf["macd"], 9)
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf["macd"] = pdf["ema_12"] - pdf["ema_26"]
         pdf["macd_histogram"] = pdf["macd"] - pdf["macd_signal"]
         return pdf
 
     schema = "ticker string, date date, close double, " + ", ".join(f"{n} double" for n in names)
-    return bars.select(F.col("ticker").cast("string"), "date", F.col("close").cast("double")).groupBy("ticker").applyInPandas(means, schema)
+    rows = bars.select(F.col("ticker").cast("string"), "date", F.col("close").cast("double"))
+    return exponential_means(numbered(rows, size=size, days=days), "close", means, finish, schema)
 
 
 def year_range(bars: DataFrame, n: int = 252) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import by_date, change, ratio
+from tidemark.operators.features import in_blocks
+from tidemark.operators.histories import DAYS, SIZE, exponential_means, numbered, rolling_quantile, weighted_deviation
 
 # Market falls of past crises and a usual correction.
 STRESS = (("Black Monday 1987", -0.205), ("GFC 2008 drawdown", -0.568), ("COVID crash 2020", -0.339), ("2022 rate shock", -0.254), ("Flash correction", -0.10))
@@ -108,16 +110,33 @@ def segments(df: DataFrame, by: str, text: str = "text") -> DataFrame:
     )
 
 
-def ewma(bars: DataFrame, decay: float = 0.94) -> DataFrame:
-    """Yearly volatility from squared returns with fading weights, the first one as it is. Each ticker is one pass over its rows in order."""
+def ewma(bars: DataFrame, decay: float = 0.94, *, size: int = SIZE, days: int = DAYS) -> DataFrame:
+    """Root of the mean of squared returns with fading weights, of a year: about zero, not about the moving mean (see
+    ewm_deviation). The first row's square begins it. Blocks of `size` rows."""
 
-    def fade(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        v = (pdf["r"] ** 2).ewm(alpha=1 - decay, adjust=False).mean()
-        return pd.DataFrame({"ticker": pdf["ticker"], "date": pdf["date"], "ewma_vol": (v * 252) ** 0.5})
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"ticker": pdf["ticker"], "date": pdf["date"], "ewma_vol": (pdf["v"] * 252) ** 0.5})
 
-    rows = bars.withColumn("r", change("close")).filter(F.col("r").isNotNull()).select("ticker", "date", "r")
-    return rows.groupBy("ticker").applyInPandas(fade, "ticker string, date date, ewma_vol double")
+    rows = numbered(_with_return(bars, size, days).withColumn("_sq", F.col("r") * F.col("r")), size=size, days=days)
+    return exponential_means(rows, "_sq", {"v": ("_sq", 1 - decay)}, finish, "ticker string, date date, ewma_vol double")
+
+
+def _with_return(bars: DataFrame, size: int, days: int) -> DataFrame:
+    rows = in_blocks(bars.select("ticker", "date", "close"), lambda b: b.withColumn("r", change("close")), back=1, size=size, days=days)
+    return rows.filter(F.col("r").isNotNull()).select("ticker", "date", "r")
+
+
+def ewm_deviation(bars: DataFrame, alpha: float = 0.06, *, size: int = SIZE, days: int = DAYS) -> DataFrame:
+    """Deviation of returns about their exponential mean, freed from bias, of a year; missing for a single return."""
+    rows = numbered(_with_return(bars, size, days), size=size, days=days)
+    return weighted_deviation(rows, "r", alpha, "ewm_deviation", 252**0.5)
+
+
+def rolling_value_at_risk(bars: DataFrame, window: int = 252, confidence: float = 0.95, *, size: int = SIZE, days: int = DAYS) -> DataFrame:
+    """The loss that returns of the last `window` rows exceed in 1 - confidence of all cases; missing until all are there."""
+    rows = numbered(_with_return(bars, size, days), size=size, days=days)
+    out = rolling_quantile(rows, "r", window, 1 - confidence, "var", size=size)
+    return out.withColumn("var", -F.col("var"))
 
 
 def quote(bars: DataFrame) -> DataFrame:

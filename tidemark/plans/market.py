@@ -12,7 +12,7 @@ from tidemark.functions.windows import change, rounded
 from tidemark.operators import backtest as B
 from tidemark.operators import pricing as P
 from tidemark.operators import records as R
-from tidemark.plans.sql import OVER, WEEKLY, rolling
+from tidemark.plans.sql import BLOCKS, OVER, WEEKLY, rolling
 from tidemark.plans.sql import rounded as sql
 from tidemark.sources.bars import table, weekly_bars
 
@@ -81,7 +81,8 @@ def option_payoff(spark, d):
 def _strategy(spark, d):
     rows = B.indicators(weekly_bars(spark, d), ENTER + LEAVE)
     n = len(ENTER)
-    rows = B.positions(rows, B.joined([F.col(f"c{i}") for i in range(n)]), B.joined([F.col(f"c{n + i}") for i in range(len(LEAVE))], "any"))
+    enter, leave = B.joined([F.col(f"c{i}") for i in range(n)]), B.joined([F.col(f"c{n + i}") for i in range(len(LEAVE))], "any")
+    rows = B.positions(rows, enter, leave, **BLOCKS)
     return B.earned(rows, 1, 0.001)
 
 

@@ -12,7 +12,7 @@ from tidemark.operators import records as K
 from tidemark.operators import research as R
 from tidemark.operators import text as T
 from tidemark.plans import market
-from tidemark.plans.sql import OVER, WEEKLY
+from tidemark.plans.sql import BLOCKS, OVER, WEEKLY
 from tidemark.plans.sql import rounded as sql
 from tidemark.sources.bars import table, weekly_bars
 from tidemark.sources.news import NEWS, headlines
@@ -97,7 +97,15 @@ def segments(spark, d):
 
 
 def ewma(spark, d):
-    return _out(R.ewma(weekly_bars(spark, d)))
+    return _out(R.ewma(weekly_bars(spark, d), **BLOCKS))
+
+
+def ewm_deviation(spark, d):
+    return _out(R.ewm_deviation(weekly_bars(spark, d), **BLOCKS))
+
+
+def rolling_value_at_risk(spark, d):
+    return _out(R.rolling_value_at_risk(weekly_bars(spark, d), **BLOCKS))
 
 
 def quote(spark, d):
@@ -141,7 +149,7 @@ _LABEL = label_sql("n")
 
 QUERIES = {
     "signal_classes": signals, "fundamentals_annual": fundamentals, "prices_by_type": prices, "observations_json": observations, "observations_series": series, "book_summary": book, "book_stress": stress,
-    "graph_labels": labels, "records_health": health, "records_health_days": health_days, "records_evidence": evidence, "text_segments": segments, "risk_ewma": ewma, "quote_page": quote, "records_snapshots": snapshots, "search_rerank": rerank, "strategy_brackets": brackets,
+    "graph_labels": labels, "records_health": health, "records_health_days": health_days, "records_evidence": evidence, "text_segments": segments, "risk_ewma": ewma, "risk_ewm_deviation": ewm_deviation, "risk_rolling_var": rolling_value_at_risk, "quote_page": quote, "records_snapshots": snapshots, "search_rerank": rerank, "strategy_brackets": brackets,
 }
 
 ORACLE_SQL = {
@@ -161,6 +169,15 @@ ORACLE_SQL = {
         SELECT user_day, arg_min(event_type, o) FILTER (o > 0) AS status, count(*) AS n FROM e GROUP BY user_day""",
     "records_evidence": f"WITH l AS ({market.ORACLE_SQL['records_licences']}), s AS (SELECT s_nationkey, status FROM l JOIN supplier ON s_suppkey = dataset) SELECT s_nationkey, count(*) FILTER (status = 'ACTIVE') AS shown, count(*) AS n, CASE WHEN count(*) FILTER (status = 'ACTIVE') = 0 THEN 'UNAVAILABLE' WHEN count(*) FILTER (status = 'ACTIVE') < count(*) THEN 'PARTIAL' ELSE 'AVAILABLE' END AS availability FROM s GROUP BY 1",
     "text_segments": f"WITH {NEWS} " + " UNION ALL ".join(f"SELECT customer, '{k}' AS segment, count(*) AS n, round(least(1, greatest(0, 0.5 + 0.05 * sum(g) - 0.05 * sum(r))), 6)::DOUBLE AS sentiment, round(least(1, 0.5 + 0.1 * sum(g)), 6)::DOUBLE AS growth, round(least(1, 0.5 + 0.1 * sum(r)), 6)::DOUBLE AS risk FROM (SELECT customer, lower(coalesce(text, '')) AS t, CAST(regexp_matches(t, '{'|'.join(R.GROWING)}') AS INTEGER) AS g, CAST(regexp_matches(t, '{'|'.join(R.AT_RISK)}') AS INTEGER) AS r FROM news) WHERE regexp_matches(t, '{'|'.join(v)}') GROUP BY customer" for k, v in R.SEGMENTS.items()),
+    "risk_ewm_deviation": f"""WITH RECURSIVE {WEEKLY}, r AS (SELECT ticker, date, close / lag(close) {OVER} - 1 AS r FROM bars),
+        o AS (SELECT *, row_number() {OVER} AS i FROM r WHERE r IS NOT NULL),
+        e AS (SELECT ticker, date, i, r AS m, 0.0::DOUBLE AS v, 1.0::DOUBLE AS s FROM o WHERE i = 1
+          UNION ALL SELECT o.ticker, o.date, o.i, m + 0.06::DOUBLE * (r - m), 0.94::DOUBLE * (v + 0.06::DOUBLE * (r - m) * (r - m)),
+            0.94::DOUBLE * 0.94::DOUBLE * s + 0.06::DOUBLE * 0.06::DOUBLE FROM e JOIN o ON o.ticker = e.ticker AND o.i = e.i + 1)
+        SELECT ticker, date, CASE WHEN i > 1 THEN round(sqrt(v / (1 - s)) * sqrt(252), 6) END AS ewm_deviation FROM e""",
+    "risk_rolling_var": f"""WITH {WEEKLY}, r AS (SELECT ticker, date, close / lag(close) {OVER} - 1 AS r FROM bars), k AS (SELECT * FROM r WHERE r IS NOT NULL)
+        SELECT ticker, date, round(CASE WHEN count(*) OVER w = 252 THEN -quantile_cont(r, 0.05) OVER w END, 6) AS var FROM k
+        WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)""",
     "risk_ewma": f"""WITH RECURSIVE {WEEKLY}, r AS (SELECT ticker, date, close / lag(close) {OVER} - 1 AS r FROM bars), o AS (SELECT *, row_number() {OVER} AS i FROM r WHERE r IS NOT NULL),
         e AS (SELECT ticker, date, i, r * r AS v FROM o WHERE i = 1 UNION ALL SELECT o.ticker, o.date, o.i, 0.94::DOUBLE * v + (1 - 0.94::DOUBLE) * r * r FROM e JOIN o ON o.ticker = e.ticker AND o.i = e.i + 1) SELECT ticker, date, round(sqrt(v) * sqrt(252), 6) AS ewma_vol FROM e""",
     "quote_page": f"""WITH {WEEKLY}, w AS (SELECT *, min(low) OVER n AS lo, max(high) OVER n AS hi, last_value(close) OVER a AS spot, max(year(date)) OVER (PARTITION BY ticker) AS y FROM bars

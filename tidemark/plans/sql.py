@@ -18,6 +18,10 @@ BENCH = "bench AS (SELECT date, avg(close) AS bench_close FROM bars GROUP BY dat
 OVER = "OVER (PARTITION BY ticker ORDER BY date)"
 
 
+#: How long histories are cut here: seven years of weekly bars make several blocks of 128 rows, numbered in periods of two years.
+BLOCKS = {"size": 128, "days": 731}
+
+
 def rolling(f: str, column: str, n: int, least: int | None = None) -> str:
     over = f"OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
     return f"(CASE WHEN count({column}) {over} >= {n if least is None else least} THEN {f}({column}) {over} END)"

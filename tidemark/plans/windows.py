@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.windows import rounded
 from tidemark.operators import features as X
-from tidemark.plans.sql import BENCH, LAGGED, OVER, WEEKLY, rolling
+from tidemark.plans.sql import BENCH, BLOCKS, LAGGED, OVER, WEEKLY, rolling
 from tidemark.plans.sql import rounded as sql
 from tidemark.sources.bars import benchmark, history, latest, segment_bars, standardized, tick_bars, weekly_bars
 
@@ -20,6 +20,11 @@ def _out(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*KEYS, *[rounded(c).alias(c) if kinds[c] == "double" else F.col(c) for c in columns])
 
 
+def _blocks(spark, d, f, back: int, ahead: int = 0) -> DataFrame:
+    """f of the weekly bars, over blocks of a ticker's rows; f looks so far back and ahead."""
+    return X.in_blocks(weekly_bars(spark, d), f, back=back, ahead=ahead, **BLOCKS)
+
+
 def daily_bars(spark, d):
     return _out(weekly_bars(spark, d), "open", "high", "low", "close", "volume")
 
@@ -41,47 +46,51 @@ def scan_latest(spark, d):
 
 
 def returns(spark, d):
-    return _out(X.returns(weekly_bars(spark, d)), "simple_return", "log_return")
+    return _out(_blocks(spark, d, X.returns, 1), "simple_return", "log_return")
 
 
 def enriched(spark, d):
-    return _out(X.enriched(weekly_bars(spark, d)), "simple_return", "log_return", "cumulative_return", "rolling_volatility", "drawdown")
+    return _out(X.enriched(weekly_bars(spark, d), **BLOCKS), "simple_return", "log_return", "cumulative_return", "rolling_volatility", "drawdown")
 
 
 def bar_shape(spark, d):
-    return _out(X.bar_shape(weekly_bars(spark, d)), "intraday_return", "overnight_gap", "high_low_range", "close_position")
+    return _out(_blocks(spark, d, X.bar_shape, 1), "intraday_return", "overnight_gap", "high_low_range", "close_position")
 
 
 def lag_features(spark, d):
-    return _out(X.lags(X.returns(weekly_bars(spark, d))), *(f"log_return_lag_{k}" for k in X.LAGS))
+    return _out(_blocks(spark, d, lambda bars: X.lags(X.returns(bars)), max(X.LAGS) + 1), *(f"log_return_lag_{k}" for k in X.LAGS))
 
 
 def momentum_features(spark, d):
-    return _out(X.momentum(weekly_bars(spark, d)), *(f"momentum_{k}" for k in X.MOMENTA))
+    return _out(_blocks(spark, d, X.momentum, max(X.MOMENTA)), *(f"momentum_{k}" for k in X.MOMENTA))
 
 
 def average_features(spark, d):
-    return _out(X.averages(weekly_bars(spark, d)), *(f"{p}_{n}" for n in X.AVERAGES for p in ("sma", "price_to_sma", "above_sma")))
+    return _out(_blocks(spark, d, X.averages, max(X.AVERAGES)), *(f"{p}_{n}" for n in X.AVERAGES for p in ("sma", "price_to_sma", "above_sma")))
 
 
 def volatility_features(spark, d):
-    return _out(X.volatility(X.returns(weekly_bars(spark, d))), *(f"vol_{n}" for n in X.VOLATILITIES), "vol_ratio_5_20", "vol_ratio_20_60", "downside_vol_20")
+    rows = _blocks(spark, d, lambda bars: X.volatility(X.returns(bars)), max(X.VOLATILITIES) + 1)
+    return _out(rows, *(f"vol_{n}" for n in X.VOLATILITIES), "vol_ratio_5_20", "vol_ratio_20_60", "downside_vol_20")
 
 
 def volume_features(spark, d):
-    return _out(X.volumes(weekly_bars(spark, d)), "volume_change", "volume_ma_20", "volume_ma_60", "volume_z_20", "price_volume_trend", "abnormal_volume", "volume_regime")
+    names = ("volume_change", "volume_ma_20", "volume_ma_60", "volume_z_20", "price_volume_trend", "abnormal_volume", "volume_regime")
+    return _out(_blocks(spark, d, X.volumes, 60), *names)
 
 
 def technical_features(spark, d):
-    return _out(X.technicals(weekly_bars(spark, d)), "rsi_14", "rsi_30", "bollinger_upper", "bollinger_lower", "bollinger_width", "percent_b", "atr_14")
+    names = ("rsi_14", "rsi_30", "bollinger_upper", "bollinger_lower", "bollinger_width", "percent_b", "atr_14")
+    return _out(_blocks(spark, d, X.technicals, 31), *names)
 
 
 def exponential_features(spark, d):
-    return _out(X.exponential(weekly_bars(spark, d)), "ema_9", "ema_12", "ema_20", "ema_26", "ema_50", "macd", "macd_signal", "macd_histogram")
+    rows = X.exponential(weekly_bars(spark, d), **BLOCKS)
+    return _out(rows, "ema_9", "ema_12", "ema_20", "ema_26", "ema_50", "macd", "macd_signal", "macd_histogram")
 
 
 def year_range(spark, d):
-    return _out(X.year_range(weekly_bars(spark, d)), "from_high", "from_low")
+    return _out(_blocks(spark, d, X.year_range, 251), "from_high", "from_low")
 
 
 def relative_features(spark, d):
@@ -90,7 +99,7 @@ def relative_features(spark, d):
 
 
 def trend_regime(spark, d):
-    return _out(X.trend(weekly_bars(spark, d)), "trend")
+    return _out(_blocks(spark, d, X.trend, 199), "trend")
 
 
 def volatility_regime(spark, d):
@@ -98,7 +107,8 @@ def volatility_regime(spark, d):
 
 
 def targets(spark, d):
-    return _out(X.targets(X.returns(weekly_bars(spark, d))), "future_return", "future_vol", "direction", "strong_up", "strong_down", "risk_event")
+    rows = _blocks(spark, d, lambda bars: X.targets(X.returns(bars)), back=6, ahead=5)
+    return _out(rows, "future_return", "future_vol", "direction", "strong_up", "strong_down", "risk_event")
 
 
 def perf(spark, d):
