@@ -18,6 +18,7 @@ TASK_BYTES = 16 << 20  # text per packing task
 BATCH_IDS = 4 << 20  # ids that a task packs at once; bounds its memory
 OUT_ROWS = 256  # pieces handed over at once
 RUN_WINDOWS = 64  # windows' worth of ids packed at once where an order is to be kept; bounds how far a piece can move
+RUN_SLICE_BYTES = 4 << 20  # text encoded at once for such runs: workers there also hold what other stages left
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -114,12 +115,13 @@ def pack(docs: DataFrame, tokenizer: str, *, slots: DataFrame | None = None, win
     windows of a run are numbered by their least slot. So a piece comes at most a run before or after its place.
     """
     most = BATCH_IDS if slots is None else min(BATCH_IDS, run_windows * window)
+    slice_bytes = SLICE_BYTES if slots is None else RUN_SLICE_BYTES
 
     def run(batches):
         table = encoder(tokenizer)
         first = TaskContext.get().partitionId() << 32
         pieces = _Pieces(window)
-        for batch in (part for whole in batches for part in slices(whole, 1, SLICE_BYTES)):
+        for batch in (part for whole in batches for part in slices(whole, 1, slice_bytes)):
             flat, bounds = table.encode(batch.column(1), end_id)
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 pieces.add(doc_id, flat[bounds[i] : bounds[i + 1]])
