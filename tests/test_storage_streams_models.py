@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import learn, optimize, research, simulate
+from tidemark.operators import hidden_markov, learn, optimize, research, simulate
 from tidemark.sources import bars, storage
 from tidemark.streaming.bars import bars as stream_bars
 from tidemark.streaming.bars import event_stream
@@ -73,9 +73,9 @@ def test_regimes_are_found(spark):
     day = datetime.date(2020, 1, 1)
     calm = np.concatenate([rng.normal(0.01, 0.005, 150), rng.normal(-0.03, 0.02, 100), rng.normal(0.01, 0.005, 150)])
     rows = spark.createDataFrame([("X", day + datetime.timedelta(i), float(v)) for i, v in enumerate(calm)], "ticker string, date date, r double")
-    got = np.array([r.state for r in learn.hidden_markov(rows, ["r"], 2).orderBy("date").collect()])
+    got = np.array([r.state for r in hidden_markov.detected(rows, ["r"], 2).orderBy("date").collect()])
     assert (got[:150] == 1).mean() > 0.9 and (got[150:250] == 0).mean() > 0.9
-    assert learn.hidden_markov(rows.limit(0), ["r"], 2).count() == 0
+    assert hidden_markov.detected(rows.limit(0), ["r"], 2).count() == 0
 
 
 def test_walk_forward_sees_the_past_only(spark):

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import ratio
+from tidemark.operators.hidden_markov import detected
+from tidemark.operators.histories import DAYS, SIZE
 
 BINS = 1024  # parts of the range of probabilities in which ranks are counted side by side
 
@@ -159,42 +161,22 @@ def label_regimes(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(each.select("state", label.alias("regime"))), "state")
 
 
-def _forward_backward(log_b: np.ndarray, a: np.ndarray, pi: np.ndarray):
-    n, k = log_b.shape
-    top = log_b.max(1, keepdims=True)
-    b = np.exp(log_b - top)
-    alpha, beta, scale = np.zeros((n, k)), np.ones((n, k)), np.zeros(n)
-    for t in range(n):
-        alpha[t] = (pi if t == 0 else alpha[t - 1] @ a) * b[t]
-        scale[t] = alpha[t].sum()
-        alpha[t] /= scale[t]
-    for t in range(n - 2, -1, -1):
-        beta[t] = a @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
-    return alpha * beta, alpha, beta, b, scale
+def regimes(rows: DataFrame, features: list[str], model: str = "hmm", k: int = 4, *, least_rows: int = 60, size: int = SIZE, days: int = DAYS) -> DataFrame:
+    """(ticker, date, state, state_probability, model) by hmm, gmm or kmeans.
 
-
-def hidden_markov(rows: DataFrame, features: list[str], k: int = 3, rounds: int = 30) -> DataFrame:
-    """(ticker, date, state, state_probability) of a Gaussian hidden Markov model (diagonal), fitted to each ticker by itself.
-
-    States are ordered by the mean of the first feature, started from its quantiles. One row per ticker and period in a task.
+    A hidden Markov model is fitted to each ticker of at least least_rows rows; the others, and all of them with gmm, get a
+    Gaussian mixture over all tickers, whose rows say so. k-means has no probabilities.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", ignore_index=True)
-        x = pdf[features].to_numpy(float)
-        x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
-        start = np.minimum(k - 1, (np.argsort(np.argsort(x[:, 0], kind="stable")) * k) // len(x))
-        g = np.eye(k)[start]
-        a, pi = np.full((k, k), 0.1 / max(1, k - 1)) + np.eye(k) * (0.9 - 0.1 / max(1, k - 1)), np.full(k, 1 / k)
-        for _ in range(rounds):
-            weight = g.sum(0)[:, None] + 1e-9
-            mean = g.T @ x / weight
-            var = g.T @ x**2 / weight - mean**2 + 1e-3
-            log_b = -0.5 * (((x[:, None] - mean) ** 2 / var) + np.log(2 * np.pi * var)).sum(2)
-            g, alpha, beta, b, scale = _forward_backward(log_b, a, pi)
-            pairs = (alpha[:-1].T @ (b[1:] * beta[1:] / scale[1:, None])) * a
-            a, pi = (pairs + 1e-9) / (pairs + 1e-9).sum(1, keepdims=True), g[0] / g[0].sum()
-        order = np.argsort(np.argsort(mean[:, 0]))
-        return pd.DataFrame({"ticker": pdf["ticker"], "date": pdf["date"], "state": order[g.argmax(1)], "state_probability": g.max(1) / g.sum(1)})
-
-    return rows.dropna(subset=features).select("ticker", "date", *features).groupBy("ticker").applyInPandas(run, "ticker string, date date, state int, state_probability double")
+    kept = ["ticker", "date", "state", "state_probability", "model"]
+    rows = rows.dropna(subset=features)
+    if model == "kmeans":
+        out = cluster_regimes(rows, features, k).withColumn("state_probability", F.lit(None).cast("double"))
+        return out.withColumn("model", F.lit("kmeans")).select(kept)
+    if model not in ("hmm", "gmm"):
+        raise ValueError(f"unknown model {model!r}")
+    mixed = cluster_regimes(rows, features, k, mixture=True).withColumn("model", F.lit("gmm")).select(kept)
+    if model == "gmm":
+        return mixed
+    found = detected(rows, features, k, least_rows=least_rows, size=size, days=days).withColumn("model", F.lit("hmm")).select(kept)
+    few = rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < least_rows).select("ticker")
+    return found.unionByName(mixed.join(few, "ticker", "left_semi"))

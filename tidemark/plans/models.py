@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import change, rounded
 from tidemark.operators import features as X
+from tidemark.operators import hidden_markov as H
 from tidemark.operators import learn as L
 from tidemark.operators import optimize as O
 from tidemark.operators import simulate as M
 from tidemark.operators import stats as S
-from tidemark.plans.sql import LAGGED, OVER, WEEKLY, out, rolling
+from tidemark.plans.sql import BLOCKS, LAGGED, OVER, WEEKLY, out, rolling
 from tidemark.plans.sql import rounded as sql
 from tidemark.sources.bars import table, weekly_bars
 
@@ -85,7 +87,64 @@ def mixture(spark, d):
 
 
 def hidden_markov(spark, d):
-    return L.hidden_markov(_regime_rows(spark, d), ["log_return", "vol_20"])
+    """States of a hidden Markov model with full covariances, fitted to each ticker."""
+    rows = H.detected(_regime_rows(spark, d), ["log_return", "vol_20"], 3, **BLOCKS)
+    return rows.select("ticker", "date", "state", "state_probability")
+
+
+def regime_models(spark, d):
+    """Share and mean probability of each state under each kind of model."""
+    rows = _regime_rows(spark, d)
+    parts = [L.regimes(rows, ["log_return", "vol_20"], model, 3, **BLOCKS) for model in ("hmm", "gmm", "kmeans")]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.groupBy("model", "ticker", "state").agg(F.count(F.lit(1)).alias("n"), F.avg("state_probability").alias("probability"))
+
+
+#: A chain that is given, not fitted: falling, calm and rising weeks, by log return and volatility of five weeks.
+CHAIN = H.Chain(
+    np.array([0.3, 0.4, 0.3]),
+    np.array([[0.3, 0.2, 0.5], [0.1, 0.8, 0.1], [0.5, 0.2, 0.3]]),
+    np.array([[-0.09, 2.0], [0.0, 1.2], [0.09, 2.0]]),
+    np.array([[[0.005, -0.008], [-0.008, 0.2]], [[0.006, 0.002], [0.002, 0.15]], [[0.006, 0.01], [0.01, 0.2]]]),
+)
+
+
+def viterbi(spark, d):
+    """The likeliest path of each ticker through the states of a given chain."""
+    rows = _blocks(spark, d, lambda bars: X.volatility(X.returns(bars), (5, 20, 60)), 61).select("ticker", "date", "log_return", "vol_5")
+    chains = rows.select("ticker").distinct().withColumn("numbers", F.lit(CHAIN.flat()))
+    return H.decode(rows, ["log_return", "vol_5"], chains, **BLOCKS).select("ticker", "date", "state")
+
+
+def _blocks(spark, d, f, back):
+    return X.in_blocks(weekly_bars(spark, d), f, back=back, **BLOCKS)
+
+
+def _viterbi_sql() -> str:
+    """Scores forward by one recursion, the path back by another."""
+    states, best, origin, density = range(3), [], [], []
+    for mean, covariance in zip(CHAIN.means, CHAIN.covariances):
+        inverse = np.linalg.inv(covariance)
+        constant = -np.log(2 * np.pi) - 0.5 * np.log(np.linalg.det(covariance))
+        x, y = f"(x - {float(mean[0])!r})", f"(y - {float(mean[1])!r})"
+        square = f"{float(inverse[0, 0])!r} * {x} * {x} + 2 * {float(inverse[0, 1])!r} * {x} * {y} + {float(inverse[1, 1])!r} * {y} * {y}"
+        density.append(f"{float(constant)!r} - 0.5 * ({square})")
+    turn = np.log(CHAIN.transition)
+    for j in states:
+        ways = [f"s{i} + {float(turn[i, j])!r}" for i in states]
+        best.append(f"greatest({', '.join(ways)}) + o.b{j} AS s{j}")
+        origin.append(f"CASE WHEN {ways[0]} >= greatest({ways[1]}, {ways[2]}) THEN 0 WHEN {ways[1]} >= {ways[2]} THEN 1 ELSE 2 END AS f{j}")
+    first = ", ".join(f"b{j} + {float(np.log(CHAIN.start[j]))!r} AS s{j}" for j in states)
+    return f"""WITH RECURSIVE {LAGGED}, v AS (SELECT ticker, date, log_return AS x, {rolling('stddev_samp', 'log_return', 5)} * sqrt(252) AS y FROM r),
+      o AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, count(*) OVER (PARTITION BY ticker) AS n,
+        {', '.join(f'{q} AS b{j}' for j, q in enumerate(density))} FROM v WHERE x IS NOT NULL AND y IS NOT NULL),
+      f AS (SELECT ticker, i, {first}, -1 AS f0, -1 AS f1, -1 AS f2 FROM o WHERE i = 1
+        UNION ALL SELECT o.ticker, o.i, {', '.join(best)}, {', '.join(origin)} FROM f JOIN o ON o.ticker = f.ticker AND o.i = f.i + 1),
+      p AS (SELECT o.ticker, o.i, CASE WHEN s0 >= greatest(s1, s2) THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS state
+          FROM o JOIN f ON f.ticker = o.ticker AND f.i = o.i WHERE o.i = o.n
+        UNION ALL SELECT f.ticker, f.i - 1, CASE p.state WHEN 0 THEN f0 WHEN 1 THEN f1 ELSE f2 END FROM p JOIN f ON f.ticker = p.ticker AND f.i = p.i
+          WHERE f.i > 1)
+      SELECT o.ticker, o.date, p.state FROM o JOIN p ON p.ticker = o.ticker AND p.i = o.i"""
 
 
 def weights(spark, d):
@@ -114,11 +173,12 @@ _Y = "d AS (SELECT quality AS y, n_chars / (n_chars + 1500.0) AS p FROM document
 
 QUERIES = {
     "model_split": chronological, "model_suite": suite, "model_walk_forward": walk_forward, "model_scores": scores, "model_thresholds": thresholds, "model_regression": regression, "model_importance": linear, "model_regression_suite": regression_suite,
-    "regime_kmeans": kmeans, "regime_mixture": mixture, "regime_hidden_markov": hidden_markov, "portfolio_weights": weights,
+    "regime_kmeans": kmeans, "regime_mixture": mixture, "regime_hidden_markov": hidden_markov, "regime_models": regime_models, "regime_viterbi": viterbi, "portfolio_weights": weights,
     "simulate_summary": simulation, "simulate_bands": simulation_bands, "simulate_densities": simulation_densities,
 }
 
 ORACLE_SQL = {
+    "regime_viterbi": _viterbi_sql(),
     "model_split": f"""WITH {WEEKLY}, k AS (SELECT *, row_number() {OVER} <= floor(count(*) OVER (PARTITION BY ticker) * (1 - 0.2::DOUBLE)) AS train FROM bars)
         SELECT ticker, train, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM k GROUP BY 1, 2""",
     "model_scores": f"""WITH {_Y}, r AS (SELECT *, CAST(p >= 0.5 AS INTEGER) AS h, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM d),
