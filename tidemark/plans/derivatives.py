@@ -11,6 +11,7 @@ from tidemark.functions.draws import normal_sql
 from tidemark.functions.normal import cumulative_sql
 from tidemark.operators import derivatives as D
 from tidemark.operators import pricing as P
+from tidemark.operators import surfaces as V
 from tidemark.operators import simulate as M
 from tidemark.operators import stats as S
 from tidemark.plans.market import _QUOTES, _args, _quotes
@@ -111,6 +112,21 @@ def linear_surface(spark, d):
     return out(D.linear_surface(rows), 5)
 
 
+def _scattered(spark, d):
+    """(ticker, t, m, iv): for each family of brands a quote for each size of its parts; maturity by mean price, moneyness by mean root of
+    the key, so that quotes lie on no lines."""
+    part = table(spark, d, "part")
+    rows = part.groupBy(F.substring("p_brand", 1, 7).alias("ticker"), "p_size").agg(
+        (F.avg("p_retailprice") / 1000).alias("t"), (F.avg(F.sqrt(F.col("p_partkey") % 997)) / 32 - 0.65).alias("m")
+    )
+    return rows.select("ticker", "t", "m", P.smile(F.col("m"), F.col("t")).alias("iv"))
+
+
+def scattered_surface(spark, d):
+    """a grid for each family of brands over quotes that lie on no lines: Delaunay triangles, nearest quotes outside."""
+    return out(V.surfaces(_scattered(spark, d)))
+
+
 def smile(spark, d):
     rows = _quotes(spark, d).select("t", F.ln(F.col("k") / F.col("s")).alias("m"), F.col("v").alias("iv"))
     return out(D.smile_at(P.nearest_surface(rows), 100.0, 0.5))
@@ -185,13 +201,38 @@ _draw = lambda n: f"(sin(seed + ({n})) * 43758.5453::DOUBLE - floor(sin(seed + (
 _MODEL = f"SELECT 1 AS id, {', '.join(f'{v}::DOUBLE AS {c}' for c, v in MODEL.items())}, 1.0::DOUBLE AS g"
 _MC = f"greatest(s * exp((r - q - 0.5 * v * v) * t + v * sqrt(t) * {normal_sql('n', seed=7)}) - k, 0) * exp(-r * t)"
 
+_SMILE = "least(greatest(0.22 - 0.12 * m + 0.4 * m * m + 0.05 * (sqrt(t) - 0.5), 0.05), 1.5)"
+
 QUERIES = {
     "option_checks": checks, "option_summary": summary, "option_market_prices": market_prices, "option_legs": legs, "option_market_chain": market_chain, "option_synthetic_chain": synthetic_chain,
     "option_chosen_chain": chosen_chain, "option_sensitivity": sensitivity, "option_models": models, "option_ladder": ladder, "option_greeks_surface": greeks_surface,
-    "option_volatility_surface": volatility_surface, "option_linear_surface": linear_surface, "option_smile": smile, "option_strategies": strategies, "futures_curve": futures,
+    "option_volatility_surface": volatility_surface, "option_linear_surface": linear_surface, "option_scattered_surface": scattered_surface, "option_smile": smile, "option_strategies": strategies, "futures_curve": futures,
 }
 
 ORACLE_SQL = {
+    "option_scattered_surface": f"""WITH q AS (SELECT substr(p_brand, 1, 7) AS ticker, p_size AS k, avg(p_retailprice) / 1000 AS t, avg(sqrt(p_partkey % 997)) / 32 - 0.65 AS m
+          FROM part GROUP BY 1, 2),
+        p AS (SELECT *, {_SMILE} AS iv FROM q),
+        three AS (SELECT a.ticker, a.t AS xa, a.m AS ya, a.iv AS va, b.t AS xb, b.m AS yb, b.iv AS vb, c.t AS xc, c.m AS yc, c.iv AS vc,
+            (b.t - a.t) * (c.m - a.m) - (b.m - a.m) * (c.t - a.t) AS whole
+          FROM p a JOIN p b ON a.ticker = b.ticker AND a.k < b.k JOIN p c ON a.ticker = c.ticker AND b.k < c.k),
+        tri AS (SELECT * FROM three WHERE whole <> 0 AND NOT EXISTS (SELECT 1 FROM p d WHERE d.ticker = three.ticker
+            AND (d.t, d.m) NOT IN ((xa, ya), (xb, yb), (xc, yc)) AND sign(whole) * (
+              ((xa - d.t) ** 2 + (ya - d.m) ** 2) * ((xb - d.t) * (yc - d.m) - (xc - d.t) * (yb - d.m))
+              - ((xb - d.t) ** 2 + (yb - d.m) ** 2) * ((xa - d.t) * (yc - d.m) - (xc - d.t) * (ya - d.m))
+              + ((xc - d.t) ** 2 + (yc - d.m) ** 2) * ((xa - d.t) * (yb - d.m) - (xb - d.t) * (ya - d.m))) > 0)),
+        hull AS (SELECT ticker, min(t) AS t0, max(t) AS t1, min(m) AS m0, max(m) AS m1 FROM p GROUP BY 1),
+        cell AS (SELECT ticker, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, t0 + i * (t1 - t0) / 24 AS t, m0 + j * (m1 - m0) / 39 AS m
+          FROM hull, range(25) x(i), range(40) y(j)),
+        w AS (SELECT cell.*, va, vb, vc, ((cell.t - xa) * (yc - ya) - (cell.m - ya) * (xc - xa)) / whole AS wb,
+            ((xb - xa) * (cell.m - ya) - (yb - ya) * (cell.t - xa)) / whole AS wc FROM cell JOIN tri USING (ticker)),
+        inside AS (SELECT ticker, i, j, avg(va + wb * (vb - va) + wc * (vc - va)) AS iv FROM w
+          WHERE wb >= -1e-12 AND wc >= -1e-12 AND wb + wc <= 1 + 1e-12 GROUP BY 1, 2, 3),
+        near AS (SELECT cell.ticker, cell.i, cell.j, arg_min(p.iv, ((p.t - cell.t) ** 2 + (p.m - cell.m) ** 2, p.t, p.m)) AS iv
+          FROM cell JOIN p ON p.ticker = cell.ticker GROUP BY 1, 2, 3)
+        SELECT ticker, i, j, round(t, 6) AS t, round(m, 6) AS m, round(coalesce(inside.iv, near.iv), 6) AS iv,
+          CASE WHEN inside.iv IS NULL THEN 'nearest' ELSE 'linear' END AS source
+        FROM cell LEFT JOIN inside USING (ticker, i, j) JOIN near USING (ticker, i, j)""",
     "option_checks": """WITH c AS (SELECT p_partkey, p_retailprice * sign(p_partkey % 7) AS s, CASE WHEN p_partkey % 5 > 0 THEN p_retailprice END AS k, (p_size - 3) / 50 AS t, p_partkey % 11 = 0 AS nv, list_extract(['call', 'put', 'swap'], 1 + p_partkey % 3) AS kind FROM part)
         SELECT p_partkey, CASE WHEN s IS NULL OR s <= 0 THEN 'spot must be positive' WHEN k IS NULL OR k <= 0 THEN 'strike must be positive' WHEN t <= 0 THEN 'maturity must be positive' WHEN nv THEN 'volatility must be positive'
         WHEN kind NOT IN ('call', 'put') THEN 'kind must be call or put' ELSE 'ok' END AS error FROM c""",
