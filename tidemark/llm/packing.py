@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, slices, tasks_for_bytes
+from .shared import documents, free_worker, slices, tasks_for_bytes
 from .tokenize import END_ID, SLICE_BYTES, default_path, encoder
 
 WINDOW = 4096
@@ -132,6 +132,9 @@ def pack(docs: DataFrame, tokenizer: str, *, slots: DataFrame | None = None, win
         if pieces.total:
             out, first = pieces.packed(first)
             yield from (out.slice(i, OUT_ROWS) for i in range(0, out.num_rows, OUT_ROWS))
+        if slots is not None:
+            del table
+            free_worker()  # what was learnt is left to no idle worker beside those of other stages
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     tasks = tasks_for_bytes(narrow, "text", task_bytes)
