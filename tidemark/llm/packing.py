@@ -115,7 +115,8 @@ def pack(docs: DataFrame, tokenizer: str, *, slots: DataFrame | None = None, win
     windows of a run are numbered by their least slot. So a piece comes at most a run before or after its place.
     """
     most = BATCH_IDS if slots is None else min(BATCH_IDS, run_windows * window)
-    slice_bytes = SLICE_BYTES if slots is None else RUN_SLICE_BYTES
+    in_runs = slots is not None
+    slice_bytes = RUN_SLICE_BYTES if in_runs else SLICE_BYTES
 
     def run(batches):
         table = encoder(tokenizer)
@@ -132,7 +133,7 @@ def pack(docs: DataFrame, tokenizer: str, *, slots: DataFrame | None = None, win
         if pieces.total:
             out, first = pieces.packed(first)
             yield from (out.slice(i, OUT_ROWS) for i in range(0, out.num_rows, OUT_ROWS))
-        if slots is not None:
+        if in_runs:
             del table
             free_worker()  # what was learnt is left to no idle worker beside those of other stages
 
