@@ -86,13 +86,6 @@ def filings(rows: DataFrame, forms: tuple[str, ...] = ("10-K", "10-Q"), limit: i
     return wanted.withColumn("rank", rank).filter(F.col("rank") <= limit).select("ticker", "rank", "form", "filed", "accession", url.alias("url"))
 
 
-def snapshot_ids(provider: Column, url: Column, params: Column, payload: Column) -> dict[str, Column]:
-    """Names of a stored answer: of its request, of its content, and of both."""
-    request = F.sha2(F.concat_ws("\n", provider, url, params).cast("binary"), 256)
-    content = F.sha2(payload.cast("binary"), 256)
-    return {"request_id": request, "content_hash": content, "snapshot_id": F.sha2(F.concat_ws(":", request, content).cast("binary"), 256)}
-
-
 def snapshot_by_id(stored: DataFrame, wanted: DataFrame) -> DataFrame:
     """The stored rows of wanted ids (snapshot_id) that look like ids."""
     return stored.join(wanted.filter(F.col("snapshot_id").rlike("^[a-f0-9]{64}$")).distinct(), "snapshot_id", "left_semi")

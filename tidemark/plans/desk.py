@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.draws import normal_sql
 from tidemark.operators import desk as D
+from tidemark.functions.canonical import snapshot_ids as snapshot_names
 from tidemark.operators import evidence as E
 from tidemark.operators import learn as L
 from tidemark.operators import research as R
@@ -66,7 +67,16 @@ def filings(spark, d):
 
 
 def _snapshots(spark, d):
-    ids = D.snapshot_ids(F.col("c_mktsegment"), F.concat(F.lit("http://x/"), F.col("c_nationkey")), F.col("c_nationkey").cast("string"), F.col("c_name"))
+    """Answers to a request for each customer: half of the requests and answers have their keys in another order, and a secret."""
+    nation, even = F.col("c_nationkey").cast("string"), F.col("c_custkey") % 2 == 0
+    params = F.when(even, F.concat(F.lit('{"page": 1, "nation": '), nation, F.lit("}"))).otherwise(
+        F.concat(F.lit('{"nation":'), nation, F.lit(',"Api_Key":"s'), F.col("c_custkey"), F.lit('","page":1}'))
+    )
+    name = F.col("c_name")
+    payload = F.when(even, F.concat(F.lit('{"rows": [{"b": 1, "a": "'), name, F.lit('"}], "n": 1}'))).otherwise(
+        F.concat(F.lit('{"n":1,"rows":[{"a":"'), name, F.lit('","b":1}]}'))
+    )
+    ids = snapshot_names(F.col("c_mktsegment"), F.concat(F.lit("http://x/"), nation), params, payload)
     return table(spark, d, "customer").select("c_custkey", *[c.alias(n) for n, c in ids.items()])
 
 
@@ -122,7 +132,10 @@ def book_value(spark, d):
 _list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 _LATEST = ", ".join(f"arg_max(value, year) FILTER (concept = '{c}') AS {c}" for c in CONCEPTS)
 _IMPACT = W.ORACLE_SQL["text_news_impact"]
-_SNAP = """sn AS (SELECT c_custkey, sha256(c_mktsegment || chr(10) || 'http://x/' || c_nationkey || chr(10) || c_nationkey) AS request_id, sha256(c_name) AS content_hash FROM customer), si AS (SELECT *, sha256(request_id || ':' || content_hash) AS snapshot_id FROM sn)"""
+_SNAP = """sn AS (SELECT c_custkey,
+    sha256('{"params":{"nation":' || c_nationkey || ',"page":1},"provider":"' || c_mktsegment || '","source_url":"http://x/' || c_nationkey || '"}') AS request_id,
+    sha256('{"n":1,"rows":[{"a":"' || c_name || '","b":1}]}') AS content_hash FROM customer),
+  si AS (SELECT *, sha256(request_id || ':' || content_hash) AS snapshot_id FROM sn)"""
 _CAL = f"""{_R}, g AS (SELECT ticker, arg_max(close, date) AS start, pow(arg_max(close, date) / arg_min(close, date), 365.25 / date_diff('day', min(date), max(date))) - 1 AS mu, stddev_samp(r) * sqrt(252) AS sigma FROM t GROUP BY ticker),
   z AS (SELECT ticker, sim, step, start, CASE WHEN step > 0 THEN (coalesce(nullif(mu, 0), 0.08) - coalesce(nullif(sigma, 0), 0.2) * coalesce(nullif(sigma, 0), 0.2) / 2) / 52 + coalesce(nullif(sigma, 0), 0.2) * sqrt(1 / 52) * {normal_sql('ticker', 'sim', 'step', seed=42)} ELSE 0 END AS z
     FROM g, range(500) a(sim), range(53) b(step)), p AS (SELECT ticker, step, start * exp(sum(z) OVER (PARTITION BY ticker, sim ORDER BY step)) AS price FROM z)"""
