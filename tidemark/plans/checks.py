@@ -60,9 +60,10 @@ _CHUNKS = f"""WITH RECURSIVE t AS (SELECT doc_id, trim(regexp_replace(regexp_rep
 ORACLE_SQL = {
     "portfolio_weights": f"""{_WEIGHTS} SELECT strategy, t.ticker, round(CASE t.ticker WHEN 'A' THEN w1 WHEN 'N' THEN w2 ELSE w3 END, 6) AS w, {sql(expected_return='w1 * m1 + w2 * m2 + w3 * m3', volatility='v', sharpe='(w1 * m1 + w2 * m2 + w3 * m3 - 0.05) / v')}
         FROM al, (VALUES {", ".join(f"('{t}')" for t in TICKERS)}) t(ticker)""",
-    "simulate_summary": f"""WITH {PATHS}, l AS (SELECT arg_max(price, step) AS p FROM pa GROUP BY sim)
-        SELECT {sql(mean='avg(p)', median='median(p)', low='min(p)', high='max(p)', loss_probability='avg(CAST(p / 100 - 1 < 0 AS DOUBLE))', var='greatest(0, -quantile_cont(p / 100 - 1, 0.05))')} FROM l""",
-    "simulate_bands": f"WITH {PATHS} SELECT step, {sql(**{f'p{round(100 * s)}': f'quantile_cont(price, {s})' for s in (0.05, 0.25, 0.5, 0.75, 0.95)})} FROM pa GROUP BY step",
+    "simulate_summary": f"""WITH {PATHS}, l AS (SELECT arg_max(price, step) AS p, any_value(s0) AS s0 FROM pa GROUP BY sim)
+        SELECT round(avg(p), 4) AS mean, round(median(p), 4) AS median, round(min(p), 4) AS low, round(max(p), 4) AS high,
+          round(avg(CAST(p / s0 - 1 < 0 AS DOUBLE)), 4) AS loss_probability, round(greatest(0, -quantile_cont(p / s0 - 1, 0.05)), 4) AS var FROM l""",
+    "simulate_bands": f"WITH {PATHS} SELECT step, {', '.join(f'round(quantile_cont(price, {s}), 4) AS p{round(100 * s)}' for s in (0.05, 0.25, 0.5, 0.75, 0.95))} FROM pa GROUP BY step",
     "simulate_densities": f"""WITH {PATHS}, c AS (SELECT * FROM pa WHERE list_contains({_STEPS}, step)), e AS (SELECT quantile_cont(price, 0.01) AS lo, (quantile_cont(price, 0.99) - quantile_cont(price, 0.01)) / 60 AS w, quantile_cont(price, 0.99) AS hi FROM c),
         b AS (SELECT step, CAST(least(59, floor((price - lo) / w)) AS INTEGER) AS bin, lo, w, count(*) AS n FROM c, e WHERE price BETWEEN lo AND hi GROUP BY ALL)
         SELECT step, bin, round(lo + bin * w, 6) AS low, round(n / (sum(n) OVER (PARTITION BY step) * w), 6) AS density FROM b""",

@@ -15,13 +15,14 @@ from tidemark.operators import surfaces as V
 from tidemark.operators import simulate as M
 from tidemark.operators import stats as S
 from tidemark.plans.market import _QUOTES, _args, _quotes
-from tidemark.plans.sql import OVER, WEEKLY, out
+from tidemark.plans.models import market_of
+from tidemark.plans.sql import LAGGED, OVER, WEEKLY, out
 from tidemark.plans.sql import rounded as sql
 from tidemark.sources.bars import table, weekly_bars
 
 DAY = datetime.date(2024, 1, 15)
 STEPS = 40
-MODEL = {"s": 100.0, "k": 105.0, "t": 0.75, "r": 0.05, "v": 0.25, "q": 0.01}
+TERMS = {"t": 0.75, "r": 0.05, "q": 0.01}  # of the option that all models price
 
 
 def checks(spark, d):
@@ -80,10 +81,12 @@ def sensitivity(spark, d):
 
 
 def models(spark, d):
-    """One call by formula, by European and American trees, and by simulation."""
-    one = spark.range(1).select(*[F.lit(v).alias(c) for c, v in MODEL.items()], F.lit(True).alias("call"))
+    """A call 5 percent above the bars' mean close, of their volatility: by formula, by European and American trees, by simulation."""
+    start, _, sigma = market_of(spark, d)
+    model = {"s": start / 100, "k": round(1.05 * start / 100, 4), "v": sigma, **TERMS}
+    one = spark.range(1).select(*[F.lit(v).alias(c) for c, v in model.items()], F.lit(True).alias("call"))
     trees = P.tree_prices(P.tree_prices(one, STEPS).withColumnRenamed("tree", "binomial"), STEPS, american=True).withColumnRenamed("tree", "binomial_american")
-    carlo = M.option_price(spark, MODEL["s"], MODEL["k"], MODEL["t"], MODEL["r"], MODEL["v"], MODEL["q"], n=20_000).select(F.col("price").alias("monte_carlo"), "stderr")
+    carlo = M.option_price(spark, model["s"], model["k"], model["t"], model["r"], model["v"], model["q"], n=20_000).select(F.col("price").alias("monte_carlo"), "stderr")
     plain = trees.select(P.price(*_args()).alias("formula"), "binomial", "binomial_american")
     return out(plain.join(F.broadcast(carlo)), 4)  # one row with one row
 
@@ -198,7 +201,8 @@ _LAST = f"""{WEEKLY}, rt AS (SELECT *, close / lag(close) {OVER} - 1 AS r FROM b
 _OFFSETS, _EXPIRIES = (", ".join(f"({x})" for x in xs) for xs in (D.OFFSETS, D.EXPIRIES))
 _HASH = "list_reduce(list_prepend(2166136261::DOUBLE, list_transform(string_split(n_name, ''), lambda c: ascii(c)::DOUBLE)), lambda h, c: fmod(xor(h::BIGINT, c::BIGINT)::DOUBLE * 16777619::DOUBLE, 4294967296::DOUBLE))"
 _draw = lambda n: f"(sin(seed + ({n})) * 43758.5453::DOUBLE - floor(sin(seed + ({n})) * 43758.5453::DOUBLE))"
-_MODEL = f"SELECT 1 AS id, {', '.join(f'{v}::DOUBLE AS {c}' for c, v in MODEL.items())}, 1.0::DOUBLE AS g"
+_MODEL = f"""SELECT 1 AS id, s, round(1.05 * s, 4) AS k, v, {', '.join(f'{v}::DOUBLE AS {c}' for c, v in TERMS.items())}, 1.0::DOUBLE AS g FROM
+    (SELECT round(avg(close), 2) / 100 AS s, round(stddev_samp(simple_return) * sqrt(52), 4) AS v FROM r)"""
 _MC = f"greatest(s * exp((r - q - 0.5 * v * v) * t + v * sqrt(t) * {normal_sql('n', seed=7)}) - k, 0) * exp(-r * t)"
 
 _SMILE = "least(greatest(0.22 - 0.12 * m + 0.4 * m * m + 0.05 * (sqrt(t) - 0.5), 0.05), 1.5)"
@@ -250,7 +254,7 @@ ORACLE_SQL = {
         SELECT ticker, source, option_type, count(*) AS n, round(avg(p), 4) AS mean FROM u GROUP BY 1, 2, 3""",
     "option_sensitivity": f"""WITH {_ALL_QUOTES.replace(', e AS (', ', e0 AS (')}, y AS (SELECT z.* EXCLUDE (s), CAST(i AS INTEGER) AS i, s * 0.6::DOUBLE + (s * 1.4::DOUBLE - s * 0.6::DOUBLE) * i / 59 AS s FROM z, range(60) w(i)), {_bs('y')}
         SELECT p_partkey, i, {sql(spot='s', price=_PRICE, delta=_GREEKS['delta'])} FROM e""",
-    "option_models": f"""WITH RECURSIVE o AS ({_MODEL}), {_bs('o')}, {tree_sql('o', STEPS, False, 'eu')}, {tree_sql('o', STEPS, True, 'am')}, mc AS (SELECT avg({_MC}) AS m, stddev_samp({_MC}) / sqrt(20000) AS se FROM o, range(20000) w(n))
+    "option_models": f"""WITH RECURSIVE {LAGGED}, o AS ({_MODEL}), {_bs('o')}, {tree_sql('o', STEPS, False, 'eu')}, {tree_sql('o', STEPS, True, 'am')}, mc AS (SELECT avg({_MC}) AS m, stddev_samp({_MC}) / sqrt(20000) AS se FROM o, range(20000) w(n))
         SELECT {", ".join(f"round({v}, 4) AS {k}" for k, v in {'formula': _PRICE, 'binomial': '(SELECT v[1] FROM eu WHERE lft = 0)', 'binomial_american': '(SELECT v[1] FROM am WHERE lft = 0)', 'monte_carlo': 'm', 'stderr': 'se'}.items())} FROM e, mc""",
     "option_ladder": f"""WITH {_LAST}, l AS (SELECT *, round(spot * (1 - 0.18::DOUBLE) + (spot * (1 + 0.18::DOUBLE) - spot * (1 - 0.18::DOUBLE)) * i / 12, 2) AS k FROM la, range(13) r(i)), a AS (SELECT *, min((abs(k - spot), k)) OVER (PARTITION BY ticker) AS near FROM l),
         z AS (SELECT ticker, spot AS s, k, days / 365 AS t, sigma AS v, 0.05::DOUBLE AS r, 0.0::DOUBLE AS q, g, days, k = near[2] AS atm FROM a, (VALUES (30), (60), (90), (180)) d(days), (VALUES (1.0::DOUBLE), (-1.0)) c(g)), {_bs('z')}

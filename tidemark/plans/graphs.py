@@ -11,7 +11,7 @@ from tidemark.operators import simulate as M
 from tidemark.operators import stats as S
 from tidemark.plans.models import _paths
 from tidemark.plans.research import label_sql
-from tidemark.plans.sql import OVER, WEEKLY, out, rolling
+from tidemark.plans.sql import LAGGED, OVER, WEEKLY, out, rolling
 from tidemark.plans.sql import rounded as sql
 from tidemark.plans.stats import _literal, _pair, _R
 from tidemark.sources.bars import table, weekly_bars
@@ -65,11 +65,11 @@ def shock(spark, d):
 
 
 def loss_tail(spark, d):
-    return out(M.loss_tail(_paths(spark), 100.0))
+    return out(M.loss_tail(*_paths(spark, d)))
 
 
 def return_histogram(spark, d):
-    return out(M.histogram(_paths(spark), 100.0))
+    return out(M.histogram(*_paths(spark, d)))
 
 
 _KINDS = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
@@ -103,9 +103,11 @@ _SHOCK = f"""{_R}, p AS (SELECT a.r AS f, b.r AS d FROM t a JOIN t b USING (date
   z AS (SELECT sim, any_value(beta) AS beta, product(1 + mf + sf * {normal_sql('sim', 'step', seed=42)}) - 1 AS base, product(1 + alpha + beta * {(1 + SHOCK) ** (1 / HORIZON) - 1}::DOUBLE + rs * {normal_sql('sim', 'step', seed=43)}) - 1 AS moved
     FROM h, range({DRAWS}) a(sim), range(1, {HORIZON + 1}) b(step) GROUP BY sim), u AS (SELECT 'baseline' AS scenario, beta, base AS r FROM z UNION ALL SELECT 'shocked', beta, moved FROM z)"""
 #: Simulated paths of _paths(): (sim, step, price).
-PATHS = f"""pz AS (SELECT sim, step, CASE WHEN step > 0 THEN (0.07::DOUBLE - 0.2::DOUBLE * 0.2 / 2) / 52 + 0.2::DOUBLE * sqrt(1 / 52) * {normal_sql('sim', 'step', seed=42)} ELSE 0 END AS z FROM range(4000) a(sim), range(53) b(step)),
-  pa AS (SELECT sim, CAST(step AS INTEGER) AS step, 100 * exp(sum(z) OVER (PARTITION BY sim ORDER BY step)) AS price FROM pz)"""
-_LAST = f"{PATHS}, fr AS (SELECT arg_max(price, step) / 100 - 1 AS r FROM pa GROUP BY sim)"
+PATHS = f"""{LAGGED}, pm AS (SELECT round(avg(close), 2) AS s0, round(avg(simple_return) * 52, 4) AS mu, round(stddev_samp(simple_return) * sqrt(52), 4) AS sg FROM r),
+  pz AS (SELECT sim, step, s0, CASE WHEN step > 0 THEN (mu - sg * sg / 2) / 52 + sg * sqrt(1 / 52) * {normal_sql('sim', 'step', seed=42)} ELSE 0 END AS z
+    FROM pm, range(4000) a(sim), range(53) b(step)),
+  pa AS (SELECT sim, CAST(step AS INTEGER) AS step, s0, s0 * exp(sum(z) OVER (PARTITION BY sim ORDER BY step)) AS price FROM pz)"""
+_LAST = f"{PATHS}, fr AS (SELECT arg_max(price, step) / any_value(s0) - 1 AS r FROM pa GROUP BY sim)"
 
 QUERIES = {
     "graph_nodes": nodes, "graph_fixed_edges": edges, "graph_elements": elements, "graph_node_metrics": node_metrics, "graph_sensitivities": sensitivities,

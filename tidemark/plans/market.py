@@ -70,11 +70,15 @@ def option_term_structure(spark, d):
 
 
 def option_payoff(spark, d):
-    """Payoff of a long call at 95 and a short one at 105 over spots of 50 to 150, and where it changes sign."""
-    grid = spark.range(101).select((F.col("id") + 50.0).alias("s"))
-    legs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n"), F.lit(c).alias("paid")) for k, n, c in ((95.0, 1.0, 8.0), (105.0, -1.0, 3.5))])
+    """For each brand a long call a twentieth under its mean price and a short one as far above it: payoff over spots of half to one
+    and a half times the mean, in percent of it, and where it changes sign."""
+    brands = table(spark, d, "part").groupBy("p_brand").agg(F.round(F.avg("p_retailprice"), 2).alias("mean"))
+    grid = brands.withColumn("s", F.explode(F.sequence(F.lit(50), F.lit(150)))).withColumn("s", F.col("s") * F.col("mean") / 100)
+    mean = F.col("mean")
+    legs = F.array(*[F.struct((k * mean).alias("k"), F.lit(n).alias("n"), (c * mean).alias("paid")) for k, n, c in ((0.95, 1.0, 0.08), (1.05, -1.0, 0.035))])
     rows = grid.withColumn("payoff", F.aggregate(legs, F.lit(0.0), lambda a, x: a + x["n"] * (F.greatest(F.col("s") - x["k"], F.lit(0.0)) - x["paid"])))
-    w = Window.partitionBy(F.lit(0)).orderBy("s")  # 101 rows
+    w = Window.partitionBy("p_brand").orderBy("s")
+    rows = rows.select("p_brand", F.round("s", 6).alias("s"), F.round("payoff", 6).alias("payoff"))
     return rows.withColumn("breakeven", F.coalesce(F.signum("payoff") != F.signum(F.lag("payoff").over(w)), F.lit(False)))
 
 
@@ -218,8 +222,9 @@ ORACLE_SQL = {
         theta=f'-s * cy * f * v / (2 * sqrt(t)) - g * 0.05 * k * dr * {_N2} + g * 0.01 * s * cy * {_N1}', rho=f'g * k * t * dr * {_N2}')} FROM e""",
     "option_implied": f"WITH {_QUOTES} SELECT p_partkey, round(v, 4) AS iv FROM e WHERE s * cy * f * sqrt(t) > 1",
     "option_term_structure": f"WITH {_QUOTES} SELECT round(t, 6) AS t, round(arg_min(v, (round(abs(m), 12), p_partkey)), 6) AS iv FROM e GROUP BY e.t",
-    "option_payoff": """WITH g AS (SELECT s + 50.0::DOUBLE AS s FROM range(101) r(s)), p AS (SELECT s, greatest(s - 95, 0) - 8 - greatest(s - 105, 0) + 3.5 AS payoff FROM g)
-        SELECT s, payoff, coalesce(sign(payoff) <> sign(lag(payoff) OVER (ORDER BY s)), false) AS breakeven FROM p""",
+    "option_payoff": """WITH b AS (SELECT p_brand, round(avg(p_retailprice), 2) AS m FROM part GROUP BY 1), g AS (SELECT p_brand, m, i * m / 100 AS s FROM b, range(50, 151) r(i)),
+        p AS (SELECT p_brand, round(s, 6) AS s, round(greatest(s - 0.95::DOUBLE * m, 0) - 0.08::DOUBLE * m - greatest(s - 1.05::DOUBLE * m, 0) + 0.035::DOUBLE * m, 6) AS payoff FROM g)
+        SELECT p_brand, s, payoff, coalesce(sign(payoff) <> sign(lag(payoff) OVER (PARTITION BY p_brand ORDER BY s)), false) AS breakeven FROM p""",
     "strategy_run": f"{_STRATEGY} SELECT ticker, date, position, round(sr, 6) AS strategy_return, round(equity, 6) AS equity FROM eq",
     "strategy_statistics": f"""{_STRATEGY}, y AS (SELECT *, equity / max(equity) {OVER} - 1 AS dd FROM eq), z AS (SELECT ticker, product(1 + sr) - 1 AS c, count(sr) AS n, avg(sr) AS m, stddev_samp(sr) AS sd, stddev_samp(sr) FILTER (sr < 0) AS dn, min(dd) AS mdd,
         avg(CAST(sr > 0 AS DOUBLE)) FILTER (sr <> 0) AS w, sum(sr) FILTER (sr > 0) / nullif(-sum(sr) FILTER (sr < 0), 0) AS pf, avg(CAST(sr <> 0 AS DOUBLE)) AS ex FROM y GROUP BY ticker)

@@ -153,20 +153,30 @@ def weights(spark, d):
     return out(O.compared(spark, means, S.covariances(bars)))
 
 
-def _paths(spark):
-    return M.paths(spark, 100.0, 0.07, 0.2, 1.0, 52, 4000)
+def market_of(spark, d):
+    """(start, mu, sigma) of all bars: the mean close, and mean and deviation of weekly returns, of a year."""
+    rows = X.returns(weekly_bars(spark, d))
+    r = F.col("simple_return")
+    one = rows.agg(F.round(F.avg("close"), 2).alias("s"), F.round(F.avg(r) * 52, 4).alias("m"), F.round(F.stddev_samp(r) * 52**0.5, 4).alias("v")).first()
+    return one.s, one.m, one.v
+
+
+def _paths(spark, d):
+    """A year of weeks, 4,000 times, and where they start."""
+    start, mu, sigma = market_of(spark, d)
+    return M.paths(spark, start, mu, sigma, 1.0, 52, 4000), start
 
 
 def simulation(spark, d):
-    return out(M.summary(_paths(spark), 100.0))
+    return out(M.summary(*_paths(spark, d)), 4)
 
 
 def simulation_bands(spark, d):
-    return out(M.bands(_paths(spark)))
+    return out(M.bands(_paths(spark, d)[0]), 4)
 
 
 def simulation_densities(spark, d):
-    return out(M.densities(_paths(spark)))
+    return out(M.densities(_paths(spark, d)[0]), 6)
 
 
 _Y = "d AS (SELECT quality AS y, n_chars / (n_chars + 1500.0) AS p FROM documents JOIN labels USING (doc_id))"

@@ -36,8 +36,12 @@ def exposures(spark, d):
 
 
 def weight_checks(spark, d):
-    weights = _weights(spark).unionByName(_literal(spark, [("X", -0.25)], "ticker string,w double"))
-    return out(P.weight_checks(weights, 3))
+    """A book of segments by their part of all orders' worth, one of them held short: it sums to less than one."""
+    orders, customers = table(spark, d, "orders"), table(spark, d, "customer")
+    worth = orders.join(customers, orders.o_custkey == customers.c_custkey).groupBy(F.col("c_mktsegment").alias("ticker")).agg(F.sum("o_totalprice").alias("v"))
+    total = worth.agg(F.sum("v").alias("all"))
+    share = F.round(F.col("v") / total.scalar(), 4)
+    return out(P.weight_checks(worth.select("ticker", F.when(F.col("ticker") == "BUILDING", -share).otherwise(share).alias("w")), 3))
 
 
 def _moments(spark, d):
@@ -145,7 +149,8 @@ ORACLE_SQL = {
         b AS (SELECT *, (an * rr - ar * nr) / (nn * rr - nr * nr) AS b1, (ar * nn - an * nr) / (nn * rr - nr * nr) AS b2 FROM m)
         SELECT f.factor, round(CASE f.factor WHEN 'N' THEN b1 ELSE b2 END, 6) AS beta, round((ma - b1 * mn - b2 * mr) * 252, 6) AS alpha_annual, round((b1 * an + b2 * ar) / aa, 6) AS r2, n
         FROM b, (VALUES ('N'), ('R')) f(factor) WHERE n >= 60""",
-    "portfolio_weight_checks": """WITH w(w) AS (VALUES (0.5::DOUBLE), (0.25), (0.25), (-0.25)), s AS (SELECT count(*) AS n, count(*) - count(w) AS m, sum(w) AS t, count(*) FILTER (w < -0.0001) AS s FROM w)
+    "portfolio_weight_checks": """WITH o AS (SELECT c_mktsegment AS t, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+        w AS (SELECT CASE WHEN t = 'BUILDING' THEN -1 ELSE 1 END * round(v / sum(v) OVER (), 4) AS w FROM o), s AS (SELECT count(*) AS n, count(*) - count(w) AS m, round(sum(w), 6) AS t, count(*) FILTER (w < -0.0001) AS s FROM w)
         SELECT 'count' AS "check", CASE WHEN n = 3 THEN 'PASS' ELSE 'ERROR' END AS status, n::DOUBLE AS value FROM s UNION ALL SELECT 'missing', CASE WHEN m = 0 THEN 'PASS' ELSE 'ERROR' END, m::DOUBLE FROM s
         UNION ALL SELECT 'sum', CASE WHEN abs(t - 1) <= 0.00011 THEN 'PASS' ELSE 'WARN' END, t::DOUBLE FROM s UNION ALL SELECT 'short', CASE WHEN s = 0 THEN 'PASS' ELSE 'WARN' END, s::DOUBLE FROM s""",
     "portfolio_performance": f"""WITH {_MU}, {_W}, v AS (SELECT sqrt(sum(a.w * b.w * cov)) AS v FROM cov JOIN w a ON a.ticker = i JOIN w b ON b.ticker = j),

@@ -10,7 +10,7 @@ from tidemark.operators import features as X
 from tidemark.operators import regimes as R
 from tidemark.operators import stats as S
 from tidemark.plans.models import _labelled
-from tidemark.plans.sql import OVER, out
+from tidemark.plans.sql import OVER, WEEKLY, out
 from tidemark.plans.sql import rounded as sql
 from tidemark.plans.stats import _TREND
 from tidemark.sources.bars import weekly_bars
@@ -64,12 +64,14 @@ def prediction_summary(spark, d):
 
 
 def feature_columns(spark, d):
-    """Names of the features of a data set, in order, by their types and names."""
+    """Names of the features of a data set, in order, by their types and names, and how many rows have each."""
     rows = X.targets(X.volatility(X.momentum(X.returns(weekly_bars(spark, d)), (5, 20)), (5, 20, 60)))
     renamed = rows.withColumnsRenamed({c: c.capitalize() for c in ("ticker", "date", "open", "high", "low", "close", "volume")})
     renamed = renamed.withColumnsRenamed({c: f"target_{c}" for c in ("future_return", "future_vol", "direction", "strong_up", "strong_down", "risk_event")})
     names = sorted(R.feature_columns(renamed))
-    return spark.range(1).select(F.posexplode(F.array(*map(F.lit, names))).alias("position", "name"))
+    counts = renamed.agg(*[F.count(c).alias(c) for c in names])
+    each = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"), F.col(c).alias("n")) for i, c in enumerate(names)])
+    return counts.select(F.inline(each))
 
 
 def regime_columns(spark, d):
@@ -91,6 +93,11 @@ _LEVEL = lambda c: _case(c, [(x[0], x[1]) for x in R.RISKS], R.OTHER_RISK[0])  #
 _RUNS = f"{_LABELS}, n AS (SELECT *, CASE WHEN label = lag(label) {OVER} THEN 0 ELSE 1 END AS new FROM g), u AS (SELECT *, sum(new) {OVER} AS run2 FROM n)"
 _Y = "d AS (SELECT quality AS y, n_chars / (n_chars + 1500.0) AS p, CAST(n_chars / (n_chars + 1500.0) >= 0.5 AS INTEGER) AS h FROM documents JOIN labels USING (doc_id))"
 _FEATURES = ("downside_vol_20", "log_return", "momentum_20", "momentum_5", "simple_return", "vol_20", "vol_5", "vol_60", "vol_ratio_20_60", "vol_ratio_5_20")
+#: Rows of a ticker before a feature has a value.
+_BACK = {
+    "downside_vol_20": 20, "log_return": 1, "momentum_20": 20, "momentum_5": 5, "simple_return": 1, "vol_20": 20, "vol_5": 5, "vol_60": 60,
+    "vol_ratio_20_60": 60, "vol_ratio_5_20": 20,
+}
 
 QUERIES = {
     "regime_context": context, "regime_risks": risks, "regime_transition_analysis": transition_analysis, "regime_interpretation": interpretation,
@@ -126,6 +133,8 @@ ORACLE_SQL = {
         SELECT 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), sum(support)::DOUBLE FROM f UNION ALL
         SELECT 'weighted avg', round(sum(p * support) / sum(support), 6), round(sum(r * support) / sum(support), 6), round(sum(f * support) / sum(support), 6), sum(support)::DOUBLE FROM f""",
     "model_prediction_summary": f"WITH {_Y} SELECT {sql(average_prediction='avg(h)', positive_rate='avg(CAST(h = 1 AS DOUBLE))', average_confidence='avg(p)::DOUBLE')} FROM d",
-    "model_feature_columns": f"SELECT CAST(i AS INTEGER) AS position, n AS name FROM (VALUES {', '.join(f'({i}, {n!r})' for i, n in enumerate(_FEATURES))}) t(i, n)",
+    "model_feature_columns": f"""WITH {WEEKLY}, k AS (SELECT ticker, count(*) AS c FROM bars GROUP BY 1)
+        SELECT CAST(i AS INTEGER) AS position, name, CAST(sum(greatest(c - back, 0)) AS BIGINT) AS n
+        FROM k, (VALUES {', '.join(f'({i}, {n!r}, {_BACK[n]})' for i, n in enumerate(_FEATURES))}) t(i, name, back) GROUP BY 1, 2""",
     "regime_feature_columns": "SELECT CAST(i AS INTEGER) AS position, n AS name FROM (VALUES (0, 'log_return'), (1, 'rolling_return_20'), (2, 'drawdown_from_252_high')) t(i, n)",
 }
