@@ -12,6 +12,7 @@ from tidemark.operators import learn as L
 from tidemark.operators import optimize as O
 from tidemark.operators import simulate as M
 from tidemark.operators import stats as S
+from tidemark.operators import walk_forward as W
 from tidemark.plans.sql import BLOCKS, LAGGED, OVER, WEEKLY, out, rolling
 from tidemark.plans.sql import rounded as sql
 from tidemark.sources.bars import table, weekly_bars
@@ -41,6 +42,26 @@ def walk_forward(spark, d):
     return L.scores(L.walk_forward(_rows(spark, d), FEATURES), ["ticker"])
 
 
+def folds(spark, d):
+    """Borders and rows of the folds of each ticker's bars, and of all bars together by date."""
+    bars = weekly_bars(spark, d)
+    return W.folds(bars).unionByName(W.folds(bars, together=True, step=40))
+
+
+def forward_models(spark, d):
+    """Scores of two classifiers over folds by date of all tickers."""
+    rows, parts = _rows(spark, d), []
+    for model in ("logistic", "random_forest"):
+        parts.append(W.walk_forward(rows, FEATURES, model, step=60, together=True).withColumn("model", F.lit(model)))
+    return L.scores(parts[0].unionByName(parts[1]), ["model", "fold"])
+
+
+def forward_regression(spark, d):
+    """Errors of a linear model of the next return over folds by date."""
+    found = W.walk_forward(_next_return(spark, d), FEATURES, "linear_regression", kind="regression", step=60, together=True)
+    return L.regression_scores(found, "y", "prediction")
+
+
 def _labelled(spark, d):
     """The label of quality against a score by length: long texts tend to be good."""
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
@@ -182,12 +203,20 @@ def simulation_densities(spark, d):
 _Y = "d AS (SELECT quality AS y, n_chars / (n_chars + 1500.0) AS p FROM documents JOIN labels USING (doc_id))"
 
 QUERIES = {
-    "model_split": chronological, "model_suite": suite, "model_walk_forward": walk_forward, "model_scores": scores, "model_thresholds": thresholds, "model_regression": regression, "model_importance": linear, "model_regression_suite": regression_suite,
+    "model_split": chronological, "model_suite": suite, "model_walk_forward": walk_forward, "model_folds": folds, "model_forward_models": forward_models, "model_forward_regression": forward_regression, "model_scores": scores, "model_thresholds": thresholds, "model_regression": regression, "model_importance": linear, "model_regression_suite": regression_suite,
     "regime_kmeans": kmeans, "regime_mixture": mixture, "regime_hidden_markov": hidden_markov, "regime_models": regime_models, "regime_viterbi": viterbi, "portfolio_weights": weights,
     "simulate_summary": simulation, "simulate_bands": simulation_bands, "simulate_densities": simulation_densities,
 }
 
 ORACLE_SQL = {
+    "model_folds": f"""WITH {WEEKLY}, a AS (SELECT ticker AS "group", date, 30 AS step FROM bars UNION ALL SELECT 'all', date, 40 FROM bars),
+        p AS (SELECT *, dense_rank() OVER (PARTITION BY "group" ORDER BY date) - 1 AS place FROM a),
+        n AS (SELECT "group", any_value(step) AS step, max(place) + 1 AS n, CAST(floor((max(place) + 1) * 0.6) AS BIGINT) AS start FROM p GROUP BY 1),
+        f AS (SELECT n.*, k AS fold, start + k * step AS cut FROM n, range(100) r(k) WHERE start + k * step < n)
+        SELECT f."group", CAST(fold AS INTEGER) AS fold, count(*) FILTER (place < cut) AS train_rows, count(*) FILTER (place >= cut) AS test_rows,
+          min(date) FILTER (place < cut) AS train_first, max(date) FILTER (place < cut) AS train_last,
+          min(date) FILTER (place >= cut) AS test_first, max(date) FILTER (place >= cut) AS test_last
+        FROM f JOIN p ON p."group" = f."group" AND place < cut + f.step GROUP BY 1, 2""",
     "regime_viterbi": _viterbi_sql(),
     "model_split": f"""WITH {WEEKLY}, k AS (SELECT *, row_number() {OVER} <= floor(count(*) OVER (PARTITION BY ticker) * (1 - 0.2::DOUBLE)) AS train FROM bars)
         SELECT ticker, train, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM k GROUP BY 1, 2""",
