@@ -167,6 +167,10 @@ def cited(answer: Column, n: Column | int) -> Column:
     return F.array_distinct(F.filter(found, lambda x: x.between(F.lit(1), n if isinstance(n, Column) else F.lit(n))))
 
 
+# Fixed value: the first line of an answer that is the evidence itself.
+NO_MODEL = "No language model is active, so here is the most relevant evidence retrieved for: “{}”"
+
+
 def plain_answers(chunks: DataFrame, key: str, query: str) -> DataFrame:
     """Per key the evidence itself as an answer: its chunks in order, 300 characters of each with its source, and the different sources in order."""
     text = F.trim(F.coalesce("text", F.lit("")))
@@ -174,7 +178,7 @@ def plain_answers(chunks: DataFrame, key: str, query: str) -> DataFrame:
     label = _label("source_file", "page_number")
     line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), snippet, F.lit("\n    — "), label)
     each = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("l"), label.alias("s")))).alias("x"))
-    first = F.lit(f"No language model is active, so here is the most relevant evidence retrieved for: “{query}”")
+    first = F.lit(NO_MODEL.format(query))
     return each.select(key, F.concat_ws("\n\n", F.array(first), F.col("x.l")).alias("answer"), F.array_distinct("x.s").alias("sources"))
 
 
