@@ -67,8 +67,10 @@ def metadata(spark, d):
 
 
 def candidates(spark, d):
-    """The first page of each url, and whether its extension is one of a document or none at all."""
-    first = T.first_of(table(spark, d, "pages").select("page_id", "url"), "url", "page_id")
+    """The first page of each url (half of them with an ending), and whether its extension is one of a document or none at all."""
+    k = F.col("page_id")
+    ending = F.when(k % 4 == 0, ".zip").when(k % 4 == 1, "/x.PDF?y=1").otherwise("")
+    first = T.first_of(table(spark, d, "pages").select("page_id", F.concat("url", ending).alias("url")), "url", "page_id")
     ext = F.regexp_extract(F.lower("url"), r"\.([a-z0-9]{2,5})(?:\?.*)?$", 1)
     return first.select("page_id", "url", (F.regexp_extract(F.lower("url"), r"^https?://[^/]+(/.*)?$", 1).rlike(r"\.(pdf|html|htm|txt|docx|csv)(\?.*)?$") | ~F.regexp_extract(F.lower("url"), r"^https?://[^/]+(/.*)?$", 1).rlike(r"\.[a-z0-9]{2,5}(\?.*)?$")).alias("allowed"), F.sha2(ext.cast("binary"), 256).alias("kind"))
 
@@ -124,7 +126,8 @@ ORACLE_SQL = {
         CASE WHEN n LIKE '%annual%' AND n LIKE '%report%' THEN 'annual_report' WHEN n LIKE '%quarterly%' OR n LIKE '%result%' OR (n LIKE '%earnings%' AND n NOT LIKE '%transcript%') THEN 'quarterly_result'
         WHEN n LIKE '%presentation%' OR n LIKE '%deck%' THEN 'investor_presentation' WHEN n LIKE '%transcript%' OR n LIKE '%call%' THEN 'earnings_transcript' WHEN n LIKE '%news%' OR n LIKE '%article%' THEN 'news_article'
         WHEN n LIKE '%broker%' OR n LIKE '%initiation%' THEN 'brokerage_report' WHEN n LIKE '%sector%' OR n LIKE '%industry%' THEN 'sector_report' ELSE 'unknown' END AS document_type FROM f""",
-    "text_candidates": f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM pages)
+    "text_candidates": f"""WITH g AS (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '.zip' WHEN 1 THEN '/x.PDF?y=1' ELSE '' END AS url FROM pages),
+        f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM g)
         SELECT page_id, url, regexp_matches({_PATH}, '\\.(pdf|html|htm|txt|docx|csv)(\\?.*)?$') OR NOT regexp_matches({_PATH}, '\\.[a-z0-9]{{2,5}}(\\?.*)?$') AS allowed,
         sha256(regexp_extract(lower(url), '\\.([a-z0-9]{{2,5}})(?:\\?.*)?$', 1)) AS kind FROM f WHERE rn = 1""",
 }
