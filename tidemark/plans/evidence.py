@@ -62,9 +62,13 @@ def trade(spark, d):
 
 
 def status(spark, d):
-    """Customers as products of their nation, there if they owe nothing; four are expected of each."""
-    c = table(spark, d, "customer").select("c_nationkey", (F.col("c_acctbal") >= 0).alias("ok"), F.lit(4).cast("long").alias("expected"))
-    return E.rollup(c, "c_nationkey")
+    """Orders as products of their customer and year, there if they are filled; one to three are expected, by customer."""
+    o = table(spark, d, "orders")
+    rows = o.select(
+        F.concat_ws("-", "o_custkey", F.year("o_orderdate")).alias("of"), (F.col("o_orderstatus") == "F").alias("ok"),
+        (1 + F.col("o_custkey") % 3).cast("long").alias("expected"),
+    )
+    return E.rollup(rows, "of")
 
 
 def _series(spark, d):
@@ -167,7 +171,8 @@ ORACLE_SQL = {
         CASE WHEN p_partkey % 2 = 0 THEN 'AAPL,' || upper(p_brand) ELSE '' END AS related FROM part WHERE p_partkey % 2 = 1 OR p_partkey % 5 > 0""",
     "records_ticker_map": "SELECT upper(n_name) AS ticker, lpad(CAST(n_nationkey AS VARCHAR), 10, '0') AS cik, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM nation",
     "records_trade": "SELECT CAST(year(o_orderdate) AS INTEGER) AS period, o_orderpriority AS flow, count(*) AS record_count, round(sum(o_totalprice) FILTER (o_orderkey % 5 <> 0), 2) AS primary_value FROM orders GROUP BY 1, 2",
-    "evidence_status": """WITH g AS (SELECT c_nationkey, count(*) FILTER (c_acctbal >= 0) AS there, 4::BIGINT AS expected FROM customer GROUP BY 1)
+    "evidence_status": """WITH g AS (SELECT o_custkey || '-' || year(o_orderdate) AS "of", count(*) FILTER (o_orderstatus = 'F') AS there,
+          CAST(any_value(1 + o_custkey % 3) AS BIGINT) AS expected FROM orders GROUP BY 1)
         SELECT *, CASE WHEN there >= expected THEN 'AVAILABLE' WHEN there > 0 THEN 'PARTIAL' ELSE 'UNAVAILABLE' END AS status FROM g""",
     "evidence_pulse": _confidence(0.6, 0.2, 0.2, False),
     "evidence_overview": _confidence(0.5, 0.25, 0.25, True),
