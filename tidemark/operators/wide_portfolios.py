@@ -130,6 +130,8 @@ def least(times: Times, a: np.ndarray, total: float, most: float, *, exact: floa
             beyond = (w + step < 0) | (w + step > most)
             if beyond.any():
                 break  # a bound is met: what is free changes
+        if np.abs(step).max() <= exact * np.abs(w).max():
+            break
         # the longest part of the step, onto the bounds, that lowers the variance
         value, share = w @ g, 1.0
         for _ in range(40):
@@ -171,7 +173,7 @@ def risk_parity(times: Times, diagonal: np.ndarray, *, rounds: int = 60) -> np.n
         z = scale * r
         d, rz = z.copy(), r @ z
         first = rz
-        for _ in range(200):
+        for _ in range(min(200, 2 * n)):
             if rz <= 1e-16 * first or rz <= 1e-300:
                 break
             q = times(d)

@@ -73,3 +73,5 @@ ORACLE_SQL = {
     "text_chunks": f"""{_CHUNKS}, k AS (SELECT c.doc_id, idx, begin_, regexp_replace(substring(t, begin_ + 1, end_ - begin_), '^\\s+|\\s+$', '', 'g') AS chunk FROM c JOIN n ON n.doc_id = c.doc_id WHERE idx >= 0)
         SELECT doc_id, CAST(idx AS INTEGER) AS chunk_index, CAST(begin_ AS INTEGER) AS start, md5(chunk) AS digest FROM k WHERE chunk <> ''""",
 }
+
+ORACLE_SQL["portfolio_weights_in_blocks"] = ORACLE_SQL["portfolio_weights"]

@@ -13,6 +13,7 @@ from tidemark.operators import optimize as O
 from tidemark.operators import simulate as M
 from tidemark.operators import stats as S
 from tidemark.operators import walk_forward as W
+from tidemark.operators import wide_portfolios as B
 from tidemark.plans.sql import BLOCKS, LAGGED, OVER, WEEKLY, out, rolling
 from tidemark.plans.sql import rounded as sql
 from tidemark.sources.bars import table, weekly_bars
@@ -174,6 +175,13 @@ def weights(spark, d):
     return out(O.compared(spark, means, S.covariances(bars)))
 
 
+def weights_in_blocks(spark, d):
+    """As weights, by products with a matrix that stays in Spark."""
+    bars = weekly_bars(spark, d)
+    means = S.with_returns(bars).groupBy("ticker").agg((F.avg("r") * 252).alias("mu"))
+    return out(B.compared(means, S.covariances(bars), side=2))
+
+
 def market_of(spark, d):
     """(start, mu, sigma) of all bars: the mean close, and mean and deviation of weekly returns, of a year."""
     rows = X.returns(weekly_bars(spark, d))
@@ -204,7 +212,7 @@ _Y = "d AS (SELECT quality AS y, n_chars / (n_chars + 1500.0) AS p FROM document
 
 QUERIES = {
     "model_split": chronological, "model_suite": suite, "model_walk_forward": walk_forward, "model_folds": folds, "model_forward_models": forward_models, "model_forward_regression": forward_regression, "model_scores": scores, "model_thresholds": thresholds, "model_regression": regression, "model_importance": linear, "model_regression_suite": regression_suite,
-    "regime_kmeans": kmeans, "regime_mixture": mixture, "regime_hidden_markov": hidden_markov, "regime_models": regime_models, "regime_viterbi": viterbi, "portfolio_weights": weights,
+    "regime_kmeans": kmeans, "regime_mixture": mixture, "regime_hidden_markov": hidden_markov, "regime_models": regime_models, "regime_viterbi": viterbi, "portfolio_weights": weights, "portfolio_weights_in_blocks": weights_in_blocks,
     "simulate_summary": simulation, "simulate_bands": simulation_bands, "simulate_densities": simulation_densities,
 }
 
