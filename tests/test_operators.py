@@ -150,3 +150,24 @@ def test_macd_conditions(spark):
         got = out.filter(F.col("ticker") == ticker)
         assert column(got, "c0") == (macd > signal).tolist() and column(got, "c2") == (macd < signal).tolist()
         assert any(column(got, "c0")) and any(column(got, "c2"))
+
+
+def test_implied_volatilities_are_found_in_batches_and_by_many_tasks(spark, tmp_path):
+    from tidemark.plans import market
+
+    a = [F.col(c) for c in ("s", "k", "t", "r", "v", "q")]
+    rows = spark.range(3000).select(F.lit(100.0).alias("s"), (80.0 + F.col("id") % 40).alias("k"), F.lit(0.5).alias("t"), F.lit(0.03).alias("r"), (0.1 + F.col("id") / 5000).alias("v"), F.lit(0.01).alias("q"), (F.col("id") % 2 == 0).alias("call"))
+    found = rows.withColumn("iv", pricing.implied_volatility(pricing.price(*a, F.col("call")), a[0], a[1], a[2], 0.03, a[5], F.col("call")))
+    assert found.filter("abs(iv - v) > 1e-6").count() == 0
+    assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+    missing = rows.withColumn("v", F.lit(None).cast("double")).withColumn("iv", pricing.implied_volatility(F.col("v"), a[0], a[1], a[2], 0.03, a[5], F.col("call")))
+    assert missing.filter("iv is not null").count() == 0
+    # parts in one file
+    spark.range(20_000).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand"), (900.0 + F.col("id") % 1000).alias("p_retailprice"), F.lit(5).alias("p_size")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        quotes = market._quotes(spark, str(tmp_path))
+        assert sum(quotes.select("v").rdd.mapPartitions(lambda rows: [any(True for _ in rows)]).collect()) == 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)

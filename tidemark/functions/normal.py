@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +28,17 @@ def cumulative(x: Column) -> Column:
     return F.when(x >= 0, (1 + erf) / 2).otherwise((1 - erf) / 2)
 
 
+def cumulative_of(x: np.ndarray) -> np.ndarray:
+    """The same polynomial of an array."""
+    z = np.abs(x) / math.sqrt(2)
+    t = 1 / (1 + P * z)
+    poly = np.zeros_like(t)
+    for a in reversed(A):
+        poly = (poly + a) * t
+    erf = 1 - poly * np.exp(-z * z)
+    return np.where(x >= 0, (1 + erf) / 2, (1 - erf) / 2)
+
+
 def cumulative_sql(x: str) -> str:
     """The same polynomial as SQL text."""
     z = f"(abs({x}) / sqrt(2.0))"

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.normal import cumulative, density
+from tidemark.functions.normal import cumulative, cumulative_of, density
 
 TREE_ROWS = 1000  # trees that are priced together
 
@@ -40,12 +40,32 @@ def greeks(s: Column, k: Column, t: Column, r, v: Column, q, call: Column) -> di
 
 
 def implied_volatility(target: Column, s: Column, k: Column, t: Column, r, q, call: Column, low: float = 1e-4, high: float = 5.0, steps: int = 50) -> Column:
-    """The volatility at which the price meets the target, by halving [low, high]; null where the target lies outside."""
-    at = lambda v: price(s, k, t, r, v, q, call)
-    middle = lambda b: (b["low"] + b["high"]) / 2
-    halve = lambda b, _: F.when(at(middle(b)) < target, F.struct(middle(b).alias("low"), b["high"].alias("high"))).otherwise(F.struct(b["low"].alias("low"), middle(b).alias("high")))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")), halve)
-    return F.when((at(F.lit(low)) <= target) & (at(F.lit(high)) >= target), middle(end))
+    """The volatility at which the price meets the target, by halving [low, high]; null where the target lies outside. All rows of an
+    Arrow batch are halved together."""
+
+    @F.pandas_udf("double")
+    def halved(target, s, k, t, r, q, sign):
+        import pandas as pd
+
+        target, s, k, t, r, q, sign = (x.to_numpy(float) for x in (target, s, k, t, r, q, sign))
+        m, root = np.log(s / k), np.sqrt(t)
+        spot, strike, drift = s * np.exp(-q * t), k * np.exp(-r * t), r - q
+
+        def at(v):
+            d1 = (m + (drift + v * v / 2) * t) / (v * root)
+            return sign * (spot * cumulative_of(sign * d1) - strike * cumulative_of(sign * (d1 - v * root)))
+
+        with np.errstate(all="ignore"):
+            a, b = np.full(len(s), low), np.full(len(s), high)
+            inside = (at(a) <= target) & (at(b) >= target)
+            for _ in range(steps):
+                middle = (a + b) / 2
+                below = at(middle) < target
+                a, b = np.where(below, middle, a), np.where(below, b, middle)
+        return pd.Series(np.where(inside, (a + b) / 2, np.nan))
+
+    number = lambda c: (c if isinstance(c, Column) else F.lit(c)).cast("double")
+    return halved(*map(number, (target, s, k, t, r, q)), F.when(call, 1.0).otherwise(-1.0))
 
 
 def tree_prices(quotes: DataFrame, steps: int = 200, american: bool = False) -> DataFrame:
