@@ -98,3 +98,19 @@ def run_starts(c: Column | str, w) -> Column:
 
 def rounded(c: Column | str, digits: int = 6) -> Column:
     return F.round(col(c), digits)
+
+
+def one_decimal(x: Column) -> Column:
+    """The text of x with one decimal, as C's %.1f rounds: by the exact value of the double, ties to even. (Java's format rounds the shortest
+    digits up: 6.25 to 6.3, and 0.35, which is below it as a double, to 0.4.)"""
+    size = F.abs(x)
+    low = F.floor(size * 10)
+    # the product is rounded: what lies a hair below a whole number may have reached it
+    low = F.when(low / 10.0 > size, low - 1).otherwise(low)
+    odd = (2 * low + 1).cast("double")
+    middle = odd / 20.0
+    # what the division lost, exactly: both differences are free of rounding
+    beyond = (odd - 16.0 * middle) - 4.0 * middle
+    down = (size < middle) | ((size == middle) & ((beyond > 0) | ((beyond == 0) & (low % 2 == 0))))
+    tenths = F.when(down, low).otherwise(low + 1)
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.draws import normal_draw
-from tidemark.functions.windows import by_date, ratio, rolling, rolling2
+from tidemark.functions.windows import by_date, one_decimal, ratio, rolling, rolling2
 from tidemark.operators.research import confidence, signal
 
 # Ratios of reported figures.
@@ -22,12 +22,12 @@ RATIOS = (
 # How a signal is explained, with and without an edge.
 SUPPRESSED = (
     "The model's out-of-sample validation edge is weak (ROC-AUC < 0.55 or Edge < 2%%). Although the raw probability "
-    "suggests a %s move (%.1f%%), the signal is suppressed. This indicates the model cannot reliably separate noise "
+    "suggests a %s move (%s%%), the signal is suppressed. This indicates the model cannot reliably separate noise "
     "from signal."
 )
 EXPLAINED = (
     "The model output places this asset in the %s zone. Validation quality is %s. Probability of an upward move is "
-    "%.1f%%. Research confidence is rated as %s based on institutional confidence bands."
+    "%s%%. Research confidence is rated as %s based on institutional confidence bands."
 )
 # Fixed value: worth of a book before the day's result.
 NAV_BASE = 10_000_000.0
@@ -41,8 +41,8 @@ def institutional(rows: DataFrame) -> DataFrame:
     p, weak = F.col("p"), F.col("quality") == "Weak"
     base = F.when(p >= 0.57, "Bullish").when(p <= 0.43, "Bearish").otherwise("Neutral")
     rows = rows.withColumns({"signal": signal(p, F.col("quality")), "confidence": confidence(p), "allowed": ~weak, "used": F.when(p >= 0.57, p).when(p <= 0.43, 1 - p).otherwise(F.greatest(p, 1 - p))})
-    no = F.format_string(SUPPRESSED, base, p * 100)
-    yes = F.format_string(EXPLAINED, "signal", "quality", p * 100, "confidence")
+    no = F.format_string(SUPPRESSED, base, one_decimal(p * 100))
+    yes = F.format_string(EXPLAINED, "signal", "quality", one_decimal(p * 100), "confidence")
     return rows.withColumns({"strength": F.when(weak, "Low").otherwise(F.col("confidence")), "explanation": F.when(weak, no).otherwise(yes)})
 
 
