@@ -1,9 +1,10 @@
 """Decimals and sums that come out as the exact arithmetic of doubles says."""
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import one_decimal
+from tidemark.functions.windows import one_decimal, rounded_product
 from tidemark.operators import desk, text
 
 
@@ -30,3 +31,9 @@ def test_overall_sentiment_adds_in_order(spark):
         for shuffled in (rows, rows[::-1], [rows[1], rows[2], rows[0]]):
             df = spark.createDataFrame(shuffled, "g long, k long, score double, label string").repartition(3)
             assert text.overall_sentiment(df, "g", "k").first().score == want
+
+
+def test_rounded_product_rounds_as_duckdb(spark):
+    x = [0.0645625, 0.1949375, -0.0645625, 0.5, 2.5e-7, 5e-7, None]
+    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i long, v double").orderBy("i").select(rounded_product("v")).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in x]

@@ -100,6 +100,12 @@ def rounded(c: Column | str, digits: int = 6) -> Column:
     return F.round(col(c), digits)
 
 
+def rounded_product(c: Column | str, digits: int = 6) -> Column:
+    """Rounded as SQL engines round doubles: the nearest whole number to the product with a power of ten. F.round takes the shortest
+    digits instead, which gives another last digit where the product falls just short of a half."""
+    return F.round(col(c) * 10.0**digits) / 10.0**digits
+
+
 def one_decimal(x: Column) -> Column:
     """The text of x with one decimal, as C's %.1f rounds: by the exact value of the double, ties to even. (Java's format rounds the shortest
     digits up: 6.25 to 6.3, and 0.35, which is below it as a double, to 0.4.)"""

@@ -28,9 +28,19 @@ def sentiment(df: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumns({"score": F.bround(exact, 3), "label": F.when(exact > 0.15, "positive").when(exact < -0.15, "negative").otherwise("neutral")})
 
 
-def overall_sentiment(scored: DataFrame, by: str) -> DataFrame:
-    """Mean score of each group, how many of each label, and the group's own label (beyond 0.1)."""
-    out = scored.groupBy(by).agg(F.avg("score").alias("score"), *[F.count_if(F.col("label") == x).alias(x) for x in ("positive", "neutral", "negative")], F.count(F.lit(1)).alias("n"))
+def overall_sentiment(scored: DataFrame, by: str, order: str | None = None) -> DataFrame:
+    """Mean score of each group, how many of each label, and the group's own label (beyond 0.1).
+
+    With `order`, scores are added in its order: sums of doubles depend on it, and where a mean lies on a bound or between two
+    decimals, so does the result.
+    """
+    if order:
+        so_far = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        scored = scored.withColumn("_sum", F.sum("score").over(so_far))
+        mean = F.max_by("_sum", order) / F.count("score")
+    else:
+        mean = F.avg("score")
+    out = scored.groupBy(by).agg(mean.alias("score"), *[F.count_if(F.col("label") == x).alias(x) for x in ("positive", "neutral", "negative")], F.count(F.lit(1)).alias("n"))
     return out.withColumn("label", F.when(F.col("score") > 0.1, "Bullish").when(F.col("score") < -0.1, "Bearish").otherwise("Neutral"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import lexicon as L
-from tidemark.functions.windows import rounded
+from tidemark.functions.windows import rounded, rounded_product
 from tidemark.operators import text as T
 from tidemark.sources.bars import table
 from tidemark.sources.news import NEWS, headlines
@@ -20,7 +20,7 @@ def sentiment(spark, d):
 
 
 def overall(spark, d):
-    return T.overall_sentiment(T.sentiment(headlines(spark, d).select("customer", "text")), "customer").withColumn("score", rounded("score"))
+    return T.overall_sentiment(T.sentiment(headlines(spark, d).select("news_id", "customer", "text")), "customer", "news_id").withColumn("score", rounded_product("score"))
 
 
 def impact(spark, d):
