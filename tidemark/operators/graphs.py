@@ -23,6 +23,7 @@ EDGES = (
 )
 MOST_NODES = 24
 PAYLOAD = "nodes array<struct<id:string,label:string,category:string,ticker:string,note:string>>, edges array<struct<source:string,target:string,relation:string,rationale:string,confidence:string>>"
+_EDGE = "array<struct<source:string,target:string,relation:string,rationale:string,confidence:string>>"
 _NODE = "array<struct<id:string,label:string,category:string,ticker:string,note:string>>"
 
 
@@ -61,34 +62,55 @@ def node_rows(graphs: DataFrame) -> DataFrame:
 
 
 def edges(graphs: DataFrame) -> DataFrame:
-    """(company, source, target, relation, rationale, confidence, position) of graphs from nodes(): ends must be nodes, confidence is kept
+    """(company, position, source, target, relation, rationale, confidence) of graphs from nodes(): ends must be nodes, confidence is kept
     within 0..1 (0.5 if it is no number), edges with the company take the direction and name of the other end's kind, the
-    first edge between two ends counts, and nodes without any get one."""
-    at = node_rows(graphs).select("company", F.col("id").alias("_id"), F.col("category").alias("_kind"))
-    raw = graphs.select("company", "company_id", F.posexplode("raw_edges").alias("position", "e"))
-    raw = raw.select("company", "company_id", "position", slug(F.coalesce("e.source", F.lit(""))).alias("s"), slug(F.coalesce("e.target", F.lit(""))).alias("t"), "e.relation", "e.rationale", F.col("e.confidence").try_cast("double").alias("c"))
-    raw = raw.filter("s <> t")
-    ends = lambda c, kind: at.select("company", F.col("_id").alias(c), F.col("_kind").alias(kind))
-    both = raw.join(ends("s", "s_kind"), ["company", "s"]).join(ends("t", "t_kind"), ["company", "t"])
-    other = F.when(F.col("s") == F.col("company_id"), F.col("t")).when(F.col("t") == F.col("company_id"), F.col("s"))
-    kind = F.when(F.col("s") == F.col("company_id"), F.col("t_kind")).when(F.col("t") == F.col("company_id"), F.col("s_kind"))
-    rule = lambda k: F.try_element_at(F.create_map(*[x for c, d, r in EDGES for x in (F.lit(c), F.struct(F.lit(d).alias("way"), F.lit(r).alias("name")))]), k)
-    both = both.withColumns({"_other": other, "_rule": rule(F.coalesce(kind, F.lit("")))})
-    inward, ruled = F.col("_rule.way") == "in", F.col("_rule").isNotNull()
-    fixed = both.select(
-        "company", "position", F.when(ruled, F.when(inward, F.col("_other")).otherwise(F.col("company_id"))).otherwise(F.col("s")).alias("source"),
-        F.when(ruled, F.when(inward, F.col("company_id")).otherwise(F.col("_other"))).otherwise(F.col("t")).alias("target"),
-        F.coalesce("_rule.name", F.substring(F.coalesce(F.nullif(F.col("relation"), F.lit("")), F.lit("related_to")), 1, 40)).alias("relation"),
-        F.substring(F.coalesce("rationale", F.lit("")), 1, 160).alias("rationale"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("c", F.lit(0.5)))).alias("confidence"),
-    )
-    first = F.row_number().over(Window.partitionBy("company", "source", "target").orderBy("position"))
-    fixed = fixed.withColumn("_n", first).filter("_n = 1").drop("_n")
-    joined = fixed.select("company", F.explode(F.array("source", "target")).alias("id")).distinct()
-    alone = node_rows(graphs).filter("id <> company_id").join(joined, ["company", "id"], "left_anti").withColumn("_rule", rule(F.col("category"))).filter("_rule is not null")
-    inward = F.col("_rule.way") == "in"
-    added = alone.select("company", (F.col("position") + 1_000_000).alias("position"), F.when(inward, F.col("id")).otherwise(F.col("company_id")).alias("source"), F.when(inward, F.col("company_id")).otherwise(F.col("id")).alias("target"),
-                         F.col("_rule.name").alias("relation"), F.lit("").alias("rationale"), F.lit(0.5).alias("confidence"))
-    return fixed.unionByName(added)
+    first edge between two ends counts, and nodes without any get one.
+
+    All that an edge depends on lies in its company's row, so nothing is joined and no graph is made twice.
+    """
+    own = F.col("company_id")
+    rules = F.create_map(*[x for c, d, r in EDGES for x in (F.lit(c), F.struct(F.lit(d).alias("way"), F.lit(r).alias("name")))])
+    rule = lambda k: F.try_element_at(rules, F.coalesce(k, F.lit("")))
+    kind_of = lambda x: F.get(F.filter("graph_nodes", lambda n: n["id"] == x), 0)["category"]
+
+    def given(e: Column, i: Column) -> Column:
+        s, t = slug(F.coalesce(e["source"], F.lit(""))), slug(F.coalesce(e["target"], F.lit("")))
+        return F.struct(i.alias("position"), s.alias("s"), t.alias("t"), e["relation"].alias("relation"), e["rationale"].alias("rationale"), e["confidence"].try_cast("double").alias("c"))
+
+    def ended(e: Column) -> Column:
+        return F.struct(e.alias("e"), kind_of(e["s"]).alias("s_kind"), kind_of(e["t"]).alias("t_kind"))
+
+    def ruled(x: Column) -> Column:
+        e = x["e"]
+        kind = F.when(e["s"] == own, x["t_kind"]).when(e["t"] == own, x["s_kind"])
+        return F.struct(e.alias("e"), F.when(e["s"] == own, e["t"]).when(e["t"] == own, e["s"]).alias("other"), rule(kind).alias("rule"))
+
+    def fixed(x: Column) -> Column:
+        e, r, inward = x["e"], x["rule"], x["rule"]["way"] == "in"
+        return F.struct(
+            e["position"].alias("position"), F.when(r.isNull(), e["s"]).when(inward, x["other"]).otherwise(own).alias("source"),
+            F.when(r.isNull(), e["t"]).when(inward, own).otherwise(x["other"]).alias("target"),
+            F.coalesce(r["name"], F.substring(F.coalesce(F.nullif(e["relation"], F.lit("")), F.lit("related_to")), 1, 40)).alias("relation"),
+            F.substring(F.coalesce(e["rationale"], F.lit("")), 1, 160).alias("rationale"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(e["c"], F.lit(0.5)))).alias("confidence"),
+        )
+
+    def added(n: Column, i: Column) -> Column:
+        return F.struct(n["id"].alias("id"), (i + 1_000_000).alias("position"), rule(n["category"]).alias("rule"))
+
+    def alone(x: Column) -> Column:
+        inward = x["rule"]["way"] == "in"
+        return F.struct(
+            x["position"].alias("position"), F.when(inward, x["id"]).otherwise(own).alias("source"), F.when(inward, own).otherwise(x["id"]).alias("target"),
+            x["rule"]["name"].alias("relation"), F.lit("").alias("rationale"), F.lit(0.5).alias("confidence"),
+        )
+
+    raw = F.filter(F.transform(F.coalesce("raw_edges", F.array().cast(_EDGE)), given), lambda e: e["s"] != e["t"])
+    met = F.filter(F.transform(raw, ended), lambda x: x["s_kind"].isNotNull() & x["t_kind"].isNotNull())
+    rows = graphs.withColumn("_fixed", F.transform(F.transform(met, ruled), fixed))
+    rows = rows.withColumn("_ends", F.transform("_fixed", lambda e: F.struct(e["source"], e["target"])))
+    rows = rows.withColumn("_first", F.filter("_fixed", lambda e, i: F.array_position("_ends", F.get("_ends", i)) == i + 1))
+    idle = F.filter(F.transform("graph_nodes", added), lambda x: (x["id"] != own) & x["rule"].isNotNull() & ~F.exists("_first", lambda e: (e["source"] == x["id"]) | (e["target"] == x["id"])))
+    return rows.select("company", F.inline(F.concat("_first", F.transform(idle, alone))))
 
 
 def with_metrics(node_table: DataFrame, metrics: DataFrame) -> DataFrame:
