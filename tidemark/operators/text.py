@@ -10,6 +10,7 @@ from tidemark.functions import lexicon as L
 from tidemark.functions.windows import ratio
 
 BM25_K1, BM25_B = 1.5, 0.75
+SLICE = 4 << 20  # characters of chunks that leave a task together
 
 
 def _one_of(words) -> Column:
@@ -111,22 +112,35 @@ def _cuts(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     return out
 
 
-def chunks(df: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 800, overlap: int = 150) -> DataFrame:
-    """(key, chunk_index, start, chunk): overlapping pieces that end after a sentence or line where one ends in their second half.
+def chunks(df: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 800, overlap: int = 150, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, chunk_index, start, chunk, and texts to keep with them): overlapping pieces that end after a sentence or line where one ends in
+    their second half.
 
-    Null texts have none. Each batch is cut by itself, so nothing is shuffled.
+    Null texts have none. Each batch is cut by itself, so nothing is shuffled; pieces leave the task in slices of SLICE characters,
+    however long a batch's texts are.
     """
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), *[pa.string() for _ in keep])
+    names = ["key", "chunk_index", "start", "chunk", *[f"_keep{i}" for i in range(len(keep))]]
 
     def run(batches):
+        slice_ = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
         for batch in batches:
-            out = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out, held = [], 0
+            # a row at a time: the batch isn't copied into Python as a whole
+            for row in range(batch.num_rows):
+                k, t, *kept = (c[row].as_py() for c in batch.columns)
                 for i, (a, b) in enumerate(_cuts(t or "", size, overlap)):
-                    out.append((k, i, a, t[a:b].strip()))
+                    out.append((k, i, a, t[a:b].strip(), *kept))
+                    held += b - a
+                    if held >= SLICE:
+                        yield slice_(out)
+                        out, held = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["key", "chunk_index", "start", "chunk"])
+                yield slice_(out)
 
-    return df.select(F.col(key).cast("long"), tidy(F.col(text))).mapInArrow(run, "key long, chunk_index int, start int, chunk string").withColumnRenamed("key", key).filter("chunk <> ''")
+    schema = "key long, chunk_index int, start int, chunk string" + "".join(f", _keep{i} string" for i in range(len(keep)))
+    cut = df.select(F.col(key).cast("long"), tidy(F.col(text)), *[F.col(c).cast("string") for c in keep]).mapInArrow(run, schema)
+    return cut.withColumnsRenamed({"key": key, **{f"_keep{i}": c for i, c in enumerate(keep)}}).filter("chunk <> ''")
 
 
 def bm25(df: DataFrame, query: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql.utils import AnalysisException
 from tidemark.operators.text import bm25, chunks, document_metadata, dot, hybrid
 
 DIMENSIONS = 64  # of the embedding that needs no model
+WORDS = 100_000  # whose places are kept at once
 UNKNOWN = ("", "unknown", "none")
 
 CHUNKS = "chunk_id string, doc_id long, chunk_index int, source_file string, text string, unit array<double>, version string, ticker string"
@@ -30,14 +31,17 @@ MANIFEST = "ticker string, version string, chunks long, number long"
 
 def _hashed(texts: pa.Array) -> pa.Array:
     places: dict[str, int] = {}
-    rows = []
-    for text in texts.to_pylist():
-        words = re.findall(r"[a-z0-9_]+", (text or "").lower(), re.ASCII)
+    # one block of numbers, a row for each text
+    rows = np.zeros((len(texts), DIMENSIONS))
+    for i, text in enumerate(texts):
+        words = re.findall(r"[a-z0-9_]+", (text.as_py() or "").lower(), re.ASCII)
         for w in words:
             if w not in places:
+                if len(places) >= WORDS:
+                    places.clear()
                 places[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % DIMENSIONS
-        rows.append(np.bincount([places[w] for w in words], minlength=DIMENSIONS).astype(float))
-    return pa.array(rows, pa.list_(pa.float64()))
+            rows[i, places[w]] += 1
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, DIMENSIONS, dtype=np.int32)), pa.array(rows.ravel()))
 
 
 def hashed(text: Column) -> Column:
@@ -46,9 +50,10 @@ def hashed(text: Column) -> Column:
 
 
 def unit(vector: Column) -> Column:
-    """At length 1; as it is if its length is 0."""
-    length = F.sqrt(dot(vector, vector))
-    return F.when(length > 0, F.transform(vector, lambda x: x / length)).otherwise(vector)
+    """At length 1; as it is if its length is 0. The length is bound once: within the inner function it would be summed again for
+    each component."""
+    at = lambda n: F.when(n > 0, F.transform(vector, lambda x: x / n)).otherwise(vector)
+    return F.get(F.transform(F.array(F.sqrt(dot(vector, vector))), at), 0)
 
 
 def chunked(
@@ -64,9 +69,7 @@ def chunked(
     tag = F.coalesce(known, F.lit("Unknown")) if ticker is None else F.lit(ticker) if overwrite else F.coalesce(known, F.lit(ticker))
     # the row goes with its text through the cut, so that documents are joined with nothing
     tagged = docs.select("doc_id", "source_file", tag.alias("ticker"), "text")
-    pieces = chunks(tagged.select("doc_id", "text"), size=size, overlap=overlap)
-    names = tagged.select("doc_id", "source_file", "ticker")
-    rows = pieces.join(names, "doc_id").withColumn("chunk_id", F.concat_ws("_", "doc_id", "chunk_index"))
+    rows = chunks(tagged, size=size, overlap=overlap, keep=("source_file", "ticker")).withColumn("chunk_id", F.concat_ws("_", "doc_id", "chunk_index"))
     rows = rows.select("chunk_id", "doc_id", "chunk_index", "source_file", F.col("chunk").alias("text"), embed(F.col("chunk")).alias("_vector"), "ticker")
     return rows.withColumn("unit", unit(F.col("_vector"))).drop("_vector")
 
