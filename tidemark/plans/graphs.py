@@ -24,22 +24,15 @@ SHOCK, HORIZON, DRAWS = -0.2, 10, 2000
 
 def _graphs(spark, d):
     """Orders as companies; their lines are nodes and edges of a payload, with repeated ids and labels and wrong ends."""
+    k, line, s = F.col("l_partkey"), F.col("l_linenumber"), F.col("l_suppkey")
     one_of = lambda words, n: F.get(F.array(*map(F.lit, words)), (n % len(words)).cast("int"))
-
-    def node(x):
-        k, line, s = x["l_partkey"], x["l_linenumber"], x["l_suppkey"]
-        label = F.when(k % 10 > 0, F.concat(F.lit("Part "), s % 4, F.when(line % 2 == 1, " Ltd").otherwise("."))).otherwise("Apple")
-        return F.struct(F.concat(F.lit("N "), k % 6).alias("id"), label.alias("label"), one_of(KINDS, k).alias("category"), F.when(k % 8 == 0, "XYZ").otherwise("").alias("ticker"), F.lit("seen").alias("note"))
-
-    def edge(x):
-        k, line, s = x["l_partkey"], x["l_linenumber"], x["l_suppkey"]
-        own, other = F.concat(F.lit("o"), "l_orderkey"), F.concat(F.lit("n_"), k % 6)
-        target = F.when(line % 3 == 0, other).when(line % 3 == 1, own).otherwise(F.concat(F.lit("n_"), s % 6))
-        return F.struct(F.when(line % 3 == 0, own).otherwise(other).alias("source"), target.alias("target"), F.lit("linked").alias("relation"), F.lit("").alias("rationale"), one_of(CONFIDENCE, k).alias("confidence"))
-
-    # numbers alone are shuffled; texts are made of them afterwards
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x"))
-    payload = F.to_json(F.struct(F.transform("x", node).alias("nodes"), F.transform("x", edge).alias("edges")))
+    node = F.struct(F.concat(F.lit("N "), k % 6).alias("id"), F.when(k % 10 > 0, F.concat(F.lit("Part "), s % 4, F.when(line % 2 == 1, " Ltd").otherwise("."))).otherwise("Apple").alias("label"), one_of(KINDS, k).alias("category"),
+                    F.when(k % 8 == 0, "XYZ").otherwise("").alias("ticker"), F.lit("seen").alias("note"))
+    own, other = F.concat(F.lit("o"), "l_orderkey"), F.concat(F.lit("n_"), k % 6)
+    edge = F.struct(F.when(line % 3 == 0, own).otherwise(other).alias("source"), F.when(line % 3 == 0, other).when(line % 3 == 1, own).otherwise(F.concat(F.lit("n_"), s % 6)).alias("target"), F.lit("linked").alias("relation"), F.lit("").alias("rationale"),
+                    one_of(CONFIDENCE, k).alias("confidence"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", node.alias("n"), edge.alias("e")))).alias("x"))
+    payload = F.to_json(F.struct(F.col("x.n").alias("nodes"), F.col("x.e").alias("edges")))
     return G.nodes(lines.select(F.col("l_orderkey").alias("company"), F.concat(F.lit("Order "), "l_orderkey", F.lit(" Inc")).alias("name"), F.concat(F.lit("O"), "l_orderkey").alias("ticker"), payload.alias("payload")))
 
 
