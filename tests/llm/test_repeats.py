@@ -6,9 +6,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm.induced_sorting import Disk, induced_sort, sort_in_memory
-from tidemark.llm.repeats import remove_repeats
+from tidemark.llm.repeats import _narrow, remove_repeats, repeated_starts
 
 
 def _suffix(text, i):
@@ -79,3 +80,18 @@ def test_nothing_to_remove(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = remove_repeats(spark.createDataFrame([(1, "short"), (2, "short")], "doc_id long, text string"))
     assert [r.n_removed for r in got.collect()] == [0, 0]
+
+
+def test_rows_of_one_class_are_in_many_tasks(spark):
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefgh") for _ in range(400))
+    docs = spark.range(4000).repartition(8).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the classes are many
+        starts = repeated_starts(_narrow(docs))
+        sizes = starts.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert sum(sizes) == starts.select("doc_id").distinct().count() == 4000
+    assert max(sizes) < 2000

@@ -29,6 +29,7 @@ from .shared import documents, new_folder, written
 LENGTH = 400
 GRAM = 128
 MANY = 200  # classes of one anchor beyond which it is divided
+HEAVY = 1000  # rows of one key beyond which the key goes to the rows, not the rows to the key
 SHARD_ROWS = 4_000  # segments sorted in one task, about
 ROOM = 1 << 20  # tuples that a queue holds in memory
 IN_MEMORY = 2 << 20  # names that are sorted at once; more of them are sorted by induction again
@@ -119,16 +120,23 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, ANCHORS)
 
 
+def _those(rows: DataFrame, counted: DataFrame, by: list[str], n: str = "n") -> DataFrame:
+    """rows joined with `counted`, one row per key with its number `n` of rows. Keys of over HEAVY rows are fewer than a
+    HEAVY-th of the rows; they are broadcast, so that no task gets all rows of one."""
+    heavy, light = F.broadcast(counted.filter(F.col(n) > HEAVY)), counted.filter(F.col(n) <= HEAVY)
+    return rows.join(heavy, by).unionByName(rows.join(heavy, by, "left_anti").join(light, by))
+
+
 def _classes(rows: DataFrame, extra: list[str]) -> tuple[DataFrame, DataFrame]:
     """(repeated ranges; the first segment of each class whose anchor has other classes, with their number `n_classes`)."""
-    repeated = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "repeated-anchors")
-    found = written(rows.join(repeated, "key", "left_semi"), "segments")
+    repeated = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated-anchors")
+    found = written(_those(rows, repeated, ["key"]).drop("n"), "segments")
     first = F.min(F.struct(F.hash("doc_id", "low").alias("h"), "doc_id", "crc", "low", "high", "at", *extra)).alias("first")
     classes = written(found.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), first), "classes")
-    shared = written(classes.filter("n > 1").select("key", "class"), "shared-classes")
-    spans = found.join(shared, ["key", "class"], "left_semi").select("doc_id", "crc", "low", "high")
+    shared = written(classes.filter("n > 1").select("key", "class", "n"), "shared-classes")
+    spans = _those(found, shared, ["key", "class"]).select("doc_id", "crc", "low", "high")
     contested = written(classes.groupBy("key").agg(F.count(F.lit(1)).alias("n_classes")).filter("n_classes > 1"), "contested-anchors")
-    firsts = classes.join(contested, "key").select("key", "class", "n_classes", *(f"first.{c}" for c in ("doc_id", "crc", "low", "high", "at", *extra)))
+    firsts = _those(classes, contested, ["key"], "n_classes").select("key", "class", "n_classes", *(f"first.{c}" for c in ("doc_id", "crc", "low", "high", "at", *extra)))
     return spans, firsts
 
 
