@@ -111,6 +111,15 @@ def test_one_ticker_runs_in_many_tasks(spark):
             spark.conf.set(k, v)
 
 
+def test_few_rows_are_dealt_by_block(spark):
+    # whichever side of a join is done first, small rows are not broadcast to the values of their blocks, which lie by ticker
+    rows = numbered(bars(spark, 60), size=10, days=100)
+    for df in (framed(rows, lambda b: b.withColumn("m", rolling(F.avg, "close", 5)), back=4, size=10), running(rows, {"s": ("sum", F.col("volume"))})):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "BroadcastHashJoin" not in plan and "_block" in "".join(line for line in plan.splitlines() if "hashpartitioning" in line)
+
+
 def test_empty_and_repeated_dates(spark):
     rows = bars(spark, 20)
     for f in (features.enriched, features.exponential, research.ewm_deviation, research.rolling_value_at_risk):

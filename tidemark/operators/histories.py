@@ -49,7 +49,8 @@ def numbered(rows: DataFrame, *, size: int = SIZE, days: int = DAYS) -> DataFram
     before = Window.partitionBy("_key").orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
     begins = counts.select("_key", "_period", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
     own = F.row_number().over(Window.partitionBy("_key", "_period").orderBy("date")) - 1
-    placed = rows.withColumn("_own", own).join(begins, ["_key", "_period"]).withColumn("_pos", F.col("_begin") + F.col("_own"))
+    # a join that is dealt by ticker and period: a broadcast of few rows would leave all rows of a ticker in the task of its begins
+    placed = rows.withColumn("_own", own).join(begins.hint("merge"), ["_key", "_period"]).withColumn("_pos", F.col("_begin") + F.col("_own"))
     return placed.withColumn("_block", F.floor(F.col("_pos") / size)).drop("_period", "_begin", "_own")
 
 
@@ -94,7 +95,7 @@ def running(rows: DataFrame, columns: dict[str, tuple[str, Column]]) -> DataFram
         carried.append(function(F.col(f"_t_{name}")).over(before).alias(f"_c_{name}"))
         out[name] = join(F.col(f"_c_{name}"), function(column).over(so_far))
     carries = rows.groupBy(*BLOCK).agg(*totals).select(*BLOCK, *carried)
-    return rows.join(carries, list(BLOCK)).withColumns(out).drop(*[f"_c_{name}" for name in columns])
+    return rows.join(carries.hint("shuffle_hash"), list(BLOCK)).withColumns(out).drop(*[f"_c_{name}" for name in columns])
 
 
 def scanned(
