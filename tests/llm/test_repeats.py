@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm.induced_sorting import Disk, induced_sort, sort_in_memory
+from tidemark.llm.passages import GRAM, _Words, segments
 from tidemark.llm.repeats import _narrow, remove_repeats, repeated_starts
 
 
@@ -95,3 +97,62 @@ def test_rows_of_one_class_are_in_many_tasks(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert sum(sizes) == starts.select("doc_id").distinct().count() == 4000
     assert max(sizes) < 2000
+
+
+def shared_words(rows, words):
+    texts = {}
+    for doc_id, t in rows:
+        texts[doc_id, t or ""] = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())
+    holders = {}
+    for owner, t in texts.items():
+        for i in range(len(t) - words + 1):
+            holders.setdefault(tuple(t[i : i + words]), set()).add(owner)
+    out = []
+    for doc_id, text in rows:
+        t, hit = texts[doc_id, text or ""], set()
+        for i in range(len(t) - words + 1):
+            if len(holders[tuple(t[i : i + words])]) > 1:
+                hit.update(range(i, i + words))
+        out.append((doc_id, len(hit)))
+    return sorted(out, key=str)
+
+
+def test_words_in_pieces(monkeypatch):
+    rng = random.Random(4)
+    text = "".join(rng.choice(["a", "é", "bc", " ", "\t", "\x0b\n"]) for _ in range(400)).encode() + b"y" * 90 + b" z"
+    want = re.findall(rb"[^\x20\x09-\x0D]+", text)
+    hashes = []
+    for piece in (1 << 20, 40, 3):
+        monkeypatch.setattr("tidemark.llm.passages.PIECE", piece)
+        begins, ends, found = _Words(5).split(text)
+        assert [text[a:b] for a, b in zip(begins, ends)] == want
+        hashes.append(found.tolist())
+    assert hashes[0] == hashes[1] == hashes[2] and len(set(hashes[0])) == len(set(want))
+
+
+@pytest.mark.parametrize("words", [20, 12, 3])
+def test_passages_of_words(spark, words):
+    rng = random.Random(words)
+    word = lambda: "".join(rng.choice("abcé\x1f ") for _ in range(rng.randint(1, 3)))
+    passages = [[word() for _ in range(rng.randint(5, 40))] for _ in range(8)]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice([rng.choice(passages)[rng.randint(0, 4) :], [word() for _ in range(rng.randint(0, 9))]]) for _ in range(rng.randint(0, 5))]
+        rows.append((rng.choice([i, i, i, None]), "".join(w + rng.choice([" ", "\n\t", "  ", "\x0b"]) for p in parts for w in p)))
+    once = " ".join(f"{i}q" for i in range(30))
+    rows += [(100, None), (101, " \n "), (102, f"{once} {once}"), (103, "z " * 90), (104, "z " * 50), (105, "y" * 300 + " x" * 30), *rows[:3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = remove_repeats(docs, words=words)
+    assert sorted([(r.doc_id, r.n_passage_words) for r in got.collect()], key=str) == shared_words(rows, words)
+    shared, told = segments(_narrow(docs), words)
+    assert shared.count() and (words < GRAM or told.filter("shared").count() and told.filter("not shared").count())
+
+
+def test_passages_under_400_bytes_are_told(spark):
+    rng = random.Random(3)
+    text = lambda n: [f"{rng.randrange(10**4)}" for _ in range(n)]
+    passage = text(60)  # of under 400 bytes, so that the contract removes nothing
+    rows = [(i, " ".join(text(80) + (passage if i < 4 else []) + text(50))) for i in range(12)]
+    got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r.n_removed == 0 for r in got.values())
+    assert [got[i].n_passage_words for i in range(12)] == [60] * 4 + [0] * 8

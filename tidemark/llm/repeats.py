@@ -23,74 +23,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import passages
+from .anchors import PIECE, Grams, anchors_of, those
 from .induced_sorting import Disk, from_largest
 from .shared import documents, new_folder, written
 
 LENGTH = 400
 GRAM = 128
 MANY = 200  # classes of one anchor beyond which it is divided
-HEAVY = 1000  # rows of one key beyond which the key goes to the rows, not the rows to the key
 SHARD_ROWS = 4_000  # segments sorted in one task, about
 ROOM = 1 << 20  # tuples that a queue holds in memory
 IN_MEMORY = 2 << 20  # names that are sorted at once; more of them are sorted by induction again
-PIECE = 1 << 20  # starts handled at once within a document
-
-_BASE = 0x9E3779B97F4A7C15 | 1
-_WRAP = 1 << 64
 ANCHORS = "key long, class long, doc_id long, crc int, low int, high int, at int"
 SEGMENTS = "key long, class long, doc_id long, crc int, low int, high int, at int, near int, far int, bytes binary"
 
 
-class _Grams:
-    """Hashes of all grams of a text: sums of powers, which shift with the position, taken back to position 0."""
-
-    def __init__(self, size: int):
-        values = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64)
-        self.values = values * np.uint64(2) + np.uint64(1)
-        self.up, self.down = self._powers(_BASE, size), self._powers(pow(_BASE, -1, _WRAP), size)
-
-    @staticmethod
-    def _powers(base: int, n: int) -> np.ndarray:
-        out = np.full(n, base, np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    def of(self, data: np.ndarray, gram: int) -> np.ndarray:
-        n = len(data)
-        sums = np.empty(n + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(self.values[data] * self.up[:n], out=sums[1:])
-        x = (sums[gram:] - sums[:-gram]) * self.down[: n - gram + 1]
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        return x ^ (x >> np.uint64(29))
-
-
-def _least_in_window(x: np.ndarray, w: int) -> np.ndarray:
-    n = len(x)
-    blocks = -(-n // w)
-    padded = np.full(blocks * w, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = x
-    grid = padded.reshape(blocks, w)
-    forward = np.minimum.accumulate(grid, axis=1).ravel()
-    backward = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(backward[: n - w + 1], forward[w - 1 : n])
-
-
-def _anchors_of(data: np.ndarray, grams: _Grams, length: int, gram: int):
-    """(hash, place, first start, last start) of each anchor of a text, in order."""
-    last = len(data) - length
-    for begin in range(0, last + 1, PIECE):
-        part = data[begin : min(begin + PIECE - 1, last) + length]
-        hashes = grams.of(part, gram)
-        bits = np.uint64((1 << 21) - 1)
-        least = _least_in_window((hashes & ~bits) | np.arange(len(hashes), dtype=np.uint64), length - gram + 1)
-        cut = np.flatnonzero(least[1:] != least[:-1]) + 1
-        low, high = np.concatenate(([0], cut)), np.append(cut, len(least)) - 1
-        at = (least[low] & bits).astype(np.int64)
-        yield hashes[at].view(np.int64), at + begin, low + begin, high + begin
-
-
 def _narrow(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("crc", F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
@@ -100,14 +47,14 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """docs: doc_id, text, crc. One row per anchor of every text of at least `length` bytes."""
 
     def run(batches):
-        grams = _Grams(PIECE + length)
+        grams = Grams(PIECE + length)
         for batch in batches:
             found, owners, sizes = [], [], []
             ids, crcs = batch.column(0), batch.column(2).to_numpy()
             for i, text in enumerate(batch.column(1).cast(pa.large_binary()).to_pylist()):
                 if len(text) < length:
                     continue
-                for key, at, low, high in _anchors_of(np.frombuffer(text, np.uint8), grams, length, gram):
+                for key, at, low, high in anchors_of(np.frombuffer(text, np.uint8), grams, length, gram):
                     same = [xxhash.xxh3_64_intdigest(text[a : b + length], seed=c - a) for a, b, c in zip(low.tolist(), high.tolist(), at.tolist())]
                     found.append((key, np.array(same, np.uint64).view(np.int64), low, high, at))
                     owners.append(i)
@@ -120,23 +67,16 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, ANCHORS)
 
 
-def _those(rows: DataFrame, counted: DataFrame, by: list[str], n: str = "n") -> DataFrame:
-    """rows joined with `counted`, one row per key with its number `n` of rows. Keys of over HEAVY rows are fewer than a
-    HEAVY-th of the rows; they are broadcast, so that no task gets all rows of one."""
-    heavy, light = F.broadcast(counted.filter(F.col(n) > HEAVY)), counted.filter(F.col(n) <= HEAVY)
-    return rows.join(heavy, by).unionByName(rows.join(heavy, by, "left_anti").join(light, by))
-
-
 def _classes(rows: DataFrame, extra: list[str]) -> tuple[DataFrame, DataFrame]:
     """(repeated ranges; the first segment of each class whose anchor has other classes, with their number `n_classes`)."""
     repeated = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated-anchors")
-    found = written(_those(rows, repeated, ["key"]).drop("n"), "segments")
+    found = written(those(rows, repeated, ["key"]).drop("n"), "segments")
     first = F.min(F.struct(F.hash("doc_id", "low").alias("h"), "doc_id", "crc", "low", "high", "at", *extra)).alias("first")
     classes = written(found.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), first), "classes")
     shared = written(classes.filter("n > 1").select("key", "class", "n"), "shared-classes")
-    spans = _those(found, shared, ["key", "class"]).select("doc_id", "crc", "low", "high")
+    spans = those(found, shared, ["key", "class"]).select("doc_id", "crc", "low", "high")
     contested = written(classes.groupBy("key").agg(F.count(F.lit(1)).alias("n_classes")).filter("n_classes > 1"), "contested-anchors")
-    firsts = _those(classes, contested, ["key"], "n_classes").select("key", "class", "n_classes", *(f"first.{c}" for c in ("doc_id", "crc", "low", "high", "at", *extra)))
+    firsts = those(classes, contested, ["key"], "n_classes").select("key", "class", "n_classes", *(f"first.{c}" for c in ("doc_id", "crc", "low", "high", "at", *extra)))
     return spans, firsts
 
 
@@ -220,12 +160,20 @@ def _sorted_repeats(segments: DataFrame, length: int, folder: str, room: int, sh
     return rows.repartition(shards, "key").select("doc_id", "crc", "low", "bytes").mapInArrow(run, "doc_id long, crc int, low int, high int")
 
 
-def repeated_starts(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, many: int = MANY, room: int = ROOM, shard_rows: int = SHARD_ROWS, in_memory: int = IN_MEMORY) -> DataFrame:
+def repeated_starts(docs: DataFrame, **sizes: int) -> DataFrame:
     """Ranges (doc_id, crc, low, high) of byte positions where a repeated string of `length` bytes starts. docs: doc_id, text, crc."""
+    return _repeated(docs, None, **sizes)[0]
+
+
+def _repeated(docs: DataFrame, others: DataFrame | None, *, length: int = LENGTH, gram: int = GRAM, many: int = MANY, room: int = ROOM, shard_rows: int = SHARD_ROWS, in_memory: int = IN_MEMORY) -> tuple[DataFrame, DataFrame]:
+    """(repeated_starts; the segments of passages in `others` with their bytes, which are fetched in the same pass over the texts)."""
     spark = docs.sparkSession
     spans, firsts = _classes(written(anchors(docs, length, gram), "anchors"), [])
+    if others is not None:  # told from the others by n_classes
+        own = F.when(F.col("shared"), -1).otherwise(0).cast("long").alias("n_classes")
+        firsts = firsts.unionByName(others.select("key", "class", own, "doc_id", "crc", F.col("begin").alias("low"), (F.col("end") - length).alias("high"), F.col("low").alias("at")))
     segments = written(_with_bytes(docs, firsts, length, gram), "contested-segments")
-    small = segments.filter(F.col("n_classes") <= many).drop("n_classes")
+    small = segments.filter(F.col("n_classes").between(1, many)).drop("n_classes")
     large = segments.filter(F.col("n_classes") > many).drop("n_classes")
     while not large.isEmpty():
         more, firsts = _classes(written(_halved(large, length), "halves"), ["near", "far", "bytes"])
@@ -234,24 +182,31 @@ def repeated_starts(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
         small = small.unionByName(firsts.filter(F.col("n_classes") <= many).select(small.columns))
         large = firsts.filter(F.col("n_classes") > many).select(small.columns)
     small = written(small, "to-sort")
-    return spans.unionByName(_sorted_repeats(small, length, new_folder(spark, "suffix-queues"), room, shard_rows, in_memory))
+    spans = spans.unionByName(_sorted_repeats(small, length, new_folder(spark, "suffix-queues"), room, shard_rows, in_memory))
+    return spans, segments.filter("n_classes < 1").withColumn("shared", F.col("n_classes") < 0)
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, many: int = MANY, room: int = ROOM, shard_rows: int = SHARD_ROWS, in_memory: int = IN_MEMORY) -> DataFrame:
-    """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (array of begin, end) and kept (the bytes left).
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, many: int = MANY, room: int = ROOM, shard_rows: int = SHARD_ROWS, in_memory: int = IN_MEMORY, words: int = passages.WORDS) -> DataFrame:
+    """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words, removed (array of begin, end) and kept (the bytes left).
 
     A byte goes if it lies in a string of `length` bytes that also starts anywhere else, in the same document too. Null
     texts count as empty; texts shorter than `length` lose nothing. Repeated rows are repeats of each other. Null and
     repeated doc_ids are allowed; columns other than doc_id and text are ignored. An empty table gives no rows.
+    n_passage_words: words in strings of `words` words that another document holds as well, whatever their bytes and the space
+    between them. They are counted only: nothing is removed for them. Rows of one doc_id and text are one document there.
     """
     docs = _narrow(docs)
-    spans = written(repeated_starts(docs, length=length, gram=gram, many=many, room=room, shard_rows=shard_rows, in_memory=in_memory), "repeats")
-    per_doc = spans.groupBy(F.col("doc_id").alias("d"), F.col("crc").alias("c")).agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+    passed, others = passages.segments(docs, words)
+    spans, others = _repeated(docs, others, length=length, gram=gram, many=many, room=room, shard_rows=shard_rows, in_memory=in_memory)
+    spans = written(spans, "repeats").withColumn("in_words", F.lit(False))
+    passed = written(passed.unionByName(passages.told_by_hash(others, words)), "passages").withColumn("in_words", F.lit(True))
+    span = F.struct("low", "high")
+    per_doc = spans.unionByName(passed).groupBy(F.col("doc_id").alias("d"), F.col("crc").alias("c")).agg(F.collect_set(F.when(~F.col("in_words"), span)).alias("ranges"), F.collect_set(F.when(F.col("in_words"), span)).alias("passed"))
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc_id, text, ranges in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1).cast(pa.large_binary()), batch.column(2)))):
+            for doc_id, text, ranges, passed in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1).cast(pa.large_binary()), *batch.columns[2:]))):
                 removed = []
                 for low, high in sorted((r["low"], r["high"] + length) for r in ranges or ()):
                     if removed and low <= removed[-1][1]:
@@ -260,16 +215,16 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, m
                         removed.append([low, high])
                 cuts = [0, *(x for r in removed for x in r), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
-                rows.append((doc_id, len(text), len(text) - len(kept), len(removed), hashlib.sha256(kept).hexdigest(), removed, kept))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())), pa.binary())
+                rows.append((doc_id, len(text), len(text) - len(kept), len(removed), hashlib.sha256(kept).hexdigest(), passages.words_covered(passed or (), words), removed, kept))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "removed", "kept"])
 
-    both = docs.join(per_doc, docs.doc_id.eqNullSafe(F.col("d")) & (docs.crc == F.col("c")), "left").select("doc_id", "text", "ranges")
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<long>>, kept binary")
+    both = docs.join(per_doc, docs.doc_id.eqNullSafe(F.col("d")) & (docs.crc == F.col("c")), "left").select("doc_id", "text", "ranges", "passed")
+    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, removed array<array<long>>, kept binary")
 
 
 def op1_repeats(spark, sf_dir: str) -> DataFrame:
     rows = remove_repeats(documents(spark, sf_dir))
     # what is left as text; a character that was cut in two is replaced
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
