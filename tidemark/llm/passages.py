@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import PIECE, Grams, anchors_of, those
-from .shared import written
+from .shared import dropped, written
 
 WORDS = 51
 GRAM = 8
@@ -98,6 +98,7 @@ def segments(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]
     rows = written(_anchors(docs, words), "passage-anchors")
     keys = written(_held(rows.select("key", _owner().alias("owner")), ["key"]).filter("shared").select("key", "n"), "passage-keys")
     found = written(those(rows, keys, ["key"]).drop("n"), "passage-segments").withColumn("owner", _owner())
+    dropped(rows)
     classes = written(_held(found, ["key", "class"]), "passage-classes")
     shared = those(found, classes.filter("shared").select("key", "class", "n"), ["key", "class"]).select("doc_id", "crc", "low", "high")
     several = written(classes.groupBy("key").agg(F.count(F.lit(1)).alias("n_classes")).filter("n_classes > 1"), "passage-several")
@@ -110,19 +111,23 @@ def told_by_hash(segments: DataFrame, words: int = WORDS) -> DataFrame:
     """Shared ranges (doc_id, crc, low, high) of starts in segments: doc_id, crc, at (its first word), bytes, shared."""
 
     def run(batches):
-        grams = _Words(words)
+        grams, most = _Words(words), max(1, PIECE // (2 * words))  # a segment has under 2 * words of them
         for batch in batches:
-            found, places, sizes = [], [], []
-            for text, at in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist()):
-                found.append(grams.of(grams.split(text)[2], words).view(np.int64))
-                sizes.append(len(found[-1]))
-                places.append(np.arange(at, at + sizes[-1], dtype=np.int32))
-            if found:
-                own = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-                ids, crcs, shared, owners = (batch.column(i).take(own) for i in (0, 1, 4, 5))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), owners, ids, crcs, pa.array(np.concatenate(places)), shared], names=["hash", "owner", "doc_id", "crc", "at", "shared"])
-
-    starts = written(segments.select("doc_id", "crc", "at", "bytes", "shared", _owner().alias("owner")).mapInArrow(run, STARTS), "passage-starts")
+            for rows in (batch.slice(i, most) for i in range(0, batch.num_rows, most)):
+                texts = rows.column(3).to_pylist()
+                # all segments are split as one text; strings that reach over an end are left out
+                begins, _, hashes = grams.split(b" ".join(texts))
+                cuts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+                first = np.searchsorted(begins, cuts)
+                starts = np.diff(first) - words + 1
+                own = np.repeat(np.arange(len(texts)), starts)
+                within = np.arange(len(own)) - np.repeat(np.cumsum(starts) - starts, starts)
+                found = grams.of(hashes, words).view(np.int64)[first[own] + within]
+                at = rows.column(2).to_numpy()[own] + within
+                ids, crcs, shared, owners = (rows.column(i).take(pa.array(own)) for i in (0, 1, 4, 5))
+                yield pa.RecordBatch.from_arrays([pa.array(found), owners, ids, crcs, pa.array(at.astype(np.int32)), shared], names=["hash", "owner", "doc_id", "crc", "at", "shared"])
+
+    starts = segments.select("doc_id", "crc", "at", "bytes", "shared", _owner().alias("owner")).mapInArrow(run, STARTS)
     held = starts.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("a"), F.max("owner").alias("b"), F.max("shared").alias("s"))
     hashes = written(held.filter("a <> b or s").select("hash", "n"), "passage-hashes")
     return those(starts.filter("not shared"), hashes, ["hash"]).select("doc_id", "crc", F.col("at").alias("low"), F.col("at").alias("high"))

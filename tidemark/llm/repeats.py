@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import passages
 from .anchors import PIECE, Grams, anchors_of, those
 from .induced_sorting import Disk, from_largest
-from .shared import documents, new_folder, written
+from .shared import documents, dropped, new_folder, written
 
 LENGTH = 400
 GRAM = 128
@@ -168,7 +168,9 @@ def repeated_starts(docs: DataFrame, **sizes: int) -> DataFrame:
 def _repeated(docs: DataFrame, others: DataFrame | None, *, length: int = LENGTH, gram: int = GRAM, many: int = MANY, room: int = ROOM, shard_rows: int = SHARD_ROWS, in_memory: int = IN_MEMORY) -> tuple[DataFrame, DataFrame]:
     """(repeated_starts; the segments of passages in `others` with their bytes, which are fetched in the same pass over the texts)."""
     spark = docs.sparkSession
-    spans, firsts = _classes(written(anchors(docs, length, gram), "anchors"), [])
+    found = written(anchors(docs, length, gram), "anchors")
+    spans, firsts = _classes(found, [])
+    dropped(found)
     if others is not None:  # told from the others by n_classes
         own = F.when(F.col("shared"), -1).otherwise(0).cast("long").alias("n_classes")
         firsts = firsts.unionByName(others.select("key", "class", own, "doc_id", "crc", F.col("begin").alias("low"), (F.col("end") - length).alias("high"), F.col("low").alias("at")))

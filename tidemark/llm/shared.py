@@ -55,6 +55,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes the files of a table that was `written`, once all that read it is written too."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        path(folder).getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path(folder), True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
