@@ -2,10 +2,13 @@
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import one_decimal, rounded_product
 from tidemark.operators import desk, text
+from tidemark.plans import text as plans
 
 
 def test_one_decimal_rounds_the_exact_value(spark):
@@ -33,6 +36,21 @@ def test_overall_sentiment_adds_in_order(spark):
             assert text.overall_sentiment(df, "g", "k").first().score == want
 
 
+@pytest.mark.parametrize("stored", ["hash(o_orderkey)", "o_custkey, o_totalprice", "i, o_orderkey"])
+def test_overall_sentiment_adds_as_orders_are_stored(spark, tmp_path, stored):
+    # files whose rows do not lie by key, in small row groups, or hold a key twice; the SQL on one thread adds row after row
+    times = 2 if stored.startswith("i,") else 1
+    duck = duckdb.connect(config={"threads": 1})
+    rows = duck.sql(f"SELECT o.* FROM '/root/testdata/sf0.01/orders.parquet' o, range({times}) r(i) ORDER BY {stored}").to_arrow_table()
+    pq.write_table(rows, tmp_path / "orders.parquet", row_group_size=4000)
+    duck.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    found = duck.execute(plans.ORACLE_SQL["text_overall_sentiment"])
+    names = [c[0] for c in found.description]
+    want = sorted(found.fetchall())
+    got = sorted(tuple(r[c] for c in names) for r in plans.overall(spark, str(tmp_path)).collect())
+    assert len(got) == len(want) and [x for x in zip(got, want) if x[0] != x[1]] == []
+
+
 def test_rounded_product_rounds_as_duckdb(spark):
     x = [0.0645625, 0.1949375, -0.0645625, 0.5, 2.5e-7, 5e-7, None]
     got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i long, v double").orderBy("i").select(rounded_product("v")).collect()]

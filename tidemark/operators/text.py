@@ -32,8 +32,8 @@ def sentiment(df: DataFrame, text: str = "text") -> DataFrame:
 def overall_sentiment(scored: DataFrame, by: str, order: str | None = None) -> DataFrame:
     """Mean score of each group, how many of each label, and the group's own label (beyond 0.1).
 
-    With `order`, scores are added in its order: sums of doubles depend on it, and where a mean lies on a bound or between two
-    decimals, so does the result.
+    With `order`, a column without equal values, scores are added in its order: sums of doubles depend on it, and where a mean lies
+    on a bound or between two decimals, so does the result.
     """
     if order:
         so_far = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -34,13 +34,17 @@ def _pick(words, n: Column) -> Column:
     return F.get(F.array(*map(F.lit, words)), (n % len(words)).cast("int"))
 
 
-def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(news_id, customer, ticker, related, text): one row per order, of two sentences; some are tagged with tickers."""
+def headlines(spark: SparkSession, sf_dir: str, place: str | None = None) -> DataFrame:
+    """(news_id, customer, ticker, related, text): one row per order, of two sentences; some are tagged with tickers.
+
+    `place` names a further column, that of the file and the row in it where the order is stored.
+    """
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     text = F.concat_ws(". ", _pick(HEADLINES, k), _pick(HEADLINES, k * 7 + c))
     related = F.when(k % 5 == 0, F.array(F.lit("acme"), _pick(TICKERS, c))).when(k % 5 == 1, F.array(F.lit("OTHER"))).otherwise(F.array().cast("array<string>"))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.select(k.alias("news_id"), c.alias("customer"), _pick(TICKERS, c).alias("ticker"), related.alias("related"), text.alias("text"))
+    stored = [F.struct("_metadata.file_path", "_metadata.row_index").alias(place)] if place else []
+    return orders.select(k.alias("news_id"), c.alias("customer"), _pick(TICKERS, c).alias("ticker"), related.alias("related"), text.alias("text"), *stored)
 
 
 def _list(words) -> str:
